@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import language, media, quality, toxicity
 from .common import documents
 
 
@@ -12,7 +12,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predicted(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(documents(spark, sf_dir))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op8_language_id": op8_language_id,
+    "op10_media_columns": op10_media_columns,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
