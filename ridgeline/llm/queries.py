@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, quality, toxicity
+from . import language, media, quality, simhash, toxicity
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(documents(spark, sf_dir))
 
@@ -26,6 +30,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op10_media_columns": op10_media_columns,
     "op7_quality_rules": op7_quality_rules,

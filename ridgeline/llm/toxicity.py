@@ -1,8 +1,10 @@
 """Toxic passages as maximal scoring segments of token log-odds.
 
 Training counts the words of labelled rows by label and compares them by the log-odds ratio with an
-informative Dirichlet prior: the prior of a word is its share of all counted words. Words whose ratio is
-significant score their log-odds, all others a small constant below zero. A scan in linear time finds every
+informative Dirichlet prior: the prior of a word is its share of all counted words. Beginnings of words are counted like words, so that
+inflected forms that training never saw are known by their stem. A word whose ratio is significant scores
+its log-odds, or else those of its longest significant beginning; all others score their joint
+log-odds, which is a little below zero. A scan in linear time finds every
 maximal scoring segment of a text; those over a threshold are its toxic passages. For sums of log-odds the
 extreme-value parameter lambda is 1, so that a passage of score S in a text of n words has the expected
 number K n exp(-S) of chance matches; the sum of the significant passages less ln(K n) is the evidence, and
@@ -28,20 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import cut, fold, let, words
 
 #: Labelled rows of each label that are learned from, about.
 SAMPLE = 10_000
 #: Significant words kept, by the size of their ratio.
 KEPT_WORDS = 50_000
-#: Least z score of a significant word, and least number of training texts that hold it.
-LEAST_Z, LEAST_TEXTS = 2.5, 2
-#: Weight of the prior, in words.
-PRIOR = 2000.0
+#: Least z score and log-odds of a significant word or beginning, and least number of training texts that hold it.
+LEAST_Z, LEAST_ODDS, LEAST_TEXTS = 4.0, 2.0, 4
+#: Weight of the prior, as a share of the counted words.
+PRIOR = 0.1
+#: Lengths of the beginnings of longer words, longest first. A beginning is written with a blank after it.
+STEMS = (7, 6, 5, 4)
+#: Scores of words that a worker keeps; beyond it, it starts afresh.
+CACHED = 200_000
 #: Least score of a significant passage, and the constant K of the extreme-value distribution.
 LEAST_SCORE, K = 2.0, 0.1
-#: Score of a word that isn't significant.
-OTHER = -0.02
+#: Highest score of a word that isn't significant.
+OTHER = -0.005
 #: Strips what stands around a word.
 EDGES = ".,;:!?()[]{}\"'*#$%&|<>-_`~"
 
@@ -50,19 +56,41 @@ def tokens(text: str | None) -> list[str]:
     return [w.strip(EDGES) for w in (text or "").lower().split()]
 
 
+def stems(word: str) -> list[str]:
+    return [word[:n] + " " for n in STEMS if len(word) > n]
+
+
+class _Scores(dict):
+    """Scores of words as they are asked for, None for words without one."""
+
+    def __init__(self, odds: dict[str, float]):
+        super().__init__()
+        self.odds = odds
+
+    def __missing__(self, word: str) -> float | None:
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = score = next((self.odds[x] for x in (word, *stems(word)) if x in self.odds), None)
+        return score
+
+
 @dataclass
 class Model:
     """Scores of the significant words and the curve from evidence to probability."""
 
     odds: dict[str, float]
+    other: float = OTHER
     offset: float = 0.0
     slope: float = 1.0
 
+    def __post_init__(self):
+        self.scores = _Scores(self.odds)
+
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """(number of words, the significant passages as first word, end and score)."""
-        words = tokens(text)
-        marks = [(k, self.odds[w]) for k, w in enumerate(words) if w in self.odds]
-        return len(words), [x for x in maximal_segments(_with_gaps(marks)) if x[2] >= LEAST_SCORE]
+        found = tokens(text)
+        marks = [(k, x) for k, x in enumerate(map(self.scores.__getitem__, found)) if x is not None]
+        return len(found), [x for x in maximal_segments(_with_gaps(marks, self.other)) if x[2] >= LEAST_SCORE]
 
     def evidence(self, n_words: int, passages) -> float:
         """Sum of the passages' scores less what chance gives in a text of this length; 0 without a passage."""
@@ -72,12 +100,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * evidence))))
 
 
-def _with_gaps(marks: list[tuple[int, float]]):
+def _with_gaps(marks: list[tuple[int, float]], other: float):
     """Runs (first word, end, score) in order: single significant words, and the others between them as one run each."""
     at = None
     for k, score in marks:
         if at is not None and k > at:
-            yield at, k, OTHER * (k - at)
+            yield at, k, other * (k - at)
         yield k, k + 1, score
         at = k + 1
 
@@ -122,7 +150,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> Data
         share = F.when(F.col("toxic") == value, F.lit(SAMPLE / n)).otherwise(share)
     kept = marks.where(F.col("_share") < share).select("doc_id", "toxic")
     # about 2 * SAMPLE rows of an id and a number at most, whatever the input
-    return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select("text", "toxic"), sizes
+    rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # words of a text with many copies would pass for words of many texts: of texts with the same least shingle hash, one stays
+    shingles = let(
+        words(F.lower("text")),
+        lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))),
+    )
+    alike = F.coalesce(F.array_min(shingles), F.xxhash64("text"))
+    return cut(rows.groupBy(alike.alias("_alike"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic")), sizes
 
 
 def _count(batches):
@@ -130,9 +165,9 @@ def _count(batches):
     texts = Counter()
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            words = tokens(text.as_py())
-            counts[toxic.as_py()].update(words)
-            texts.update(set(words))
+            forms = [x for w in tokens(text.as_py()) for x in (w, *stems(w))]
+            counts[toxic.as_py()].update(forms)
+            texts.update(set(forms))
     for c in counts.values():
         c.pop("", None)
     names = [w for w in texts if w]
@@ -149,26 +184,30 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Mo
         .groupBy("word")
         .agg(*(F.sum(c).cast("double").alias(c) for c in ("clean", "toxic", "texts")))
     )
-    total = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
+    total = counts.where(~F.col("word").endswith(" ")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     odds: dict[str, float] = {}
+    other = OTHER
     if total["clean"] and total["toxic"]:
-        prior = PRIOR * (F.col("clean") + F.col("toxic")) / (total["clean"] + total["toxic"])
-        logit = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
+        weight = PRIOR * (total["clean"] + total["toxic"])
+        prior = PRIOR * (F.col("clean") + F.col("toxic"))
+        logit = lambda y, n: F.log((F.col(y) + prior) / (n + weight - F.col(y) - prior))
         ratio = logit("toxic", total["toxic"]) - logit("clean", total["clean"])
         spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
         found = (
             counts.where(F.col("texts") >= LEAST_TEXTS)
             .select("word", ratio.alias("odds"), (ratio / spread).alias("z"))
-            .where(F.abs("z") >= LEAST_Z)
-            .orderBy(F.abs("z").desc(), "word")
+            .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
+            .orderBy(F.col("z").desc(), "word")
             .limit(KEPT_WORDS)
         )
         odds = {r["word"]: r["odds"] for r in found.collect()}
-    model = Model(odds)
+        # the other words of toxic texts are rarer by the share of the significant ones
+        other = min(OTHER, math.log(max(0.5, 1 - _share_of_marks(sample, odds))))
+    model = Model(odds, other)
     known = sum(sizes.values())
     if not odds:
         share = sizes.get(1, 0) / known if known else 0.0
-        return Model(odds, math.log(share / (1 - share)) if 0 < share < 1 else (-30.0 if share == 0 else 30.0), 0.0)
+        return Model(odds, other, math.log(share / (1 - share)) if 0 < share < 1 else (-30.0 if share == 0 else 30.0), 0.0)
 
     def evidence(batches):
         for batch in batches:
@@ -178,7 +217,21 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Mo
     rows = sample.mapInArrow(evidence, "x double, y int").toArrow()
     x, y = rows["x"].to_numpy(), rows["y"].to_numpy().astype(float)
     weight = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
-    return Model(odds, *logistic(x, y, weight))
+    return Model(odds, other, *logistic(x, y, weight))
+
+
+def _share_of_marks(sample: DataFrame, odds: dict[str, float]) -> float:
+    """Share of the words of toxic training texts that are significant."""
+    model = Model(odds)
+
+    def run(batches):
+        for batch in batches:
+            texts = [tokens(t.as_py()) for t in batch["text"]]
+            marks = [sum(model.scores[w] is not None for w in x) for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in texts], pa.int64()), pa.array(marks, pa.int64())], ["n", "marks"])
+
+    row = sample.where("toxic = 1").mapInArrow(run, "n long, marks long").agg(F.sum("n").alias("n"), F.sum("marks").alias("marks")).first()
+    return row["marks"] / row["n"] if row["n"] else 0.0
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
