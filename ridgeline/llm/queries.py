@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, quality, simhash, toxicity
+from . import language, media, mixing, quality, simhash, toxicity
 from .common import documents
 
 
@@ -24,6 +24,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(documents(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(documents(spark, sf_dir))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,
     "op7_quality_rules": op7_quality_rules,
 }
