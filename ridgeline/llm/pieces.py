@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Default place of the vocabulary; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -298,7 +299,7 @@ def encode(docs: DataFrame, *keep: str, vocabulary: str = VOCABULARY) -> DataFra
     with open(vocabulary, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(*keep, *({"text"} - set(keep)))
-    kept = docs.select(*keep).schema.add("ids", "array<int>")
+    kept = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         _, encoder = _loaded(model.value)
@@ -316,7 +317,7 @@ def decode(encoded: DataFrame, *keep: str, vocabulary: str = VOCABULARY) -> Data
     with open(vocabulary, "rb") as f:
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
     rows = encoded.select(*keep, *({"ids"} - set(keep)))
-    kept = encoded.select(*keep).schema.add("text", "string")
+    kept = encoded.select(*keep).schema.add("text", T.StringType())
 
     def run(batches):
         own, _ = _loaded(model.value)
