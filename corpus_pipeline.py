@@ -1,11 +1,63 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, source mix, SentencePiece ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes a stage's result as Parquet in the
+folder that the cluster names in spark.checkpoint.dir, where all executors see it, and reads it again for the next.
+All but the last stage return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.llm import mixing, pieces, quality, secrets, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the current policy keeps."""
+    return quality.apply_policy(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id: five words, similarity 0.8."""
+    return simhash.deduplicated(docs, words=5, similarity=0.8)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with every secret replaced by its kind."""
+    return secrets.redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as far as, and as often as, the mix takes their words."""
+    return mixing.mixed_documents(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document's text."""
+    return pieces.encode(docs, "doc_id", "source").select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", source_mix),
+    ("SentencePiece encoding", sentencepiece),
+]
+
+#: SQL can't express near-duplicate components, the seeded mix or the encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
+    folder = f"{folder}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut
 
@@ -37,8 +38,6 @@ REACH = 3
 BUCKET = 4096
 #: Reference fingerprints, eight to each packed long.
 PIVOTS = 16
-#: Shingles whose bits are counted at a time.
-STEP = 1 << 16
 
 
 def references(n: int = PIVOTS) -> list[int]:
@@ -46,6 +45,20 @@ def references(n: int = PIVOTS) -> list[int]:
     return [xxhash.xxh64_intdigest(str(k), 7) for k in range(n)]
 
 
+def majority(hashes: np.ndarray) -> bytes:
+    """Of rows of hashes, the bits that are set in over half the rows. Up to 255 rows are summed in bytes at a time."""
+    width = hashes.shape[1] * 64
+    ones = np.zeros(width, np.int64)
+    for at in range(0, len(hashes), 255 * 16):
+        part = hashes[at : at + 255 * 16].astype(">u8").view(np.uint8)
+        bits = np.unpackbits(part, axis=1)
+        whole = len(bits) // 255
+        if whole:
+            ones += bits[: whole * 255].reshape(whole, 255, width).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += bits[whole * 255 :].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """The fingerprint of a text over shingles of so many words."""
     tokens = (text or "").encode().lower().split()
@@ -53,13 +66,8 @@ def fingerprint(text: str | None, words: int) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     shingles = [b" ".join(tokens)] if len(tokens) < words else map(b" ".join, zip(*(tokens[k:] for k in range(words))))
-    ones, total = np.zeros(64, np.int64), 0
     hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
-    for at in range(0, len(hashes), STEP):
-        part = hashes[at : at + STEP].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-        total += len(part)
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+    return int.from_bytes(majority(hashes[:, None]), "big")
 
 
 def signed(x: int) -> int:
@@ -104,7 +112,7 @@ def _bucket_keys(fp: Column, m: int) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(k).cast("short").alias("choice"), fp.bitwiseAND(F.lit(mask).cast("long")).alias("bits")) for k, mask in enumerate(choices))))
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether rows (fp, pivot bytes) of two equally long tables link: the pivot test first, then the bits of what is left."""
     near = np.abs(a["p"].astype(np.int16) - b["p"].astype(np.int16)).max(axis=-1) <= REACH
     out = np.zeros(len(near), bool)
@@ -113,7 +121,7 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(rows: np.ndarray, left: int | None = None) -> list[tuple[int, int]]:
+def _forest(rows: np.ndarray, close, left: int | None = None) -> list[tuple[int, int]]:
     """Links that connect what links within a bucket connect. With ``left``, only rows before and after that place are compared.
 
     Search from one row at a time: those it reaches leave the rest at once, so a dense group costs about one comparison for each of its rows.
@@ -122,7 +130,7 @@ def _forest(rows: np.ndarray, left: int | None = None) -> list[tuple[int, int]]:
     if left is not None:
         first, second = rows[:left], rows[left:]
         for k in range(len(first)):
-            hit = np.flatnonzero(_close(second, np.broadcast_to(first[k : k + 1], len(second))))
+            hit = np.flatnonzero(close(second, np.broadcast_to(first[k : k + 1], len(second))))
             links += [(k, left + int(j)) for j in hit]
         return _spanning(len(rows), links)
     rest = np.arange(len(rows))
@@ -130,7 +138,7 @@ def _forest(rows: np.ndarray, left: int | None = None) -> list[tuple[int, int]]:
         frontier, rest = [int(rest[0])], rest[1:]
         while frontier and len(rest):
             k = frontier.pop()
-            hit = _close(rows[rest], np.broadcast_to(rows[k : k + 1], len(rest)))
+            hit = close(rows[rest], np.broadcast_to(rows[k : k + 1], len(rest)))
             links += [(k, int(j)) for j in rest[hit]]
             frontier += rest[hit].tolist()
             rest = rest[~hit]
@@ -156,76 +164,83 @@ def _spanning(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 ROW = np.dtype([("fp", np.uint64), ("p", np.uint8, (PIVOTS,))])
+BUCKETS = ("choice", "bits", "part_a", "part_b")
+
 
+def _fp_rows(batch) -> np.ndarray:
+    rows = np.empty(batch.num_rows, ROW)
+    rows["fp"] = batch["fp"].to_numpy().view(np.uint64)
+    packed = np.stack([batch[f"p{k}"].to_numpy() for k in range(PIVOTS // 8)], axis=1)
+    rows["p"] = np.ascontiguousarray(packed).view(np.uint8)
+    return rows
 
-def _links_of(batches):
-    """Links within runs of equal (choice, bits, part_a, part_b); the input is sorted by these. A run is bounded by twice BUCKET rows."""
-    keys = ("choice", "bits", "part_a", "part_b")
 
-    def table(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key = np.rec.fromarrays([batch[k].to_numpy(zero_copy_only=False) for k in keys], names=list(keys))
-        rows = np.empty(batch.num_rows, ROW)
-        rows["fp"] = batch["fp"].to_numpy().view(np.uint64)
-        packed = np.stack([batch[f"p{k}"].to_numpy() for k in range(PIVOTS // 8)], axis=1)
-        rows["p"] = np.ascontiguousarray(packed).view(np.uint8)
-        return key, rows, batch["part"].to_numpy()
+def _links_of(table, close, name: str, kind):
+    """Links within runs of equal bucket columns, by which the input is sorted. A run is bounded by twice BUCKET rows.
+
+    ``table`` makes comparable rows of a batch, ``close`` compares them, ``name`` is the column of the linked nodes.
+    """
 
-    def found(key, rows, part) -> list[tuple[int, int]]:
+    def found(key, rows, part, node) -> list[tuple]:
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[new, len(key)])
         out = []
         two = new[(size == 2) & (key["part_a"][new] == key["part_b"][new])]
         if len(two):
-            hit = two[_close(rows[two], rows[two + 1])]
-            out += zip(rows["fp"][hit].tolist(), rows["fp"][hit + 1].tolist(), strict=True)
+            hit = two[close(rows[two], rows[two + 1])]
+            out += [(node[k], node[k + 1]) for k in hit.tolist()]
         for a, n in zip(new.tolist(), size.tolist(), strict=True):
             apart = key["part_a"][a] != key["part_b"][a]
             if n > 2 or (n == 2 and apart):
-                run = rows[a : a + n]
-                left = None
+                order, left = np.arange(a, a + n), None
                 if apart:
-                    order = np.argsort(part[a : a + n] != key["part_a"][a], kind="stable")
-                    run, left = run[order], int((part[a : a + n] == key["part_a"][a]).sum())
-                out += [(int(run["fp"][x]), int(run["fp"][y])) for x, y in _forest(run, left)]
+                    first = part[a : a + n] == key["part_a"][a]
+                    order, left = order[np.argsort(~first, kind="stable")], int(first.sum())
+                out += [(node[order[x]], node[order[y]]) for x, y in _forest(rows[order], close, left)]
         return out
 
     def batch_of(links):
-        return pa.RecordBatch.from_arrays([pa.array([signed(x[k]) for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    held = None
-    for batch in batches:
-        now = table(batch)
-        if held is not None:
-            now = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
-        key = now[0]
-        last = np.flatnonzero(key[1:] != key[:-1])
-        at = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
-        if at:
-            yield batch_of(found(*(x[:at] for x in now)))
-        held = tuple(x[at:] for x in now)
-    if held is not None and len(held[0]):
-        yield batch_of(found(*held))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k in (0, 1)], ["a", "b"])
 
-
-def links(fps: DataFrame, n: int) -> DataFrame:
-    """(a, b): links between the given distinct fingerprints, enough of them to connect whatever all links connect."""
-    m = blocks_for(n)
-    rows = pivot_table(fps.select("fp")).select("fp", *(f"p{k}" for k in range(PIVOTS // 8)), _bucket_keys(F.col("fp"), m).alias("key")).select("*", "key.choice", "key.bits").drop("key")
-    large = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("rows_in")).where(F.col("rows_in") > BUCKET)
-    # a bucket of more rows is cut in parts of about half of BUCKET by a hash, and each pair of parts meets once
-    parts = F.coalesce(F.ceil(F.col("rows_in") * 2 / BUCKET), F.lit(1)).cast("int")
-    sized = rows.join(large.withColumnsRenamed({"choice": "_c", "bits": "_b"}), (F.col("choice") == F.col("_c")) & (F.col("bits") == F.col("_b")), "left").select(
-        *rows.columns, parts.alias("parts")
-    )
-    part = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    def run(batches):
+        held = None
+        for batch in batches:
+            key = np.rec.fromarrays([batch[k].to_numpy(zero_copy_only=False) for k in BUCKETS], names=list(BUCKETS))
+            now = key, table(batch), batch["part"].to_numpy(), np.array(batch[name].to_pylist(), object)
+            if held is not None:
+                now = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
+            key = now[0]
+            last = np.flatnonzero(key[1:] != key[:-1])
+            at = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
+            if at:
+                yield batch_of(found(*(x[:at] for x in now)))
+            held = tuple(x[at:] for x in now)
+        if held is not None and len(held[0]):
+            yield batch_of(found(*held))
+
+    return run
+
+
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of buckets (choice, bits) with more than one row, sorted by bucket and part.
+
+    A bucket of over BUCKET rows is cut in parts of about half of that by a hash of ``by``, and each pair of parts meets once.
+    """
+    sizes = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("rows_in")).where("rows_in > 1")
+    parts = F.when(F.col("rows_in") > BUCKET, F.ceil(F.col("rows_in") * 2 / BUCKET)).otherwise(1).cast("int").alias("parts")
+    sized = rows.join(sizes.select("choice", "bits", parts), ["choice", "bits"])
     dealt = (
-        sized.withColumn("part", part)
-        .select(*rows.columns, "part", F.explode(others).alias("other"))
+        sized.withColumn("part", F.pmod(F.xxhash64(by), F.col("parts").cast("long")).cast("int"))
+        .select(*rows.columns, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         .select(*rows.columns, "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     )
-    order = ["choice", "bits", "part_a", "part_b"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_links_of, "a long, b long").distinct()
+    return dealt.repartition(*BUCKETS).sortWithinPartitions(*BUCKETS)
+
+
+def links(fps: DataFrame, n: int) -> DataFrame:
+    """(a, b): links between the given distinct fingerprints, enough of them to connect whatever all links connect."""
+    rows = pivot_table(fps.select("fp")).select("*", _bucket_keys(F.col("fp"), blocks_for(n)).alias("key")).select("*", "key.*").drop("key")
+    return _dealt(rows, "fp").mapInArrow(_links_of(_fp_rows, _linked, "fp", pa.int64()), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,12 +287,110 @@ def clusters(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
-    """One row of each component: of those with its least id, the one with the least text; all columns are kept."""
+#: Longs of a wide fingerprint, bands of least hashes and hashes in each.
+WIDE, BANDS, BAND = 16, 12, 4
+SKETCH = "doc_id long, row_key long, content binary, n_shingles long, wide binary, bands array<long>"
+WIDE_ROW = np.dtype([("fp", np.uint64, (WIDE,)), ("p", np.int16, (PIVOTS,)), ("n", np.int64)])
+
+
+def _mixers(n: int, seed: int) -> np.ndarray:
+    return np.random.Generator(np.random.Philox(seed)).integers(1, 1 << 63, (n, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def _mixed(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
+    """Independent hashes of hashes, a column for each mixer."""
+    out = (hashes[:, None] ^ mixers[:, 0]) * mixers[:, 1]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """Of each row: a digest of its words, the number of its different shingles, their wide fingerprint and bands of least hashes."""
+    wide_of, least_of = _mixers(WIDE, 11), _mixers(BANDS * BAND, 12)
+
+    def one(text: str | None):
+        tokens = (text or "").encode().lower().split()
+        content = xxhash.xxh3_128_digest(b" ".join(tokens))
+        shingles = {b" ".join(tokens)} if len(tokens) < words else set(map(b" ".join, zip(*(tokens[k:] for k in range(words)))))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+        least = np.full(BANDS * BAND, np.uint64(2**64 - 1))
+        for at in range(0, len(hashes), 4096):
+            least = np.minimum(least, _mixed(hashes[at : at + 4096], least_of).min(axis=0))
+        bands = [signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(least.reshape(BANDS, BAND))]
+        return content, len(hashes), majority(_mixed(hashes, wide_of)), bands
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                made = [one(t.as_py()) for t in batch["text"]]
+                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"], batch["row_key"], *(pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds))],
+                    ["doc_id", "row_key", "content", "n_shingles", "wide", "bands"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    return rows.mapInArrow(run, SKETCH)
+
+
+def _wide_rows(batch) -> np.ndarray:
+    rows = np.empty(batch.num_rows, WIDE_ROW)
+    rows["fp"] = np.frombuffer(b"".join(batch["wide"].to_pylist()), np.uint64).reshape(-1, WIDE)
+    far = [[xxhash.xxh3_128_digest(str(k), 100 + j) for j in range(WIDE // 2)] for k in range(PIVOTS)]
+    pivots = np.frombuffer(b"".join(b"".join(x) for x in far), np.uint64).reshape(PIVOTS, WIDE)
+    for k in range(PIVOTS):
+        rows["p"][:, k] = np.bitwise_count(rows["fp"] ^ pivots[k]).sum(axis=1)
+    rows["n"] = batch["n_shingles"].to_numpy()
+    return rows
+
+
+def _alike(similarity: float):
+    """Whether the Jaccard similarity of two shingle sets, as their wide fingerprints and sizes give it, is at least this.
+
+    Differing bits measure the angle between the sets. Pivot distances come first: they bound the differing bits from below.
+    """
+    bits = WIDE * 64
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = a["n"].astype(float), b["n"].astype(float)
+        shared = similarity * (x + y) / (1 + similarity)
+        cosine = shared / np.sqrt(np.maximum(x * y, 1e-9))
+        most = np.where(cosine <= 1, np.arccos(np.minimum(cosine, 1)) / np.pi * bits, -1)
+        out = np.abs(a["p"] - b["p"]).max(axis=-1) <= most
+        at = np.flatnonzero(out)
+        out[at] = np.bitwise_count(a["fp"][at] ^ b["fp"][at]).sum(axis=-1) <= most[at]
+        return out
+
+    return close
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of texts whose word shingles are alike, directly or by others: the one with the least id.
+
+    At this similarity too many bits differ for blocks of equal bits, and for pivots to tell pairs apart, so texts meet in
+    bands of least hashes of their shingles; pivots and wide fingerprints decide. All columns are kept. Texts of the
+    same words are one content from the start. Equal rows fall together.
+    """
+    made = cut(sketches(docs, words))
+    row = F.struct("doc_id", "row_key")
+    contents = made.groupBy("content").agg(F.min(row).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
+    contents = cut(contents)
+    keys = contents.select("content", "n_shingles", "wide", F.posexplode("bands").alias("choice", "bits"))
+    edges = _dealt(keys, "content").mapInArrow(_links_of(_wide_rows, _alike(similarity), "content", pa.binary()), "a binary, b binary").distinct()
+    roots = components(edges)
+    least = (
+        contents.select("content", "least")
+        .join(roots, F.col("content") == F.col("node"), "left")
+        .groupBy(F.coalesce("root", "content").alias("root"))
+        .agg(F.min("least").alias("least"))
+        .select(F.col("least.row_key").alias("_key"))
+    )
     names = docs.columns
-    owners = clusters(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fp").distinct()
-    rows = docs.join(owners.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*names), F.struct("text", *(c for c in names if c not in ("doc_id", "text")))).alias("_row")).select("_row.*")
+    rows = docs.select(F.struct(*names).alias("_row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_key"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return rows.join(least.distinct(), "_key", "left_semi").withColumn("_place", place).where("_place = 1").select("_row.*")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
