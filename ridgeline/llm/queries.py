@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, language_model, media, mixing, pieces, quality, secrets, simhash, toxicity
+from . import language, language_model, licenses, media, mixing, pieces, quality, secrets, simhash, toxicity
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(documents(spark, sf_dir))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -49,10 +53,11 @@ QUERIES = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_toxicity": op3_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_license_scans": op5_license_scans,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,
     "op7_quality_rules": op7_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_license_scans": licenses.ORACLE}
