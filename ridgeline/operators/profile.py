@@ -75,7 +75,7 @@ def packed_profiles(curves: DataFrame, *keys: str) -> DataFrame:
     """One row for each profile: its curves as arrays and their extent."""
     rows = F.array_sort(F.collect_list(F.struct("bin", "x", *CURVES)))
     out = curves.groupBy(*keys).agg(rows.alias("_rows"), F.min("p10").alias("y_min"), F.max("p90").alias("y_max"))
-    return out.select(*keys, *(F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in ("x", *CURVES)), "y_min", "y_max")
+    return out.select(*keys, *(F.col("_rows")[c].alias(c) for c in ("x", *CURVES)), "y_min", "y_max")
 
 
 def width_km(lo: Column, hi: Column) -> Column:

@@ -453,7 +453,7 @@ l AS (SELECT k, bin, coalesce(v, CASE WHEN i1 > i0 THEN v0 + (v1 - v0) * (bin -
 
 @query(
     f"""WITH {_HOURS} SELECT k, CAST(bin AS INTEGER) AS bin, round(bin / 95.0, 6) AS x, round((sum(v) OVER (PARTITION BY k ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)
-    + greatest(0, 3 - bin) * first_value(v) OVER w + greatest(0, bin + 3 - 95) * last_value(v) OVER w) / 7, 4) AS v FROM l
+    + greatest(0, 3 - bin) * first_value(v) OVER w + greatest(0, bin + 3 - 95) * last_value(v) OVER w) / 7, 3) AS v FROM l
     WINDOW w AS (PARTITION BY k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 )
 def profile_smooth(spark, d):
@@ -462,7 +462,7 @@ def profile_smooth(spark, d):
     means = rows.where("bin % 7 <> 3").groupBy("k", "bin").agg(F.avg("value").alias("v"))
     every = rows.select("k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(95))))
     table = every.join(means, ["k", "bin"], "left").select("k", "bin", *(F.col("v").alias(c) for c in profile.CURVES))
-    return profile.series(table, 96, "k").select("k", "bin", r6("x"), F.round("p50", 4).alias("v"))
+    return profile.series(table, 96, "k").select("k", "bin", r6("x"), F.round("p50", 3).alias("v"))
 
 
 @query(

@@ -88,7 +88,10 @@ def top(summaries: DataFrame, n: int = 20) -> DataFrame:
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:
-    profiles.write.mode("overwrite").json(path)
+    """One JSON document for each profile; points are written as pairs."""
+    pairs = lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))
+    rows = profiles.withColumn("outline_segments", F.transform("outline_segments", pairs)).withColumn("view_axis_segment", pairs(F.col("view_axis_segment")))
+    rows.write.mode("overwrite").json(path)
 
 
 def profiles(spark: SparkSession, path: str, bins: int | None = None) -> DataFrame:
