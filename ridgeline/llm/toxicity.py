@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, fold, let, words
 
 #: Labelled rows of each label that are learned from, about.
-SAMPLE = 10_000
+SAMPLE = 4_000
 #: Significant words kept, by the size of their ratio.
 KEPT_WORDS = 50_000
 #: Least z score and log-odds of a significant word or beginning, and least number of training texts that hold it.
@@ -170,6 +170,10 @@ def _count(batches):
             texts.update(set(forms))
     for c in counts.values():
         c.pop("", None)
+    # the row of a blank holds the numbers of words by label
+    for k, c in counts.items():
+        c[" "] = sum(n for w, n in c.items() if w[-1] != " ")
+    texts[" "] = 0
     names = [w for w in texts if w]
     yield pa.RecordBatch.from_arrays(
         [pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in (counts[0], counts[1], texts))], ["word", "clean", "toxic", "texts"]
@@ -179,12 +183,13 @@ def _count(batches):
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Model:
     """A model of the labelled rows outside the held-out fold. At most KEPT_WORDS words and two numbers for each sampled row come to the driver."""
     sample, sizes = _labelled(docs, labels, folds, held)
-    counts = (
+    counts = cut(
         sample.mapInArrow(_count, "word string, clean long, toxic long, texts long")
         .groupBy("word")
         .agg(*(F.sum(c).cast("double").alias(c) for c in ("clean", "toxic", "texts")))
+        .where((F.col("texts") >= LEAST_TEXTS) | (F.col("word") == " "))
     )
-    total = counts.where(~F.col("word").endswith(" ")).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
+    total = counts.where("word = ' '").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     odds: dict[str, float] = {}
     other = OTHER
     if total["clean"] and total["toxic"]:
