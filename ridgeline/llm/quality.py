@@ -164,3 +164,27 @@ def measured(docs: DataFrame) -> DataFrame:
         passes("v1").alias("kept_v1"),
         (base & passes("v2")).alias("kept"),
     )
+
+
+#: The same rows in SQL.
+ORACLE = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+    SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs)
+), twice AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1
+), covered AS (
+    SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY r
+), m AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(t, '[^!]+', '', 'g')) AS BIGINT) AS n_marks
+    FROM docs LEFT JOIN covered USING (r)
+), b AS (
+    SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT + 8 * (n_lines >= 6 AND 100 * n_dup_lines > 50 * n_lines)::INT
+        + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT + 32 * (word_chars >= 50 AND 100 * n_upper > 40 * word_chars)::INT + 64 * (100 * n_marks > 60 * n_words)::INT AS BIGINT) AS failures FROM m
+)
+SELECT *, failures & 3 <> 0 AS base_failed, failures & 15 = 0 AS kept_v1, failures = 0 AS kept FROM b
+"""

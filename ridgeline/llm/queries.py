@@ -60,4 +60,4 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
     "op7_quality_rules": op7_quality_rules,
 }
-ORACLE_SQL = {"op5_license_scans": licenses.ORACLE}
+ORACLE_SQL = {"op1_secret_scans": secrets.oracle(), "op5_license_scans": licenses.ORACLE, "op7_quality_rules": quality.ORACLE}

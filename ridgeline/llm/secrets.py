@@ -275,3 +275,21 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     made = found.select("_row", text.alias("_text"))
     fresh = {"text": F.col("_text"), "n_chars": F.length(F.coalesce("_text", F.lit(""))).cast("long")}
     return made.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.`{c}`").alias(c) for c in names))
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """The report's rows in SQL, by each rule's own expression over all texts."""
+
+    def matches(k: int, rule: Rule) -> str:
+        pattern = "'" + FAST.get(rule.kind, rule.pattern).replace("'", "''") + "'"
+        group, least = (0, 1) if rule.kind in FAST else (rule.group, max(1, rule.least))
+        return f"""SELECT r, {k} AS k, '{rule.kind}' AS kind, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS a,
+            length(found[i]) AS n FROM (SELECT r, gaps, found, part, unnest(range(1, len(found) + 1)) AS i FROM (SELECT r, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}, 0) AS found,
+            regexp_extract_all(t, {pattern}, {group}) AS part FROM docs)) WHERE length(part[i]) >= {least}"""
+
+    base = [k for k, rule in enumerate(rules) if rule.base]
+    text = "kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT)"
+    counts = ", ".join(f"count(kind) FILTER (k = {k}) AS n_{rules[k].kind}" for k in base)
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(matches(k, x) for k, x in enumerate(rules))})
+        SELECT doc_id, {counts}, sha256(coalesce(string_agg({text}, ',' ORDER BY a, k) FILTER (k IN ({", ".join(map(str, base))})), '')) AS base_sha256, coalesce(string_agg({text}, ',' ORDER BY a, k), '') AS spans
+        FROM docs LEFT JOIN s USING (r) GROUP BY r, doc_id"""

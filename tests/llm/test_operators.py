@@ -362,3 +362,11 @@ def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     assert queries.QUERIES[name](spark, f"file://{tmp_path}").count() == 0
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_query_equals_its_sql(spark, data, duck, name):
+    df = queries.QUERIES[name](spark, data)
+    found = duck.sql(queries.ORACLE_SQL[name])
+    assert sorted(found.columns) == sorted(df.columns)
+    assert of(df, *found.columns) == sorted(found.fetchall(), key=str)
