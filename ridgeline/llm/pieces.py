@@ -24,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ GAP = b"\xff"
 #: Bytes by which suffixes are sorted; longer pieces are compared in full within their range.
 KEY = 16
 #: Bytes of new parts that are indexed together, about, and parts that a worker keeps.
-INDEXED, KEPT = 1 << 20, 250_000
+INDEXED, KEPT = 1 << 19, 400_000
 #: Looked-up pairs that a worker keeps.
 PAIRS = 1 << 22
 
@@ -127,7 +128,7 @@ class _Pairs:
 
     def fit(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """For pairs of pieces; -1 stands before a part's first piece."""
-        keys = (before + 1) * (1 << 24) + piece
+        keys = (before.astype(np.int64) + 1) * (1 << 24) + piece
         at = self._find(keys)
         missing = np.unique(keys[self.keys[at] == -1])
         if len(missing):
@@ -145,23 +146,27 @@ class _Pairs:
 
 
 def suffix_order(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the order of the suffixes that begin there, the first KEY bytes of each)."""
+    """(places in the order of the suffixes that begin there, the first KEY bytes of each): by half of the key, ties by the other."""
     padded = np.concatenate([raw, np.full(KEY, GAP[0], np.uint8)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, KEY)[starts]
-    keys = np.ascontiguousarray(windows).view(f"S{KEY}").ravel()
-    halves = windows.reshape(-1, 2, 8).copy().view(">u8")[:, :, 0].astype(np.uint64)
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    return starts[order], keys[order]
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, KEY)[starts])
+    halves = windows.view(">u8").astype(np.uint64)
+    order = np.argsort(halves[:, 0])
+    first = halves[order, 0]
+    same = first[1:] == first[:-1]
+    tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((halves[rows, 1], halves[rows, 0]))]
+    return starts[order], windows.view(f"S{KEY}").ravel()[order]
 
 
 def edges(vocabulary: Vocabulary, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, piece) of every occurrence of every piece."""
-    places, keys = suffix_order(raw, np.flatnonzero((raw & 0xC0) != 0x80))
+    places, keys = suffix_order(raw, np.flatnonzero(((raw & 0xC0) != 0x80) & (raw != GAP[0])).astype(np.int32))
     low = np.searchsorted(keys, vocabulary.low, "left")
     high = np.searchsorted(keys, vocabulary.high, "right")
     count = high - low
-    piece = np.repeat(np.arange(len(count)), count)
-    at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    at = np.arange(len(piece)) + np.repeat(low - (np.cumsum(count) - count), count)
     start = places[at]
     size = vocabulary.size[piece]
     long = np.flatnonzero(size > KEY)
@@ -176,55 +181,61 @@ def edges(vocabulary: Vocabulary, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def encode_parts(vocabulary: Vocabulary, pairs: _Pairs, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all parts one after the other, number of ids of each)."""
-    found: dict[int, list[int]] = {}
-    chosen = []
-    for k, part in enumerate(parts):
-        if part[0] not in vocabulary.single or part[:2] == BLANK * 2:
-            found[k] = vocabulary.merged(part)
-        else:
-            chosen.append(k)
-    if chosen:
-        texts = [parts[k].encode() for k in chosen]
+    direct = np.array([part[0] not in vocabulary.single or part[:2] == BLANK * 2 for part in parts])
+    chosen = np.flatnonzero(~direct)
+    owners, found = [], []
+    if len(chosen):
+        texts = [parts[k].encode() for k in chosen.tolist()]
         raw = np.frombuffer(GAP.join(texts) + GAP, np.uint8)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        first = np.cumsum(size + 1) - size - 1
-        owner = np.repeat(np.arange(len(texts)), size + 1)
+        size = np.fromiter(map(len, texts), np.int32, len(texts))
+        first = np.cumsum(size + 1, dtype=np.int32) - size - 1
+        begin = np.repeat(first, size + 1)
         start, end, piece = edges(vocabulary, raw)
-        depth = end - first[owner[start]]
-        order = np.argsort(depth, kind="stable")
+        depth = end - begin[start]
+        order = np.argsort(depth.astype(np.uint16), kind="stable") if len(depth) and depth.max() < 1 << 16 else np.argsort(depth, kind="stable")
         start, end, piece = start[order], end[order], piece[order]
         cuts = np.r_[0, np.cumsum(np.bincount(depth))]
-        last = np.full(len(raw) + 1, -2, np.int64)  # the piece that ends at a place; -2: none
+        last = np.full(len(raw) + 1, -2, np.int32)  # the piece that ends at a place; -2: none
         last[first] = -1
-        came = np.zeros(len(raw) + 1, np.int64)
+        came = np.zeros(len(raw) + 1, np.int32)
         for a, b in zip(cuts[1:-1].tolist(), cuts[2:].tolist(), strict=True):
             s, e, p = start[a:b], end[a:b], piece[a:b]
             open_ = np.flatnonzero(last[s] != -2)
             s, e, p = s[open_], e[open_], p[open_]
-            good = pairs.fit(last[s], p)
+            good = np.flatnonzero(pairs.fit(last[s], p))
             last[e[good]], came[e[good]] = p[good], s[good]
         stops = first + size
-        broken = np.flatnonzero(last[stops] == -2)
-        for k in broken.tolist():
-            found[chosen[k]] = vocabulary.merged(parts[chosen[k]])
-        whole = np.flatnonzero(last[stops] != -2)
-        at, owners, ids = stops[whole], [], []
-        live = whole
+        direct[chosen[last[stops] == -2]] = True
+        live = np.flatnonzero(last[stops] != -2)
+        at = stops[live]
         while len(live):
-            owners.append(live)
-            ids.append(last[at])
+            owners.append(chosen[live])
+            found.append(last[at])
             at = came[at]
             more = at > first[live]
             live, at = live[more], at[more]
-        if owners:
-            owners, ids = np.concatenate(owners[::-1]), np.concatenate(ids[::-1])
-            by = np.argsort(owners, kind="stable")
-            ids, count = ids[by], np.bincount(owners, minlength=len(chosen))
-            ends = np.cumsum(count)
-            for k in whole.tolist():
-                found[chosen[k]] = ids[ends[k] - count[k] : ends[k]]
-    count = np.array([len(found[k]) for k in range(len(parts))], np.int64)
-    return np.concatenate([np.asarray(found[k], np.int32) for k in range(len(parts))]) if parts else np.zeros(0, np.int32), count
+        owners, found = owners[::-1], found[::-1]
+    for k in np.flatnonzero(direct).tolist():
+        ids = vocabulary.merged(parts[k])
+        owners.append(np.full(len(ids), k))
+        found.append(np.array(ids, np.int32))
+    if not owners:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    owner = np.concatenate(owners)
+    return np.concatenate(found)[np.argsort(owner, kind="stable")].astype(np.int32), np.bincount(owner, minlength=len(parts))
+
+
+class _Numbers(dict):
+    """Numbers of parts as they come; ``new`` lists those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        self.new.append(part)
+        return number
 
 
 class Encoder:
@@ -235,23 +246,15 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.numbers) > KEPT:
             self.clear()
-        numbers, new, rows = self.numbers, [], []
-        for text in texts:
-            parts = self.vocabulary.parts.findall(BLANK + text.replace(" ", BLANK)) if text else []
-            row = []
-            for part in parts:
-                number = numbers.get(part)
-                if number is None:
-                    number = numbers[part] = len(numbers)
-                    new.append(part)
-                row.append(number)
-            rows.append(np.array(row, np.int64))
+        number, find = self.numbers.__getitem__, self.vocabulary.parts.findall
+        rows = [np.array(list(map(number, find(BLANK + text.replace(" ", BLANK)))) if text else [], np.int64) for text in texts]
+        new, self.numbers.new = self.numbers.new, []
         at = 0
         while at < len(new):
             stop, size = at, 0
@@ -275,6 +278,15 @@ def decode_ids(vocabulary: Vocabulary, ids) -> str:
     return text[1:] if text[:1] == " " else text
 
 
+def decode_lists(vocabulary: Vocabulary, lists: pa.ListArray) -> list[str | None]:
+    """Texts of lists of ids; null for null."""
+    written = pa.array(vocabulary.written, pa.binary()).take(lists.flatten())
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), written), b"")
+    texts = [x.decode("utf-8", "replace").replace(BLANK, " ") for x in joined.to_pylist()]
+    return [None if null else t[1:] if t[:1] == " " else t for null, t in zip(lists.is_null().to_pylist(), texts, strict=True)]
+
+
 _LOADED: dict[int, tuple[Vocabulary, Encoder]] = {}
 
 
@@ -322,8 +334,7 @@ def decode(encoded: DataFrame, *keep: str, vocabulary: str = VOCABULARY) -> Data
     def run(batches):
         own, _ = _loaded(model.value)
         for batch in _steps(batches, 1024):
-            ids = batch["ids"].combine_chunks() if hasattr(batch["ids"], "combine_chunks") else batch["ids"]
-            texts = [decode_ids(own, [] if x.as_py() is None else x.values.to_pylist()) if x.is_valid else None for x in ids]
+            texts = decode_lists(own, batch["ids"])
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     return rows.mapInArrow(run, kept)
