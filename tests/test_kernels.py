@@ -141,3 +141,33 @@ def test_long_side():
 def test_eta_uses_the_rate_seen(spark):
     df = spark.createDataFrame([(0, 0, None, 0, None, None), (200, 100, 10.0, 2, 1, 3.0), (2_000_000, 0, None, 4, None, None)], "left_bytes long, done_bytes long, download_seconds double, left_tiles long, done_tiles long, processing_seconds double")
     assert [r.eta_seconds for r in eta.remaining(df).collect()] == [0.0, 26.0, 3.0]
+
+
+def clipped(x1, y1, x2, y2, b):
+    """Whether a segment has a point in a box, by clipping its parameter at each side."""
+    low, high = 0.0, 1.0
+    for p, q in ((x1 - x2, x1 - b[0]), (x2 - x1, b[2] - x1), (y1 - y2, y1 - b[1]), (y2 - y1, b[3] - y1)):
+        if p == 0:
+            if q < 0:
+                return False
+        elif p < 0:
+            low = max(low, q / p)
+        else:
+            high = min(high, q / p)
+    return low <= high
+
+
+def test_zone_tiles_against_clipping(spark):
+    rng = random.Random(8)
+    shapes = [[[(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(rng.randint(3, 6))]] for _ in range(25)]
+    boxes = [(x, y, x + rng.uniform(0.5, 9), y + rng.uniform(0.5, 9)) for x, y in ((rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(150))]
+    zones = spark.createDataFrame([(k, [[[{"x": x, "y": y} for x, y in r] for r in s]]) for k, s in enumerate(shapes)], "k int, geometry array<array<array<struct<x:double,y:double>>>>")
+    tiles = spark.createDataFrame([(k, b) for k, b in enumerate(boxes)], "t int, bbox_3006 struct<minx:double,miny:double,maxx:double,maxy:double>")
+
+    def inside(ring, x, y):
+        hits = [(y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)]
+        return sum(hits) % 2 == 1
+
+    want = {(k, t) for k, (ring,) in enumerate(shapes) for t, b in enumerate(boxes) if inside(ring, b[0], b[1]) or any(clipped(*p, *q, b) for p, q in zip(ring, ring[1:] + ring[:1], strict=True))}
+    rows = [(r.k, r.t) for r in geometry.zone_tiles(zones, tiles, 7.0).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want

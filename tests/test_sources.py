@@ -43,7 +43,7 @@ def summary(spark):
         "tatort string, kommun string, tatortskod string, collections string, batches long, total_raw_size_mb double, tiles_scanned long, tiles_used long, min_altitude_m double, "
         f"max_altitude_m double, min_coord {point}, max_coord {point}, altitude_range_m double, relief_q05_m double, relief_q95_m double, normalized_relief double, rms_slope_deg double, hilliness_score double"
     )
-    row = ("Lund", "Lund", "1281TC105", "mhm-61_3", 1, 98.19, 12, 12, 5.0, 86.0, (385000.0, 6175000.0), (386000.0, 6176000.0), 81.0, 10.0, 75.0, 12.3456, 4.321, 53.348)
+    row = ("Aby", "Aby", "0001", "c-1", 1, 98.19, 12, 12, 5.0, 86.0, (385000.0, 6175000.0), (386000.0, 6176000.0), 81.0, 10.0, 75.0, 12.3456, 4.321, 53.348)
     return spark.createDataFrame([row], schema)
 
 
@@ -61,14 +61,14 @@ def test_results_file(spark, tmp_path):
 def test_state_round_trip(spark, tmp_path):
     store = state.Snapshots(spark, f"file://{tmp_path}", {"runs": schemas.RUNS, "tiles": schemas.TILE_STATE})
     assert store.read("runs").isEmpty()
-    plan = spark.createDataFrame([("Lund", "Lund", "c", ["x"], 1, 1, 123)], "tatort string, kommun string, tatortskod string, collections array<string>, planned_batches long, planned_tiles long, total_raw_size_bytes long")
+    plan = spark.createDataFrame([("Aby", "Aby", "c", ["x"], 1, 1, 123)], "tatort string, kommun string, tatortskod string, collections array<string>, planned_batches long, planned_tiles long, total_raw_size_bytes long")
     runs = store.write("runs", state.register_runs(store.read("runs"), plan))
     runs = store.write("runs", state.store_summaries(runs, summary(spark).drop("collections", "tatortskod")))
     again = store.write("runs", state.register_runs(runs, plan.withColumn("planned_batches", F.lit(2).cast("long")))).first()
     assert (again.status, again.planned_batches, again.min_coord_x, again.hilliness_score) == ("completed", 2, 385000.0, 53.348)
     missing = state.store_summaries(store.read("runs"), summary(spark).drop("collections", "tatortskod").withColumn("kommun", F.lit("other")))
     assert missing.count() == 1
-    tiles = spark.createDataFrame([("Lund", "Lund", "t1", 123, 1, 1)], "tatort string, kommun string, item_id string, size_bytes long, batch_index int, batch_position int")
+    tiles = spark.createDataFrame([("Aby", "Aby", "t1", 123, 1, 1)], "tatort string, kommun string, item_id string, size_bytes long, batch_index int, batch_position int")
     stored = store.write("tiles", state.register_tiles(store.read("tiles"), tiles))
     stored = store.write("tiles", state.mark_downloaded(stored, tiles))
     assert stored.first().download_status == "downloaded"
