@@ -171,6 +171,7 @@ def slots(spark, sources: list[Source]) -> DataFrame:
                     ["shard", "slot", "number", "block"],
                 )
 
+    # the planner takes the slots for as few as the shards: whoever joins them asks for a merge join
     parts = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism * (1 + shards // 10_000)))
     return spark.range(0, shards, 1, parts).mapInArrow(run, "shard long, slot int, number int, block long")
 
@@ -250,7 +251,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     sources = sources_of(cut(rows.select("source", "size")), weights, share, most)
     parts = segments(positions(rows, sources), "number", "source", "doc_id", text=F.col("text")).where(F.col("n_words") > 0)
     taken = slots(docs.sparkSession, sources)
-    return parts.join(taken, ["number", "block"]).select("shard", "slot", "source", "block", "first_word", "n_words", "doc_id", F.col("passage").alias("text"))
+    return parts.join(taken.hint("merge"), ["number", "block"]).select("shard", "slot", "source", "block", "first_word", "n_words", "doc_id", F.col("passage").alias("text"))
 
 
 def shares(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -262,7 +263,7 @@ def shares(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     taken = slots(docs.sparkSession, sources).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
     # rows with words differ in their start; equal rows without words fall together, are counted and repeated
     return (
-        parts.join(taken, ["number", "block"], "left")
+        parts.join(taken.hint("merge"), ["number", "block"], "left")
         .groupBy(*fixed)
         .agg(
             F.sum(F.coalesce(F.col("n_words") * F.col("times"), F.lit(0))).cast("long").alias("taken"),
@@ -287,7 +288,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     times = slots(docs.sparkSession, sources).groupBy("number", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
     # equal rows have a list of parts each, and take them in order of their start
     plans = (
-        parts.join(times, ["number", "block"])
+        parts.join(times.hint("merge"), ["number", "block"])
         .groupBy("row_hash", "start")
         .agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words", "times"))).alias("parts"))
         .withColumn("copy", F.row_number().over(Window.partitionBy("row_hash").orderBy("start")))
@@ -302,6 +303,6 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         return F.array_join(F.concat(*(turn(k) for k in range(1, int(most) + 1))), " ")
 
     text = let(words(F.col("_row.text")), passages)
-    made = numbered.join(plans.select("row_hash", "copy", "parts"), ["row_hash", "copy"]).select("_row", text.alias("_text"))
+    made = numbered.join(plans.select("row_hash", "copy", "parts").hint("merge"), ["row_hash", "copy"]).select("_row", text.alias("_text"))
     fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return made.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.`{c}`").alias(c) for c in names))
