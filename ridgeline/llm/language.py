@@ -12,6 +12,7 @@ are ignored; an empty table gives an empty result; without any labelled row ever
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -43,8 +44,8 @@ SCRIPTS = (
     (0x10000, "other"), (0x20000, "han"),
 )
 NAMES = tuple(dict.fromkeys(name for _, name in SCRIPTS))
-STARTS = np.array([at for at, _ in SCRIPTS])
-KIND_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
+STARTS = [at for at, _ in SCRIPTS]
+KIND_OF = [NAMES.index(name) for _, name in SCRIPTS]
 LATIN = NAMES.index("latin")
 
 
@@ -52,7 +53,7 @@ def script_of(word: str) -> int:
     """The script of a word's first letter, -1 without any letter."""
     for c in word:
         if c.isalpha():
-            return int(KIND_OF[np.searchsorted(STARTS, ord(c), side="right") - 1])
+            return KIND_OF[bisect_right(STARTS, ord(c)) - 1]
     return -1
 
 
@@ -151,18 +152,20 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     run = np.vstack([np.zeros(scores.shape[1]), np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)])
     if (run - np.minimum.accumulate(run, axis=0)).max() <= switch:
         return np.full(len(scores), best)
-    own = np.arange(scores.shape[1])
-    came = np.empty(scores.shape, np.int32)
-    value = scores[0].astype(np.float64)
-    for t in range(1, len(scores)):
-        top = int(np.argmax(value))
-        stay = value >= value[top] - switch
-        came[t] = np.where(stay, own, top)
-        value = np.where(stay, value, value[top] - switch) + scores[t]
+    rows = scores.tolist()
+    came: list[list[int]] = []
+    value = rows[0]
+    for row in rows[1:]:
+        high = max(value)
+        top, least = value.index(high), high - switch
+        came.append([k if v >= least else top for k, v in enumerate(value)])
+        value = [(v if v >= least else least) + x for v, x in zip(value, row, strict=True)]
     path = np.empty(len(scores), np.int64)
-    path[-1] = int(np.argmax(value))
+    at = value.index(max(value))
     for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
+        path[t] = at
+        at = came[t - 1][at]
+    path[0] = at
     return path
 
 
