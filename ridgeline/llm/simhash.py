@@ -128,11 +128,17 @@ def _forest(rows: np.ndarray, close, left: int | None = None) -> list[tuple[int,
     """
     links = []
     if left is not None:
-        first, second = rows[:left], rows[left:]
-        for k in range(len(first)):
-            hit = np.flatnonzero(close(second, np.broadcast_to(first[k : k + 1], len(second))))
-            links += [(k, left + int(j)) for j in hit]
-        return _spanning(len(rows), links)
+        sides = [np.arange(left), np.arange(left, len(rows))]
+        while len(sides[0]) and len(sides[1]):
+            frontier, sides[0] = [(0, int(sides[0][0]))], sides[0][1:]
+            while frontier:
+                side, k = frontier.pop()
+                rest = sides[1 - side]
+                hit = close(rows[rest], np.broadcast_to(rows[k : k + 1], len(rest)))
+                links += [(k, int(j)) for j in rest[hit]]
+                frontier += [(1 - side, int(j)) for j in rest[hit]]
+                sides[1 - side] = rest[~hit]
+        return links
     rest = np.arange(len(rows))
     while len(rest):
         frontier, rest = [int(rest[0])], rest[1:]
@@ -145,24 +151,6 @@ def _forest(rows: np.ndarray, close, left: int | None = None) -> list[tuple[int,
     return links
 
 
-def _spanning(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of the links, those that first connect two groups."""
-    up = list(range(n))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    kept = []
-    for a, b in links:
-        x, y = root(a), root(b)
-        if x != y:
-            up[y] = x
-            kept.append((a, b))
-    return kept
-
-
 ROW = np.dtype([("fp", np.uint64), ("p", np.uint8, (PIVOTS,))])
 BUCKETS = ("choice", "bits", "part_a", "part_b")
 
@@ -221,26 +209,30 @@ def _links_of(table, close, name: str, kind):
     return run
 
 
-def _dealt(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of buckets (choice, bits) with more than one row, sorted by bucket and part.
+def _parts(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of buckets (choice, bits) with more than one row, with their parts.
 
     A bucket of over BUCKET rows is cut in parts of about half of that by a hash of ``by``, and each pair of parts meets once.
     """
     sizes = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("rows_in")).where("rows_in > 1")
     parts = F.when(F.col("rows_in") > BUCKET, F.ceil(F.col("rows_in") * 2 / BUCKET)).otherwise(1).cast("int").alias("parts")
     sized = rows.join(sizes.select("choice", "bits", parts), ["choice", "bits"])
-    dealt = (
+    return (
         sized.withColumn("part", F.pmod(F.xxhash64(by), F.col("parts").cast("long")).cast("int"))
         .select(*rows.columns, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
         .select(*rows.columns, "part", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"))
     )
-    return dealt.repartition(*BUCKETS).sortWithinPartitions(*BUCKETS)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with their parts, sorted by bucket and part."""
+    return rows.repartition(*BUCKETS).sortWithinPartitions(*BUCKETS)
 
 
 def links(fps: DataFrame, n: int) -> DataFrame:
     """(a, b): links between the given distinct fingerprints, enough of them to connect whatever all links connect."""
     rows = pivot_table(fps.select("fp")).select("*", _bucket_keys(F.col("fp"), blocks_for(n)).alias("key")).select("*", "key.*").drop("key")
-    return _dealt(rows, "fp").mapInArrow(_links_of(_fp_rows, _linked, "fp", pa.int64()), "a long, b long").distinct()
+    return _dealt(_parts(rows, "fp")).mapInArrow(_links_of(_fp_rows, _linked, "fp", pa.int64()), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,10 +279,12 @@ def clusters(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Longs of a wide fingerprint, bands of least hashes and hashes in each.
-WIDE, BANDS, BAND = 16, 12, 4
+#: Longs of a wide fingerprint, bands of least hashes and hashes in each: a pair of similarity 0.8 shares no band once in 3 * 10^7 times.
+WIDE, BANDS, BAND = 16, 24, 3
+#: Standard deviations of its estimate by which a pair may miss the similarity and still be compared, and the fewest shingles of both for an estimate.
+SLACK, ESTIMATED = 6, 256
 SKETCH = "doc_id long, row_key long, content binary, n_shingles long, wide binary, bands array<long>"
-WIDE_ROW = np.dtype([("fp", np.uint64, (WIDE,)), ("p", np.int16, (PIVOTS,)), ("n", np.int64)])
+WIDE_ROW = np.dtype([("fp", np.uint64, (WIDE,)), ("p", np.int16, (PIVOTS,)), ("n", np.int64), ("set", object)])
 
 
 def _mixers(n: int, seed: int) -> np.ndarray:
@@ -305,6 +299,25 @@ def _mixed(hashes: np.ndarray, mixers: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
+    """The hashes of the different shingles of a text."""
+    shingles = {b" ".join(tokens)} if len(tokens) < words else set(map(b" ".join, zip(*(tokens[k:] for k in range(words)))))
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+
+
+class _Set:
+    """The shingles of a text as sorted hashes, made when first asked for."""
+
+    def __init__(self, text: str | None, words: int):
+        self.text, self.words, self.made = text, words, None
+
+    def hashes(self) -> np.ndarray:
+        if self.made is None:
+            self.made = np.sort(_shingles((self.text or "").encode().lower().split(), self.words))
+            self.text = None
+        return self.made
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """Of each row: a digest of its words, the number of its different shingles, their wide fingerprint and bands of least hashes."""
     wide_of, least_of = _mixers(WIDE, 11), _mixers(BANDS * BAND, 12)
@@ -312,8 +325,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     def one(text: str | None):
         tokens = (text or "").encode().lower().split()
         content = xxhash.xxh3_128_digest(b" ".join(tokens))
-        shingles = {b" ".join(tokens)} if len(tokens) < words else set(map(b" ".join, zip(*(tokens[k:] for k in range(words)))))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+        hashes = _shingles(tokens, words)
         least = np.full(BANDS * BAND, np.uint64(2**64 - 1))
         for at in range(0, len(hashes), 4096):
             least = np.minimum(least, _mixed(hashes[at : at + 4096], least_of).min(axis=0))
@@ -335,7 +347,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, SKETCH)
 
 
-def _wide_rows(batch) -> np.ndarray:
+def _wide_rows(batch, words: int) -> np.ndarray:
     rows = np.empty(batch.num_rows, WIDE_ROW)
     rows["fp"] = np.frombuffer(b"".join(batch["wide"].to_pylist()), np.uint64).reshape(-1, WIDE)
     far = [[xxhash.xxh3_128_digest(str(k), 100 + j) for j in range(WIDE // 2)] for k in range(PIVOTS)]
@@ -343,24 +355,30 @@ def _wide_rows(batch) -> np.ndarray:
     for k in range(PIVOTS):
         rows["p"][:, k] = np.bitwise_count(rows["fp"] ^ pivots[k]).sum(axis=1)
     rows["n"] = batch["n_shingles"].to_numpy()
+    rows["set"] = [_Set(t, words) for t in batch["text"].to_pylist()]
     return rows
 
 
 def _alike(similarity: float):
-    """Whether the Jaccard similarity of two shingle sets, as their wide fingerprints and sizes give it, is at least this.
+    """Whether the Jaccard similarity of two shingle sets is at least this.
 
-    Differing bits measure the angle between the sets. Pivot distances come first: they bound the differing bits from below.
+    The sets' sizes bound it from above. Differing bits of wide fingerprints measure the angle between the sets: a pair that is
+    SLACK deviations off is left out, pivot distances first, as they bound the differing bits from below. All others are intersected.
     """
     bits = WIDE * 64
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x, y = a["n"].astype(float), b["n"].astype(float)
         shared = similarity * (x + y) / (1 + similarity)
-        cosine = shared / np.sqrt(np.maximum(x * y, 1e-9))
-        most = np.where(cosine <= 1, np.arccos(np.minimum(cosine, 1)) / np.pi * bits, -1)
-        out = np.abs(a["p"] - b["p"]).max(axis=-1) <= most
+        angle = np.arccos(np.minimum(shared / np.sqrt(np.maximum(x * y, 1e-9)), 1)) / np.pi
+        most = np.where(np.minimum(x, y) >= ESTIMATED, bits * angle + SLACK * np.sqrt(bits * np.maximum(angle * (1 - angle), 1 / bits)), bits)
+        out = (np.minimum(x, y) >= shared - 1e-9) & (np.abs(a["p"] - b["p"]).max(axis=-1) <= most)
         at = np.flatnonzero(out)
-        out[at] = np.bitwise_count(a["fp"][at] ^ b["fp"][at]).sum(axis=-1) <= most[at]
+        at = at[np.bitwise_count(a["fp"][at] ^ b["fp"][at]).sum(axis=-1) <= most[at]]
+        out[:] = False
+        for k in at.tolist():
+            both = len(np.intersect1d(a["set"][k].hashes(), b["set"][k].hashes(), assume_unique=True))
+            out[k] = both >= shared[k] - 1e-9
         return out
 
     return close
@@ -370,15 +388,19 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     """One row of each group of texts whose word shingles are alike, directly or by others: the one with the least id.
 
     At this similarity too many bits differ for blocks of equal bits, and for pivots to tell pairs apart, so texts meet in
-    bands of least hashes of their shingles; pivots and wide fingerprints decide. All columns are kept. Texts of the
-    same words are one content from the start. Equal rows fall together.
+    bands of least hashes of their shingles; pivots and wide fingerprints discard pairs, and the shingles themselves decide.
+    All columns are kept. Texts of the same words are one content from the start. Equal rows fall together.
     """
     made = cut(sketches(docs, words))
     row = F.struct("doc_id", "row_key")
     contents = made.groupBy("content").agg(F.min(row).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
     contents = cut(contents)
-    keys = contents.select("content", "n_shingles", "wide", F.posexplode("bands").alias("choice", "bits"))
-    edges = _dealt(keys, "content").mapInArrow(_links_of(_wide_rows, _alike(similarity), "content", pa.binary()), "a binary, b binary").distinct()
+    met = cut(_parts(contents.select("content", F.posexplode("bands").alias("choice", "bits")), "content"))
+    own = contents.join(met.select("content").distinct(), "content", "left_semi").select("content", "n_shingles", "wide", F.col("least.row_key").alias("_key"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("_key"), "text")
+    own = own.join(texts, "_key").groupBy("content").agg(*(F.first(c).alias(c) for c in ("n_shingles", "wide", "text")))
+    found = _links_of(lambda batch: _wide_rows(batch, words), _alike(similarity), "content", pa.binary())
+    edges = _dealt(met.join(own, "content")).mapInArrow(found, "a binary, b binary").distinct()
     roots = components(edges)
     least = (
         contents.select("content", "least")

@@ -275,6 +275,28 @@ def test_similarity_dedup(spark, odd):
     assert out.columns == odd.columns and [r.doc_id for r in out.where("doc_id = 1").collect()] == [1]
 
 
+@pytest.mark.parametrize("bucket", [4096, 6])
+def test_similarity_dedup_is_exact(spark, monkeypatch, bucket):
+    """Pairs close to the similarity fall on the side that their shingles say, also where a bucket is dealt in parts."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(14)
+    texts = []
+    for size in (40, 150, 400):
+        for k in range(20):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            other = list(base)
+            for at in rng.sample(range(size), max(1, round(size * (0.018 + 0.0008 * k)))):
+                other[at] = "changed"
+            texts += [base, other]
+    sets = [set(zip(*(t[k:] for k in range(5)))) for t in texts]
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    near = sum(0.75 < len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) < 0.85 for k in range(0, len(sets), 2))
+    assert near > 20
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(components(list(range(len(texts))), alike))
+
+
 def test_language(spark, odd):
     rng = random.Random(6)
     words = {lang: ["".join(rng.choice(chars) for _ in range(rng.randint(3, 8))) for _ in range(80)] for lang, chars in (("aa", "abcde"), ("bb", "eotnz"), ("ru", "абвгд"))}
