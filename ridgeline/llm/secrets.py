@@ -48,6 +48,13 @@ RULES = (
     Rule("slack", r"xox[abps]-[A-Za-z0-9-]{10,}"),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9+/_.=-]{20,}"),
 )
+#: What a private key is from its first line on: all up to its END line, or without one, the lines of base64 that follow.
+PEM_REST = (
+    r"(?:[^-]*(?:-[^-]+){0,16}-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"|(?:\s*(?:Proc-Type|DEK-Info):[^\r\n]*){0,2}(?:[\s\\]+[A-Za-z0-9+/]{16,}={0,2}){1,256}(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?|)"
+)
+#: The rules of what is replaced: as reported, but a private key is whole.
+REPLACED = tuple(Rule(r.kind, r.pattern + PEM_REST) if r.kind == "pem" else r for r in RULES)
 #: Most strings that a part of an expression is spelled out in.
 SPELLED = 64
 
@@ -255,8 +262,8 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with every secret replaced by its kind in brackets; overlapping secrets are replaced together, by the first kind."""
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = REPLACED) -> DataFrame:
+    """The documents with every secret, private keys whole, replaced by its kind in brackets; overlapping secrets are replaced together, by the first kind."""
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "text")
     found = scan(rows, "_row", rules=rules)

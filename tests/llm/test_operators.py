@@ -107,6 +107,26 @@ def test_secrets(spark, odd, docs):
     assert {r.doc_id: r.text for r in secrets.redacted(docs).collect() if r.doc_id in clean} == clean
 
 
+def test_private_keys_are_replaced_whole(spark):
+    rng = random.Random(2)
+    lines = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/") for _ in range(64)) for _ in range(90)]
+    body, begin, end = "\n".join([*lines, "qQ9x=="]), "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    texts = {
+        f"a\n{begin}\n{body}\n{end}\nb": "a\n[pem]\nb",
+        f"a {begin}\n{head}{body}\n{end} b - c": "a [pem] b - c",
+        f"a\n{begin}\n{body}\nwords after - it": "a\n[pem]\nwords after - it",
+        f"a\n{begin}\n{head}{body}\n\nwords": "a\n[pem]\n\nwords",
+        f"{begin}\n{body}\n\nbetween\n{begin}\n{body}\n{end}\nb": "[pem]\n\nbetween\n[pem]\nb",
+        f"{begin}\\n{lines[0]}\\n{lines[1]}\\n{end}": "[pem]",
+        f"the line {begin} alone": "the line [pem] alone",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in secrets.redacted(df).orderBy("doc_id").collect()] == list(texts.values())
+    pem = [r.pattern for r in secrets.RULES if r.kind == "pem"][0]
+    assert secrets.trigram_query(pem + secrets.PEM_REST) == secrets.trigram_query(pem)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]+") is None
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == secrets.All(("aki", "kia"))
