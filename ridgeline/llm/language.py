@@ -144,13 +144,14 @@ def fit(docs: DataFrame) -> Model:
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of each word when every switch costs ``switch``; ties go to the first language and to staying.
 
-    When no stretch of words gains more than one switch by another language than the best single one,
-    the path is that one, and the search is left out.
+    The search is left out where no other path can beat the best single language: a path of m stretches pays m - 1 switches, so
+    it gains nothing if all words together gain one switch at most by their best languages, or any stretch half of one at most.
     """
     total = scores.sum(axis=0)
     best = int(np.argmax(total))
-    run = np.vstack([np.zeros(scores.shape[1]), np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)])
-    if (run - np.minimum.accumulate(run, axis=0)).max() <= switch:
+    gains = scores - scores[:, best : best + 1]
+    run = np.vstack([np.zeros(scores.shape[1]), np.cumsum(gains, axis=0, dtype=np.float64)])
+    if gains.max(axis=1).sum(dtype=np.float64) <= switch or (run - np.minimum.accumulate(run, axis=0)).max() <= switch / 2:
         return np.full(len(scores), best)
     rows = scores.tolist()
     came: list[list[int]] = []

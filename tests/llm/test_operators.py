@@ -341,6 +341,20 @@ def test_viterbi_is_the_best_path():
         assert abs(sum(scores[t, path[t]] for t in range(6)) - 1.5 * (np.diff(path) != 0).sum() - best) < 1e-9
 
 
+def test_viterbi_search_is_left_out_only_where_it_may():
+    """Two languages that are each good at a half beat a third that is fair at both; and paths near the bound against all paths."""
+    ends = np.array([[0, -8, -3]] * 4 + [[-8, 0, -3]] * 4, np.float32)
+    assert language.viterbi(ends, 12.0).tolist() == [0] * 4 + [1] * 4
+    rng = np.random.default_rng(5)
+    paths = np.array(list(np.ndindex(*[3] * 7)))
+    for _ in range(300):
+        scores = -rng.random((7, 3)) * 4 * (rng.random((7, 3)) < 0.7)
+        gain = (scores - scores[:, [int(np.argmax(scores.sum(axis=0)))]]).max(axis=1).sum()
+        switch = max(0.1, gain * rng.choice([0.3, 0.5, 0.7, 0.99, 1.01]))
+        values = lambda p: scores[np.arange(7), p].sum(axis=-1) - switch * (np.diff(p, axis=-1) != 0).sum(axis=-1)  # noqa: B023, E731
+        assert abs(values(language.viterbi(scores, switch)) - values(paths).max()) < 1e-9
+
+
 def test_mixing(spark, odd, docs):
     for df in (odd, docs):
         rows = df.collect()
