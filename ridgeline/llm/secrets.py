@@ -10,14 +10,17 @@ The key of a text is a hash of its id and contents. Two texts of one key would s
 candidates, which are verified in any case.
 
 Defined cases: a null text counts as empty; repeated rows and ids are scanned row by row; extra columns are ignored;
-an empty table gives an empty result. Places are code points, the end exclusive.
+an empty table gives an empty result. Places are code points, the end exclusive. Very long texts, and texts of very many
+secrets, take time in proportion to their length, but for a logarithm of the number of secrets.
 """
 
 from __future__ import annotations
 
 import re._parser as parser
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
+from operator import add
 from re import _constants as op
 
 from pyspark.sql import Column, DataFrame
@@ -161,18 +164,25 @@ def trigrams(query) -> set[str]:
     return {query} if isinstance(query, str) else {t for part in query.parts for t in trigrams(part)}
 
 
-def _holds(query, bits: Column, places: dict[str, int]) -> Column:
-    """Whether a set of trigrams, as bits, fulfils a query."""
+def _holds(query, words: list[Column], places: dict[str, int]) -> Column:
+    """Whether a set of trigrams, as bits in words of 64, fulfils a query."""
     if isinstance(query, All) and all(isinstance(x, str) for x in query.parts):
-        mask = F.lit(sum(1 << places[t] for t in query.parts)).cast("long")
-        return bits.bitwiseAND(mask) == mask
-    parts = [_holds(x, bits, places) for x in query.parts]
-    out = parts[0]
-    for x in parts[1:]:
+        masks: dict[int, int] = {}
+        for t in query.parts:
+            masks[places[t] // 64] = masks.get(places[t] // 64, 0) | 1 << places[t] % 64
+        each = [words[w].bitwiseAND(F.lit(_signed(m)).cast("long")) == F.lit(_signed(m)).cast("long") for w, m in sorted(masks.items())]
+    else:
+        each = [_holds(x, words, places) for x in query.parts]
+    out = each[0]
+    for x in each[1:]:
         out = out & x if isinstance(query, All) else out | x
     return out
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def key_of(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
@@ -185,40 +195,72 @@ def index(docs: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def candidates(postings: DataFrame, queries: dict[int, object], wanted: list[str]) -> DataFrame:
-    """(key, rules): the texts that fulfil queries, with one bit for each rule; postings are intersected by key."""
+    """(key, rules): the texts that fulfil queries, with the numbers of their rules; postings are intersected by key, 64 trigrams to a word of bits."""
     places = {t: k for k, t in enumerate(wanted)}
-    sets = postings.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("held"))
-    rules = F.lit(0).cast("long")
-    for k, query in queries.items():
-        rules = rules.bitwiseOR(F.when(_holds(query, F.col("held"), places), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return sets.select("key", rules.alias("rules")).where(F.col("rules") != 0)
+    bit = F.expr("shiftleft(1L, trigram % 64)")
+    held = [f"held{w}" for w in range(-(-len(wanted) // 64))]
+    sets = postings.groupBy("key").agg(
+        *(F.bit_or(F.when(F.floor(F.col("trigram") / 64) == w, bit).otherwise(F.lit(0).cast("long"))).alias(c) for w, c in enumerate(held)),
+    )
+    words = [F.col(c) for c in held]
+    rules = F.array_compact(F.array(*(F.when(_holds(query, words, places), F.lit(k)) for k, query in queries.items())))
+    return sets.select("key", rules.alias("rules")).where(F.size("rules") > 0)
+
+
+#: Steps that reach over any array, each FACTOR times as far as the one before: a text of 2 GB has fewer than 2 ** 30 matches.
+STEPS, FACTOR = 10, 8
+
+
+def running(values: Column, joined) -> Column:
+    """What ``joined`` makes of each value and all before it, in n log n steps; it gets groups of any size, with nulls for what is missing.
+
+    After step k, each value stands for itself and up to FACTOR ** k - 1 before it.
+    """
+
+    def grown(x: Column, step: int) -> Column:
+        return F.transform(x, lambda v, i: joined(v, *(F.get(x, i - k * step) for k in range(1, FACTOR))))
+
+    def level(a: Column, step: int) -> Column:
+        return let(a, lambda x: F.when(F.size(x) <= step, x).otherwise(grown(x, step)))
+
+    return reduce(level, (FACTOR**k for k in range(STEPS)), values)
+
+
+def total(*values: Column) -> Column:
+    return reduce(add, (F.coalesce(x, F.lit(0)) for x in values))
 
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+PIECE = "array<struct<rank:int,size:int,part:int,step:bigint>>"
 
 
-def spans_of(rule: Rule, rank: int, text: Column) -> Column:
-    """The spans of a rule's leftmost matches that don't overlap, those too short left out.
+def pieces_of(rule: Rule, rank: int, text: Column) -> Column:
+    """The leftmost matches of a rule that don't overlap: their length, that of their secret, and ``step``, the length from the end of the one before.
 
-    The pieces between matches and the matches give the places: each is as long as it is in code points.
+    A last piece without a match reaches to the text's end, so that the steps of all pieces come to the text's length.
     """
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    lengths = F.zip_with(
-        F.transform(F.split(text, rule.pattern), lambda x: F.length(x)),
-        F.zip_with(found, F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda a, b: F.struct(F.length(a).alias("all"), F.length(b).alias("part"))),
-        lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), lambda x: F.length(x))
+    gaps = F.transform(F.split(text, rule.pattern), lambda x: F.length(x))
+
+    def of(sizes: Column) -> Column:
+        found = F.zip_with(sizes, lengths(rule.group) if rule.group else sizes, lambda a, b: F.struct(a.alias("size"), b.alias("part")))
+        step = lambda gap, m: (gap + F.coalesce(m["size"], F.lit(0))).cast("long")
+        return F.zip_with(gaps, found, lambda gap, m: F.struct(F.lit(rank).alias("rank"), m["size"].alias("size"), m["part"].alias("part"), step(gap, m).alias("step")))
+
+    return let(lengths(0), of)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["gap"]
-        end = first + F.coalesce(x["match"]["all"], F.lit(0))
-        span = F.array(F.struct(first.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        keep = F.coalesce(x["match"]["part"] >= F.lit(max(1, rule.least)), F.lit(False))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+def spans_of(pieces: Column, sums: Column, length: Column, rules: tuple[Rule, ...]) -> Column:
+    """Spans from the pieces of one rule after another and the running sums of their steps, which go once through the text for each rule."""
+    kinds = F.array(*(F.lit(r.kind) for r in rules))
+    least = F.array(*(F.lit(max(1, r.least)) for r in rules))
+    kept = F.filter(F.arrays_zip(pieces.alias("p"), sums.alias("sum")), lambda x: x["p"]["part"] >= F.get(least, x["p"]["rank"]))
 
-    return F.aggregate(lengths, start, step)["spans"]
+    def span(x: Column) -> Column:
+        end = ((x["sum"] - 1) % length + 1).cast("int")
+        return F.struct((end - x["p"]["size"]).alias("start"), x["p"]["rank"].alias("rank"), F.get(kinds, x["p"]["rank"]).alias("kind"), end.alias("end"))
+
+    return F.array_sort(F.transform(kept, span))
 
 
 #: The expression that finds a rule's spans. A match of characters that are all of one class, and so ends where its run ends, can be asked for by its least length at once.
@@ -229,21 +271,22 @@ def scan(docs: DataFrame, *keep: str, rules: tuple[Rule, ...] = RULES) -> DataFr
     """The named columns of each document with ``spans``: start, rank, kind and end of every secret, in order."""
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     wanted = sorted(set().union(*map(trigrams, queries.values())))
-    if len(wanted) > 64:
-        raise ValueError("the rules' queries have more than 64 trigrams; scan with fewer rules at a time")
     rows = docs.select(*keep, *({"doc_id", "text"} - set(keep)))
     rows = rows.withColumn("_text", F.coalesce("text", F.lit("")))
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = candidates(index(plain, wanted), queries, wanted)
-    joined = rows.withColumn("_key", key_of(F.col("doc_id"), F.col("_text"))).join(found.withColumnRenamed("key", "_key"), "_key", "left")
-    bits = F.coalesce(F.col("rules"), F.lit(0).cast("long"))
-    none = F.array().cast(SPAN)
+    if queries:
+        plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        found = candidates(index(plain, wanted), queries, wanted)
+        rows = rows.withColumn("_key", key_of(F.col("doc_id"), F.col("_text"))).join(found.withColumnRenamed("key", "_key"), "_key", "left")
+        asked_of = F.coalesce(F.col("rules"), F.array().cast("array<int>"))
+    none = F.array().cast(PIECE)
+    quick = tuple(Rule(r.kind, FAST[r.kind], 0, 0, r.base) if r.kind in FAST else r for r in rules)
     each = []
-    for k, rule in enumerate(rules):
-        fast = Rule(rule.kind, FAST[rule.kind], 0, 0, rule.base) if rule.kind in FAST else rule
-        asked = bits.bitwiseAND(F.lit(1 << k).cast("long")) != 0 if k in queries else F.lit(True)
-        each.append(F.when(asked & F.rlike("_text", F.lit(fast.pattern)), spans_of(fast, k, F.col("_text"))).otherwise(none))
-    return joined.select(*keep, F.array_sort(F.concat(*each)).alias("spans"))
+    for k, rule in enumerate(quick):
+        asked = F.array_contains(asked_of, F.lit(k)) if k in queries else F.lit(True)
+        each.append(F.when(asked & F.rlike("_text", F.lit(rule.pattern)), pieces_of(rule, k, F.col("_text"))).otherwise(none))
+    found = rows.select(*keep, F.length("_text").alias("_length"), F.concat(*each).alias("_pieces"))
+    sums = found.withColumn("_sums", running(F.transform("_pieces", lambda p: p["step"]), total))
+    return sums.select(*keep, F.when(F.size("_pieces") == 0, F.array().cast(SPAN)).otherwise(spans_of(F.col("_pieces"), F.col("_sums"), F.col("_length"), quick)).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -262,24 +305,62 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = REPLACED) -> DataFrame:
-    """The documents with every secret, private keys whole, replaced by its kind in brackets; overlapping secrets are replaced together, by the first kind."""
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "text")
-    found = scan(rows, "_row", rules=rules)
+APART = "array<struct<start:int,kind:string,end:int>>"
+
+
+def merged(spans: Column) -> Column:
+    """(start, kind, end) of spans in order, those that overlap made one under the first one's kind."""
+
+    def of(tops: Column) -> Column:
+        marked = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i")))
+        heads = F.filter(marked, lambda s: (s["i"] == 0) | (s["start"] >= F.get(tops, s["i"] - 1)))
+        end = lambda x, j: F.get(tops, F.coalesce(F.get(x, j + 1)["i"], F.size(tops)) - 1)
+        return let(heads, lambda x: F.transform(x, lambda h, j: F.struct(h["start"].alias("start"), h["kind"].alias("kind"), end(x, j).alias("end"))))
+
+    return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), of)
+
+
+def cut_up(pieces: Column) -> Column:
+    """Pieces of a text (text, at, spans), those with more than one span cut at spans in up to FACTOR parts."""
 
-    def cut_out(text: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    def parts(p: Column) -> Column:
+        n = F.size(p["spans"])
+        most = F.least(n, F.lit(FACTOR))
+        place = lambda k: F.floor(k * n / most).cast("int")
 
-        def step(acc: Column, s: Column) -> Column:
-            between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-            mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], between, mark).alias("text"))
+        def part(k: Column) -> Column:
+            low, high = place(k), place(k + 1)
+            begin = F.when(k == 0, p["at"]).otherwise(F.get(p["spans"], low)["start"])
+            end = F.coalesce(F.get(p["spans"], high)["start"], p["at"] + F.length(p["text"]))
+            return F.struct(F.substring(p["text"], begin - p["at"] + 1, end - begin).alias("text"), begin.alias("at"), F.slice(p["spans"], low + 1, high - low).alias("spans"))
 
-        return let(F.aggregate(F.col("spans"), start, step), lambda a: F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))))
+        return F.when(n <= 1, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), most - 1), part))
 
-    text = F.when(F.size("spans") == 0, F.col("_row.text")).otherwise(let(F.coalesce(F.col("_row.text"), F.lit("")), cut_out))
-    made = found.select("_row", text.alias("_text"))
+    return let(pieces, lambda x: F.when(F.forall(x, lambda p: F.size(p["spans"]) <= 1), x).otherwise(F.flatten(F.transform(x, parts))))
+
+
+def marked(p: Column) -> Column:
+    """A piece with one span at most, that replaced by its kind in brackets."""
+    s = F.get(p["spans"], F.lit(0))
+    rest = F.substring(p["text"], s["end"] - p["at"] + 1, F.length(p["text"]))
+    return F.when(F.size(p["spans"]) == 0, p["text"]).otherwise(F.concat(F.substring(p["text"], F.lit(1), s["start"] - p["at"]), F.lit("["), s["kind"], F.lit("]"), rest))
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = REPLACED) -> DataFrame:
+    """The documents with every secret, private keys whole, replaced by its kind in brackets; overlapping secrets are replaced together, by the first kind.
+
+    ``n_chars``, if there, is counted anew.
+    """
+    names = docs.columns
+    rest = [c for c in names if c not in ("text", "n_chars")]
+    rows = docs.select(F.struct(*rest).alias("_row"), "doc_id", "text")
+    found = scan(rows, "_row", "text", rules=rules)
+    whole = F.array(F.struct("text", F.lit(0).alias("at"), merged(F.col("spans")).alias("spans")))
+    made = found.select("_row", F.when(F.size("spans") == 0, F.array(F.struct("text", F.lit(0).alias("at"), F.array().cast(APART).alias("spans")))).otherwise(whole).alias("_pieces"))
+    for _ in range(STEPS):
+        made = made.withColumn("_pieces", cut_up(F.col("_pieces")))
+    pieces = F.transform("_pieces", marked)
+    made = made.select("_row", F.when(F.size(pieces) == 1, F.get(pieces, F.lit(0))).otherwise(F.array_join(pieces, "")).alias("_text"))
     fresh = {"text": F.col("_text"), "n_chars": F.length(F.coalesce("_text", F.lit(""))).cast("long")}
     return made.select(*(fresh[c].alias(c) if c in fresh else F.col(f"_row.`{c}`").alias(c) for c in names))
 
