@@ -230,6 +230,39 @@ def test_toxicity(spark, odd):
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
 
 
+def test_extreme_value_law():
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 500, 4000).astype(float)
+    greatest = (np.log(0.02 * n) + rng.gumbel(size=4000)) / 0.7
+    rate, k = toxicity.gumbel(np.maximum(greatest, 0), n)
+    assert abs(rate - 0.7) < 0.04 and abs(np.log(k / 0.02)) < 0.15
+    law = toxicity.Law(rate, k, 0.1, 0.2)
+    # as many clean texts as said reach a score
+    reached = np.mean([law.p_value([x], m) <= 0.05 for x, m in zip(greatest, n, strict=True) if x > 0])
+    assert 0.03 < reached * np.mean(greatest > 0) < 0.07
+    assert law.p_value([], 100) == 1 and law.p_value([5.0, 5.0], 100) < law.p_value([5.0], 100)
+    assert law.probability(1.0) < law.probability(1e-3) < law.probability(1e-30) <= 1
+    rate, k = toxicity.gumbel(np.zeros(10), np.full(10, 100.0))
+    assert 0.5 < rate < 2 and 0 < k < 0.01
+
+
+def test_toxicity_scores_follow_from_the_segments(spark):
+    model = toxicity.Model({"bad": 3.0, "worse": 4.0}, -0.1, toxicity.Law(0.5, 0.01, 0.1, 0.2))
+    texts = ["", None, "bad", "a b bad c worse d e f", "bad worse " + "x " * 200 + "worse bad", "clean words only"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        scores = [{"bad": 3.0, "worse": 4.0}.get(w, -0.1) for w in (texts[r.doc_id] or "").split()]
+        sums = np.cumsum([0.0, *scores])
+        # brute force of the greatest segment
+        best = max((sums[b] - sums[a] for a in range(len(sums)) for b in range(a, len(sums))), default=0.0)
+        kept = [p for p in r.passages]
+        assert (best > 0 and 0.01 * len(scores) * math.exp(-0.5 * best) <= toxicity.LEAST_E) == bool(kept)
+        if kept:
+            assert max(p.score for p in kept) == pytest.approx(best)
+        p = model.law.p_value([p.score for p in kept], len(scores))
+        assert r.score == pytest.approx(model.law.probability(p))
+
+
 def test_pieces_equal_the_library(spark, odd, docs):
     lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.VOCABULARY)
     rng = random.Random(1)
