@@ -1,17 +1,20 @@
 """Class-based bigram scores of texts.
 
-Word counts are sums over all training texts. For the classes, every word belongs to a unit: the most frequent
-words are units of their own, and the others share units by a hash of their last bytes, so that any word has
-one, known or not. Exchange clustering moves units between classes as long as that raises the likelihood of
-the class bigrams of the whole training text. A token's probability is that of its class after the class before
-it, times that of the word in its class, smoothed by half a count with one place in each class for unknown words.
-
-What comes to the driver is bounded: UNITS squared sums and at most KNOWN frequent words, which are
+Word counts are sums over all training texts. Classes are learned in two steps. Exchange clustering moves units
+between classes as long as that raises the likelihood of the class bigrams of the whole training text; its units are
+the most frequent words, one each, and groups of all other words by a hash of their last bytes. Then each
+frequent word that has no unit of its own goes to the class that its own neighbours make likeliest, one exchange move against the
+classes that were found. What is left are rare and unseen words, which have the class of their group. A token's probability is that of
+its class after the class before it, times that of the word in its class, smoothed by half a count with one place in each class for
+unknown words.
+
+What comes to the driver is bounded: UNITS squared sums and at most KNOWN frequent words with their classes, which are
 broadcast. The counts of all other words stay a table, and texts meet it in a join by word; as frequent words never take
 part in it, it has no hot key.
 
 Defined cases: a null or blank text is its end token; rows are scored one by one, repeated or not; extra columns
-are ignored; an empty table gives an empty result; without training texts every word is unknown.
+are ignored; an empty table gives an empty result; without training texts every word is unknown; of equally likely classes
+the first is taken.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, fold
 
 #: Units in all, those that are one word each, and classes. The last unit and the last class are the end's.
-UNITS, OWN, CLASSES = 512, 256, 48
+UNITS, OWN, CLASSES = 2304, 2048, 64
 END = UNITS - 1
 #: Bytes at the end of a word that choose its unit.
 TAIL = 3
@@ -40,13 +43,20 @@ HELD = 300_000
 #: Counts by which class transitions are drawn to the classes' own shares.
 PULL = 50.0
 #: Sweeps of the exchange over all units, at most.
-SWEEPS = 20
+SWEEPS = 8
+#: Tokens that a worker gathers before it sums up their pairs.
+GATHERED = 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _group(word: bytes) -> int:
+    """The unit that a word shares with others of its last bytes."""
+    return OWN + zlib.crc32(word[-TAIL:]) % (END - OWN)
+
+
 class Units(dict):
     """Units of words as they are asked for."""
 
@@ -59,7 +69,7 @@ class Units(dict):
             self.clear()
         unit = self.own.get(word)
         if unit is None:
-            unit = OWN + zlib.crc32(word[-TAIL:]) % (END - OWN)
+            unit = _group(word)
         self[word] = unit
         return unit
 
@@ -98,26 +108,95 @@ def frequent(counts: DataFrame, most: int) -> tuple[int, list[tuple[bytes, int]]
     return least, sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def unit_bigrams(train: DataFrame, own: list[bytes]) -> np.ndarray:
-    """How often each unit follows each other in the training texts, the end before and after each text."""
+def _streams(batches, end: int, number_of):
+    """Arrays of the numbers of the tokens of many texts, the end before and after each text."""
+    row: list[int] = [end]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            for text in batch.slice(at, 512)["text"]:
+                row += map(number_of, tokens(text.as_py()))
+                row.append(end)
+                if len(row) > GATHERED:
+                    yield np.array(row)
+                    row = [end]
+    yield np.array(row)
+
+
+def bigrams(train: DataFrame, size: int, numbers) -> np.ndarray:
+    """How often each number follows each other in the training texts. ``numbers()`` makes a worker's map of words to numbers, ``size`` - 1 is the end's."""
 
     def run(batches):
-        units, cells = Units(own), np.zeros(UNITS * UNITS, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                row: list[int] = [END]
-                for text in batch.slice(at, 512)["text"]:
-                    row += map(units.__getitem__, tokens(text.as_py()))
-                    row.append(END)
-                u = np.array(row)
-                cells += np.bincount(u[:-1] * UNITS + u[1:], minlength=len(cells))
+        number_of, cells = numbers().__getitem__, np.zeros(size * size, np.int64)
+        for u in _streams(batches, size - 1, number_of):
+            cells += np.bincount(u[:-1] * size + u[1:], minlength=len(cells))
         full = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(cells[full], pa.int64())], ["cell", "n"])
+        for at in range(0, max(1, len(full)), 1 << 18):
+            part = full[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cells[part], pa.int64())], ["cell", "n"])
 
     rows = train.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(UNITS * UNITS)
+    out = np.zeros(size * size)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(UNITS, UNITS)
+    return out.reshape(size, size)
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
+    """Logarithms of the probability of each class after each other, drawn to the classes' own shares."""
+    class_tokens = table.sum(axis=0)
+    share = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * CLASSES)
+    return np.log10((table + PULL * share) / (table.sum(axis=1, keepdims=True) + PULL))
+
+
+def own_classes(train: DataFrame, own: list[bytes], words: list[bytes], where: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each frequent word: the unit's for those with one, for others the one that their neighbours make likeliest.
+
+    A worker counts the classes before and after its words; the counts of a word meet, at most two for each class, and give its class.
+    """
+    spark_words = train.sparkSession.sparkContext.broadcast(words)
+    first, moves = len(own), transitions(table)
+    in_class = np.log10(np.maximum(table.sum(axis=0), 0.5))
+
+    def count(batches):
+        units = Units(own)
+        place = {w: k for k, w in enumerate(spark_words.value[first:])}
+        classes = where
+
+        class Numbers(dict):
+            """Place of a word among those without a unit, or minus one, and its class so far."""
+
+            def __missing__(self, word: bytes) -> int:
+                if len(self) >= HELD:
+                    self.clear()
+                self[word] = out = (place.get(word, -1) + 1) * CLASSES + int(classes[units[word]])
+                return out
+
+        for u in _streams(batches, CLASSES - 1, Numbers().__getitem__):
+            at, c = u // CLASSES - 1, u % CLASSES
+            after, before = np.flatnonzero(at[:-1] >= 0), np.flatnonzero(at[1:] >= 0)
+            code = np.concatenate([at[after] * 2 * CLASSES + c[after + 1], at[before + 1] * 2 * CLASSES + CLASSES + c[before]])
+            found, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found // (2 * CLASSES), pa.int32()), pa.array((found % (2 * CLASSES)).astype(np.int16), pa.int16()), pa.array(n, pa.int32())], ["place", "cell", "n"]
+            )
+
+    def choose(batches):
+        for batch in batches:
+            lists = batch["cells"]
+            rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            counts = np.zeros((len(lists), 2 * CLASSES))
+            np.add.at(counts, (rows, flat.field("cell").to_numpy()), flat.field("n").to_numpy())
+            after, before = counts[:, :CLASSES], counts[:, CLASSES:]
+            gain = after @ moves.T + before @ moves - before.sum(axis=1, keepdims=True) * in_class
+            gain[:, -1] = -np.inf
+            yield pa.RecordBatch.from_arrays([batch["place"], pa.array(gain.argmax(axis=1), pa.int32())], ["place", "class"])
+
+    out = np.array([where[k] for k in range(first)] + [where[_group(w)] for w in words[first:]], np.int64)
+    if len(words) > first:
+        met = train.select("text").mapInArrow(count, "place int, cell short, n int").repartition("place").groupBy("place", "cell").agg(F.sum("n").alias("n"))
+        chosen = met.groupBy("place").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).mapInArrow(choose, "place int, class int").toArrow()
+        out[first + chosen["place"].to_numpy()] = chosen["class"].to_numpy()
+    return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -185,11 +264,11 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 
 @dataclass
 class Model:
-    """What every worker needs for the scores: frequent words with counts, classes of units and the sizes of classes."""
+    """What every worker needs for the scores: frequent words with counts and classes, classes of units and the sizes of classes."""
 
-    own: list[bytes]
     words: list[bytes]
     counts: np.ndarray
+    class_of: np.ndarray
     where: np.ndarray
     moves: np.ndarray
     class_tokens: np.ndarray
@@ -207,25 +286,59 @@ class Model:
         return self.class_tokens + 0.5 * (self.class_words + 1)
 
 
+class _Places(dict):
+    """Of a word: its place among the frequent words, or for others minus one, less their class."""
+
+    def __init__(self, words: list[bytes], where: np.ndarray):
+        super().__init__()
+        self.known = {w: k for k, w in enumerate(words)}
+        self.where = where
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        place = self.known.get(word)
+        if place is None:
+            place = -1 - int(self.where[_group(word)])
+        self[word] = place
+        return place
+
+
+class _Classes(dict):
+    """Classes of words."""
+
+    def __init__(self, words: list[bytes], class_of: np.ndarray, where: np.ndarray):
+        super().__init__()
+        self.known, self.where = dict(zip(words, class_of.tolist(), strict=True)), where
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        found = self.known.get(word)
+        self[word] = found = int(self.where[_group(word)]) if found is None else found
+        return found
+
+
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     """(model, counts of the words that it doesn't hold itself)."""
     counts = cut(word_counts(train))
     least, known = frequent(counts, KNOWN)
-    own = [w for w, _ in known[:OWN]]
-    pairs = unit_bigrams(train, own)
+    words = [w for w, _ in known]
+    own = words[:OWN]
+    pairs = bigrams(train, UNITS, lambda: Units(own))
     where = exchange(pairs)
     one_hot = np.zeros((UNITS, CLASSES))
     one_hot[np.arange(UNITS), where] = 1
-    table = one_hot.T @ pairs @ one_hot
+    class_of = own_classes(train, own, words, where, one_hot.T @ pairs @ one_hot)
+    shared = train.sparkSession.sparkContext.broadcast((words, class_of, where))
+    table = bigrams(train, CLASSES, lambda: _Classes(*shared.value))
     class_tokens = table.sum(axis=0)
-    share = (class_tokens + 0.5) / (class_tokens.sum() + 0.5 * CLASSES)
-    moves = np.log10((table + PULL * share) / (table.sum(axis=1, keepdims=True) + PULL))
 
     def sizes(batches):
-        units = Units(own)
+        classes = _Classes(*shared.value)
         found = np.zeros(CLASSES, np.int64)
         for batch in batches:
-            found += np.bincount(where[[units[w] for w in batch["word"].to_pylist()]], minlength=CLASSES) if batch.num_rows else 0
+            found += np.bincount([classes[w] for w in batch["word"].to_pylist()], minlength=CLASSES) if batch.num_rows else 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(found, pa.int64())], ["class", "words"])
 
     class_words = np.zeros(CLASSES)
@@ -234,11 +347,11 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     ends = int(class_tokens[-1])
     class_words[-1] = 1 if ends else 0
     model = Model(
-        own,
-        [w for w, _ in known],
+        words,
         np.array([n for _, n in known], np.float64),
+        class_of,
         where,
-        moves,
+        transitions(table),
         class_tokens,
         class_words,
         int(class_tokens.sum()),
@@ -248,24 +361,6 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     return model, counts.where(F.col("n") < least)
 
 
-class _Places(dict):
-    """Of a word: its place among the frequent words, or for others minus one, less their class."""
-
-    def __init__(self, model: Model, units: Units):
-        super().__init__()
-        self.known = {w: k for k, w in enumerate(model.words)}
-        self.where, self.units = model.where, units
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        place = self.known.get(word)
-        if place is None:
-            place = -1 - int(self.where[self.units[word]])
-        self[word] = place
-        return place
-
-
 PARTS = "rid long, doc_id long, held_out boolean, key long, word binary, times int, class int, n_tokens long, n_known long, base double, score double"
 
 
@@ -274,9 +369,7 @@ def _parts(model):
 
     def run(batches):
         m = model.value
-        units = Units(m.own)
-        places = _Places(m, units)
-        class_of = np.array([m.where[units[w]] for w in m.words], np.int64)
+        places, class_of = _Places(m.words, m.where), m.class_of
         room = m.class_room
         base = np.log10((m.counts + 0.5) / m.base_room)
         emit = np.log10((m.counts + 0.5) / room[class_of]) if len(m.words) else base

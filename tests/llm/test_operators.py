@@ -175,6 +175,40 @@ def test_language_model_tail_and_gain(docs, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("known", [200_000, 300])
+def test_language_model_score_by_brute_force(docs, odd, monkeypatch, known):
+    lm = language_model
+    monkeypatch.setattr(lm, "KNOWN", known)
+    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    train = [lower(r.text).encode().split() for r in rows.collect() if fold_of(r.doc_id, 5) != 1]
+    model, _ = lm.fit(rows.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), F.lit(5)) != 1))
+    classes = dict(zip(model.words, model.class_of.tolist(), strict=True))
+    class_of = lambda w: lm.CLASSES - 1 if w is None else classes[w] if w in classes else int(model.where[lm._group(w)])
+    count, pair = Counter(), np.zeros((lm.CLASSES, lm.CLASSES))
+    for words in train:
+        count.update([*words, None])
+        path = [class_of(w) for w in (None, *words, None)]
+        for a, b in zip(path, path[1:], strict=False):
+            pair[a, b] += 1
+    kinds = Counter(map(class_of, count))
+    assert len(set(classes.values())) > 10 and len(model.words) <= known
+    tokens_in = pair.sum(axis=0)
+    share = (tokens_in + 0.5) / (tokens_in.sum() + 0.5 * lm.CLASSES)
+    got = of(lm.scores(rows), "doc_id", "score")
+    want = []
+    for r in rows.collect():
+        words = [*lower(r.text).encode().split(), None]
+        score, last = 0.0, lm.CLASSES - 1
+        for w in words:
+            c = class_of(w)
+            score += math.log10((pair[last, c] + lm.PULL * share[c]) / (pair[last].sum() + lm.PULL))
+            score += math.log10((count[w] + 0.5) / (tokens_in[c] + 0.5 * (kinds[c] + 1)))
+            last = c
+        want.append((r.doc_id, score))
+    assert [k for k, _ in got] == [k for k, _ in sorted(want, key=str)]
+    assert sorted(x for _, x in got) == pytest.approx(sorted(x for _, x in want), rel=1e-9)
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(0)
     pairs = np.zeros((9, 9))
