@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -315,6 +316,15 @@ def test_licenses(spark, odd, docs, duck):
     mit = "Copyright (c) 2020 Somebody\n\n" + licenses.TEXTS["MIT"].upper().replace("LICENSE", "LICENCE")
     df = spark.createDataFrame([(1, mit), (2, "x\nreleased under the MIT licence!"), (3, licenses.TEXTS["ISC"] + " more")], "doc_id long, text string")
     assert of(licenses.scan(df), "doc_id", "license", "notices") == [(1, "MIT", ""), (2, None, "MIT"), (3, None, "")]
+    wrap = lambda t, n: "\n".join(x for p in t.split("\n") for x in ("\n".join(textwrap.wrap(p, n)) or "",))
+    files = [(k, name, wrap(text, 40 + 3 * k)) for k, (name, text) in enumerate(licenses.TEXTS.items())]
+    files = [(k, name, f"{licenses.TITLES[k].title()}\n\nCopyright (c) 2024, A. Body <a@b.example>\nAll rights reserved.\n\n{text}\n") for k, name, text in files]
+    isc = licenses.TEXTS["ISC"].replace("that the above copyright", "that the above\ncopyright")
+    files += [(98, "ISC", isc), (99, None, "MIT License\n\nCopyright 2020 X")]
+    assert of(licenses.scan(spark.createDataFrame([(k, t) for k, _, t in files], "doc_id long, text string")), "doc_id", "license") == sorted(((k, n) for k, n, _ in files), key=str)
+    own = spark.createDataFrame([("mine", "Do as you like."), ("also", "do as  you LIKE")], "license string, text string")
+    df2 = spark.createDataFrame([(1, "Copyright me\nDo as you\nlike!"), (2, "no")], "doc_id long, text string")
+    assert of(licenses.scan(df2, own), "doc_id", "license") == [(1, "also"), (2, None)]
     for t in (odd, docs):
         assert of(licenses.scan(t), "doc_id", "digest") == sorted(((r.doc_id, licenses.digest(r.text)) for r in t.collect()), key=str)
     found = duck.sql(licenses.ORACLE)
