@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,27 @@ def fold_of(doc_id, parts: int) -> int:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % parts
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only a local session without one has a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="ridgeline-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's checkpoint folder, which all executors share."""
+    """``df`` computed once and kept in the cluster's checkpoint folder, which all executors share.
+
+    Spark removes a checkpoint with its DataFrame if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ridgeline-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -184,6 +184,7 @@ def _signed(x: int) -> int:
 
 
 def key_of(doc_id: Column, text: Column) -> Column:
+    """A text's key; texts that share one share their candidates, which are verified."""
     return F.xxhash64(doc_id, text)
 
 

@@ -5,8 +5,8 @@ differ in at most ``REACH`` bits; a component holds everything that links reach.
 
 Exact copies meet first: one row for each distinct fingerprint. A pivot table then holds, for each of them,
 its Hamming distances to reference fingerprints. By the triangle inequality, the distances of a linked pair
-to any reference differ by ``REACH`` at most, so a pair whose largest coordinate difference is greater is
-discarded, and the others are verified bit by bit. Pivot distances of far-apart fingerprints are too alike to
+to any reference differ by ``REACH`` at most: a row is only held against those whose first distance is that near its own, a pair
+whose largest coordinate difference is greater is discarded, and the others are verified bit by bit. Pivot distances of far-apart fingerprints are too alike to
 be a join key, so pairs meet in buckets instead: of ``m`` blocks of bits, a linked pair has all but REACH equal,
 and every choice of that many blocks is one bucket key. ``m`` grows with the number of fingerprints, which keeps
 buckets small; any ``m`` finds every link. Buckets over ``BUCKET`` rows are dealt out as pairs of their parts.
@@ -121,33 +121,31 @@ def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(rows: np.ndarray, close, left: int | None = None) -> list[tuple[int, int]]:
-    """Links that connect what links within a bucket connect. With ``left``, only rows before and after that place are compared.
+def _forest(rows: np.ndarray, close, left: int | None = None, reach: int | None = None) -> list[tuple[int, int]]:
+    """Links that connect what links within a bucket connect, fewer than rows. With ``left``, only rows before and after that place are compared.
 
     Search from one row at a time: those it reaches leave the rest at once, so a dense group costs about one comparison for each of its rows.
+    With ``reach``, rows are in order of their distance to the first pivot, and only those within reach of a row's own are looked at.
     """
     links = []
-    if left is not None:
-        sides = [np.arange(left), np.arange(left, len(rows))]
-        while len(sides[0]) and len(sides[1]):
-            frontier, sides[0] = [(0, int(sides[0][0]))], sides[0][1:]
-            while frontier:
-                side, k = frontier.pop()
-                rest = sides[1 - side]
-                hit = close(rows[rest], np.broadcast_to(rows[k : k + 1], len(rest)))
-                links += [(k, int(j)) for j in rest[hit]]
-                frontier += [(1 - side, int(j)) for j in rest[hit]]
-                sides[1 - side] = rest[~hit]
-        return links
-    rest = np.arange(len(rows))
-    while len(rest):
-        frontier, rest = [int(rest[0])], rest[1:]
-        while frontier and len(rest):
-            k = frontier.pop()
-            hit = close(rows[rest], np.broadcast_to(rows[k : k + 1], len(rest)))
-            links += [(k, int(j)) for j in rest[hit]]
-            frontier += rest[hit].tolist()
-            rest = rest[~hit]
+    pivot = rows["p"][:, 0].astype(np.int64)
+    sort = (lambda x: x[np.argsort(pivot[x], kind="stable")]) if reach is not None else (lambda x: x)
+    sides = [sort(np.arange(len(rows)))] if left is None else [sort(np.arange(left)), sort(np.arange(left, len(rows)))]
+    while all(len(x) for x in sides):
+        frontier, sides[0] = [(0, int(sides[0][0]))], sides[0][1:]
+        while frontier:
+            side, k = frontier.pop()
+            other = side if left is None else 1 - side
+            rest, low, high = sides[other], 0, len(sides[other])
+            if reach is not None:
+                low, high = np.searchsorted(pivot[rest], [pivot[k] - reach, pivot[k] + reach + 1])
+            near = rest[low:high]
+            if len(near):
+                hit = close(rows[near], np.broadcast_to(rows[k : k + 1], len(near)))
+                found = near[hit].tolist()
+                links += [(k, j) for j in found]
+                frontier += [(other, j) for j in found]
+                sides[other] = np.concatenate([rest[:low], near[~hit], rest[high:]]) if found else rest
     return links
 
 
@@ -163,7 +161,7 @@ def _fp_rows(batch) -> np.ndarray:
     return rows
 
 
-def _links_of(table, close, name: str, kind):
+def _links_of(table, close, name: str, kind, reach: int | None = None):
     """Links within runs of equal bucket columns, by which the input is sorted. A run is bounded by twice BUCKET rows.
 
     ``table`` makes comparable rows of a batch, ``close`` compares them, ``name`` is the column of the linked nodes.
@@ -184,7 +182,7 @@ def _links_of(table, close, name: str, kind):
                 if apart:
                     first = part[a : a + n] == key["part_a"][a]
                     order, left = order[np.argsort(~first, kind="stable")], int(first.sum())
-                out += [(node[order[x]], node[order[y]]) for x, y in _forest(rows[order], close, left)]
+                out += [(node[order[x]], node[order[y]]) for x, y in _forest(rows[order], close, left, reach)]
         return out
 
     def batch_of(links):
@@ -232,7 +230,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def links(fps: DataFrame, n: int) -> DataFrame:
     """(a, b): links between the given distinct fingerprints, enough of them to connect whatever all links connect."""
     rows = pivot_table(fps.select("fp")).select("*", _bucket_keys(F.col("fp"), blocks_for(n)).alias("key")).select("*", "key.*").drop("key")
-    return _dealt(_parts(rows, "fp")).mapInArrow(_links_of(_fp_rows, _linked, "fp", pa.int64()), "a long, b long").distinct()
+    return _dealt(_parts(rows, "fp")).mapInArrow(_links_of(_fp_rows, _linked, "fp", pa.int64(), REACH), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,7 +281,7 @@ def clusters(docs: DataFrame, words: int = 3) -> DataFrame:
 WIDE, BANDS, BAND = 16, 24, 3
 #: Standard deviations of its estimate by which a pair may miss the similarity and still be compared, and the fewest shingles of both for an estimate.
 SLACK, ESTIMATED = 6, 256
-SKETCH = "doc_id long, row_key long, content binary, n_shingles long, wide binary, bands array<long>"
+SKETCH = "doc_id long, row_key long, row_more long, content binary, n_shingles long, wide binary, bands array<long>"
 WIDE_ROW = np.dtype([("fp", np.uint64, (WIDE,)), ("p", np.int16, (PIVOTS,)), ("n", np.int64), ("set", object)])
 
 
@@ -318,6 +316,11 @@ class _Set:
         return self.made
 
 
+def row_keys() -> tuple[Column, Column]:
+    """128 bits of a row's id and text in two columns, by which rows are told apart."""
+    return F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("row_more")
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """Of each row: a digest of its words, the number of its different shingles, their wide fingerprint and bands of least hashes."""
     wide_of, least_of = _mixers(WIDE, 11), _mixers(BANDS * BAND, 12)
@@ -339,11 +342,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 made = [one(t.as_py()) for t in batch["text"]]
                 kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], batch["row_key"], *(pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds))],
-                    ["doc_id", "row_key", "content", "n_shingles", "wide", "bands"],
+                    [batch["doc_id"], batch["row_key"], batch["row_more"], *(pa.array([x[k] for x in made], kind) for k, kind in enumerate(kinds))],
+                    ["doc_id", "row_key", "row_more", "content", "n_shingles", "wide", "bands"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), "text")
     return rows.mapInArrow(run, SKETCH)
 
 
@@ -392,13 +395,13 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     All columns are kept. Texts of the same words are one content from the start. Equal rows fall together.
     """
     made = cut(sketches(docs, words))
-    row = F.struct("doc_id", "row_key")
+    key = ["row_key", "row_more"]
+    row = F.struct("doc_id", *key)
     contents = made.groupBy("content").agg(F.min(row).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
     contents = cut(contents)
     met = cut(_parts(contents.select("content", F.posexplode("bands").alias("choice", "bits")), "content"))
-    own = contents.join(met.select("content").distinct(), "content", "left_semi").select("content", "n_shingles", "wide", F.col("least.row_key").alias("_key"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("_key"), "text")
-    own = own.join(texts, "_key").groupBy("content").agg(*(F.first(c).alias(c) for c in ("n_shingles", "wide", "text")))
+    own = contents.join(met.select("content").distinct(), "content", "left_semi").select("content", "n_shingles", "wide", *(F.col(f"least.{c}").alias(c) for c in key))
+    own = own.join(docs.select(*row_keys(), "text"), key).groupBy("content").agg(*(F.first(c).alias(c) for c in ("n_shingles", "wide", "text")))
     found = _links_of(lambda batch: _wide_rows(batch, words), _alike(similarity), "content", pa.binary())
     edges = _dealt(met.join(own, "content")).mapInArrow(found, "a binary, b binary").distinct()
     roots = components(edges)
@@ -407,12 +410,12 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
         .join(roots, F.col("content") == F.col("node"), "left")
         .groupBy(F.coalesce("root", "content").alias("root"))
         .agg(F.min("least").alias("least"))
-        .select(F.col("least.row_key").alias("_key"))
+        .select(*(F.col(f"least.{c}").alias(c) for c in key))
     )
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_key"))
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return rows.join(least.distinct(), "_key", "left_semi").withColumn("_place", place).where("_place = 1").select("_row.*")
+    rows = docs.select(F.struct(*names).alias("_row"), *row_keys())
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("row_key"))
+    return rows.join(least.distinct(), key, "left_semi").withColumn("_place", place).where("_place = 1").select("_row.*")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
