@@ -42,6 +42,10 @@ INDEXED, KEPT = 1 << 19, 400_000
 PAIRS = 1 << 22
 
 
+#: Texts that tell models apart: normalizers change them, and cheapest paths part from merging.
+PROBES = ("ﬁne ＡＢＣ　x² ①", "a  b   c", " lead", "trail ", "Internationalization of unbelievable misunderstandings", "e\u0301te\u0301", "的中文字符😀", "tab\tnew\nline\r", "1234567 3.14159")
+
+
 class Vocabulary:
     """The pieces of a model file's bytes."""
 
@@ -71,6 +75,12 @@ class Vocabulary:
         self.low = np.array([b[:KEY] for b in self.sorted_bytes], f"S{KEY}")
         self.high = np.array([b[:KEY].ljust(KEY, GAP) for b in self.sorted_bytes], f"S{KEY}")
 
+        if any(BLANK in p.lstrip(BLANK) for p in self.id_of):
+            raise ValueError("a piece with a blank inside can't be matched word by word")
+        for text in PROBES:
+            if own.encode(text) != self.merged(BLANK + text.replace(" ", BLANK)):
+                raise ValueError(f"the model doesn't encode {text!r} by merging its pieces: only byte-pair models with byte fallback, a leading blank and no normalizer are known here")
+
     def merged(self, text: str) -> list[int]:
         """Ids of a text by merging: the best adjacent pair first, of equal ones the leftmost."""
         symbols: list[str | None] = list(text)

@@ -547,3 +547,11 @@ def test_query_equals_its_sql(spark, data, duck, name):
     found = duck.sql(queries.ORACLE_SQL[name])
     assert sorted(found.columns) == sorted(df.columns)
     assert of(df, *found.columns) == sorted(found.fetchall(), key=str)
+
+
+def test_models_that_merging_cannot_encode_are_refused(monkeypatch):
+    model = open(pieces.VOCABULARY, "rb").read()
+    assert pieces.Vocabulary(model).pieces
+    monkeypatch.setattr(pieces.Vocabulary, "merged", lambda self, text: [self.id_of[c] for c in text if c in self.id_of])
+    with pytest.raises(ValueError, match="doesn't encode"):
+        pieces.Vocabulary(model)
