@@ -30,7 +30,7 @@ def bin_of(d: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def binned(df: DataFrame, value: str, bins: int, *keys: str, bin: str = "bin") -> DataFrame:
     """(keys, bin, p10, p50, p90) for all bins of each key; nulls where a bin is empty."""
-    found = exact_quantiles(df, [*keys, bin], value, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, buckets=64)
+    found = exact_quantiles(df, [*keys, bin], value, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     every = df.select(*keys).distinct().withColumn(bin, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(found, [*keys, bin], "left")
 

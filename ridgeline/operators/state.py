@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ZONE, TILE = ("tatort", "kommun"), ("tatort", "kommun", "item_id")
 FINISHED = ("processed", "processed_empty")
@@ -67,9 +68,10 @@ def mark_downloaded(tiles: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def store_metrics(tiles: DataFrame, partials: DataFrame) -> DataFrame:
-    """Partials of tiles, which are processed; tiles in ``partials`` without a value are processed and empty."""
+    """Partials of tiles, which are processed; tiles in ``partials`` without a value are processed and empty. Their values are in ``chunk_path``, if given."""
     flat = partials.select(
         *TILE,
+        *(["chunk_path"] if "chunk_path" in partials.columns else []),
         "local_min",
         "local_max",
         *(F.col(f"{k}_coord")[a].alias(f"{k}_coord_{a}") for k in ("min", "max") for a in ("x", "y")),
@@ -80,6 +82,25 @@ def store_metrics(tiles: DataFrame, partials: DataFrame) -> DataFrame:
     return updated(tiles, flat, TILE)
 
 
+def stored_partials(tiles: DataFrame) -> DataFrame:
+    """The partials of processed tiles as ``zonal.merge_partials`` takes them. How many values a tile has isn't stored: the values are."""
+    coord = lambda k: F.struct(F.col(f"{k}_coord_x").alias("x"), F.col(f"{k}_coord_y").alias("y")).alias(f"{k}_coord")
+    rows = tiles.where("process_status = 'processed'")
+    return rows.select(*TILE, "batch_index", "batch_position", "local_min", "local_max", coord("min"), coord("max"), F.lit(None).cast("long").alias("n_values"), "slope_sum_squares", "slope_count")
+
+
+def unfinished(plans: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Planned tiles that aren't processed."""
+    return plans.join(tiles.where(F.col("process_status").isin(*FINISHED)).select(*TILE), list(TILE), "left_anti")
+
+
+def plan_order(tiles: DataFrame) -> DataFrame:
+    """Stored tiles with ``ordinal``, their place in the stored plan."""
+    return tiles.drop("batch_index", "batch_position").join(
+        tiles.select(*TILE, F.row_number().over(Window.partitionBy(*ZONE).orderBy("batch_index", "batch_position", "item_id")).alias("ordinal")), list(TILE)
+    )
+
+
 def pending(plan: DataFrame, tiles: DataFrame, cached: DataFrame) -> DataFrame:
     """Planned tiles that are neither processed nor cached (tatort, kommun, item_id, cached_bytes) with their exact size."""
     state = tiles.select(*TILE, F.col("process_status").isin(*FINISHED).alias("_done"))
@@ -116,9 +137,9 @@ def tile_rows(tiles: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """Tables as folders of snapshots in a shared path; a small table names the current one. One writer at a time.
+    """Tables as folders of snapshots in a shared path; the last complete one is current. One writer at a time.
 
-    A write is seen as a whole or not at all: the new snapshot is complete before its name is.
+    A write is seen as a whole or not at all. The snapshot before the current one stays, for readers that began with it; older ones are removed.
     """
 
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
@@ -141,4 +162,7 @@ class Snapshots:
         names = self._names(table)
         number = int(names[-1].split("-")[1]) + 1 if names else 1
         df.write.parquet(f"{self.root}/{table}/snapshot-{number:010d}-{uuid.uuid4().hex}")
+        for name in names[:-1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return self.read(table)

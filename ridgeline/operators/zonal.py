@@ -23,8 +23,8 @@ def extremes(value: str, place: Column, *order: str) -> list[Column]:
     ]
 
 
-def tile_partials(pixels: DataFrame, *keys: str) -> DataFrame:
-    """A mergeable partial for each (keys): extremes with places, counts and sum of squared slopes; tiles without a valid pixel go."""
+def tile_partials(pixels: DataFrame, *keys: str, empty: bool = False) -> DataFrame:
+    """A mergeable partial for each (keys): extremes with places, counts and sum of squared slopes; tiles without a valid pixel go unless ``empty``."""
     place = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return (
         pixels.groupBy(*keys)
@@ -34,7 +34,7 @@ def tile_partials(pixels: DataFrame, *keys: str) -> DataFrame:
             F.coalesce(F.sum(F.col("slope") * F.col("slope")), F.lit(0.0)).alias("slope_sum_squares"),
             F.count("slope").alias("slope_count"),
         )
-        .where("n_values > 0")
+        .where(F.lit(empty) | (F.col("n_values") > 0))
     )
 
 
@@ -57,35 +57,47 @@ def rms(squares: Column, count: Column) -> Column:
     return F.coalesce(F.sqrt(squares / F.nullif(count, F.lit(0))), F.lit(0.0))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], buckets: int = 4096) -> DataFrame:
-    """(keys, a column for each share): exact quantiles with linear interpolation, without a group in one task.
+def enclosing_counts(df: DataFrame, keys: list[str], value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(keys, _n, _k, _x, _in): for the share of number ``_k``, how often each value ``_x`` near its rank occurs, and all below as one without ``_x``.
 
-    A first pass has the least, greatest and number of values of each key; a second counts values in even buckets, by
-    which the buckets of the wanted ranks are known; only their values are then ordered. Nulls are left out.
+    A first read has the number of values of each key and, by its mergeable sketch, two values that enclose each wanted rank: their ranks are at
+    most ``4 / accuracy`` of all values away from it, four times the sketch's error. The second read counts how often each value between them occurs.
+    Constants, ties and outliers are one row each, and of all different values about ``8 / accuracy`` are rows, or all if a key has at most ``4 * accuracy``.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull()).select(*keys, v.alias("_v"))
-    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    placed = rows.join(ends, keys).withColumn("_b", place)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(*keys, "_b", "_n").agg(F.count(F.lit(1)).alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    margin = 4 / accuracy
+    points = sorted({p for q in shares for p in (q - margin, q + margin) if 0 < p < 1})
+    sketch = [F.percentile_approx("_v", points, accuracy).alias("_at")] if points else []
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *sketch)
+    small = F.col("_n") <= 4 * accuracy  # a step of one rank is more than the margin
+    edge = lambda p, end: F.when(small, F.col(end)).otherwise(F.get("_at", F.lit(points.index(p)))) if p in points else F.col(end)
+    around = F.array(*(F.struct(F.lit(k).alias("k"), edge(q - margin, "_lo").alias("low"), edge(q + margin, "_hi").alias("high")) for k, q in enumerate(shares)))
+    met = rows.join(ends.select(*keys, "_n", around.alias("_around")), keys)
+    places = F.transform(F.filter("_around", lambda e: F.col("_v") <= e["high"]), lambda e: F.struct(e["k"].alias("_k"), F.when(F.col("_v") >= e["low"], F.col("_v")).alias("_x")))
+    return met.select(*keys, "_n", F.inline(places)).groupBy(*keys, "_n", "_k", "_x").agg(F.count(F.lit(1)).alias("_in"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(keys, a column for each share): exact quantiles with linear interpolation, in two reads and without a group in one task.
+
+    Only the counts of the values near a rank are ordered. Nulls are left out. A sketch that broke its promise is an error, not a wrong result.
+    """
+    counts = enclosing_counts(df, keys, value, list(shares.values()), accuracy)
+    before = Window.partitionBy(*keys, "_k").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).where("_x IS NOT NULL")
     at = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in shares.items()}
-    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(h), F.ceil(h)) for h in at.values()))))
-    wanted = counts.where(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in"))))
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = (
-        placed.join(wanted.select(*keys, "_b", "_before"), [*keys, "_b"])
-        .withColumn("_r", F.col("_before") + F.row_number().over(inner) - 1)
-        .where(F.exists(ranks, lambda r: r == F.col("_r")))
-    )
-    packed = ranked.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
 
-    def between(h: Column) -> Column:
-        low, high = F.col("_at")[F.floor(h)], F.col("_at")[F.ceil(h)]
-        return low + (high - low) * (h - F.floor(h))
+    def found(k: int, name: str, rank: Column) -> Column:
+        return F.max(F.when((F.col("_k") == k) & (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")), F.col("_x"))).alias(name)
+
+    packed = ranked.groupBy(*keys, "_n").agg(*(found(k, f"_{side}{k}", f(h)) for k, h in enumerate(at.values()) for side, f in (("low", F.floor), ("high", F.ceil))))
+
+    def between(k: int, h: Column) -> Column:
+        low, high = F.col(f"_low{k}"), F.col(f"_high{k}")
+        return F.coalesce(low + (high - low) * (h - F.floor(h)), F.raise_error(F.lit("a quantile's rank was outside its bounds")).cast("double"))
 
-    return packed.select(*keys, *(between(h).alias(name) for name, h in at.items()))
+    return packed.select(*keys, *(between(k, h).alias(name) for k, (name, h) in enumerate(at.items())))
 
 
 def finalize(merged: DataFrame, quantiles: DataFrame, areas: DataFrame, *keys: str) -> DataFrame:

@@ -1,7 +1,13 @@
-"""The pipelines: plan, summarize, compare, profiles. Everything up to the snapshots is one lazy plan."""
+"""The pipelines: plan, preview, summarize, compare, profiles.
+
+A comparison goes through the batches of all zones side by side: the first batch of every zone is one Spark job, then the second, and so on. After each, the
+values of its tiles and what was measured are stored, so that a run that breaks off goes on with the tiles that are missing.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,31 +55,86 @@ def zone_pixels(zones: DataFrame, planned: DataFrame, pixels: DataFrame, options
     return raster.with_slope(keyed, F.col("res_x"), F.col("res_y"), options.nodata is not None, "_window").drop("_window")
 
 
+def quantiles_of(values: DataFrame) -> DataFrame:
+    """relief_q05_m and relief_q95_m of zones from their values ``v``, which are single floats, as are the quantiles."""
+    found = zonal.exact_quantiles(values.withColumn("v", F.col("v").cast("float")), list(ZONE), "v", {"relief_q05_m": 0.05, "relief_q95_m": 0.95})
+    return found.select(*ZONE, *(F.col(c).cast("float").cast("double").alias(c) for c in ("relief_q05_m", "relief_q95_m")))
+
+
+def _areas(zones: DataFrame) -> DataFrame:
+    return zones.select("tatort", F.col("kommunnamn").alias("kommun"), "tatortskod", geometry.area(F.col("geometry")).alias("area_m2"))
+
+
 def summarize(zones: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Summaries of zones from their pixels (see zone_pixels)."""
-    partials = zonal.tile_partials(pixels, *ZONE, "tile", "batch_index", "batch_position")
-    merged = zonal.merge_partials(partials, *ZONE)
-    quantiles = zonal.exact_quantiles(pixels.withColumn("v", F.col("v").cast("float")), list(ZONE), "v", {"relief_q05_m": 0.05, "relief_q95_m": 0.95})
-    areas = zones.select("tatort", F.col("kommunnamn").alias("kommun"), "tatortskod", geometry.area(F.col("geometry")).alias("area_m2"))
-    return zonal.finalize(merged, quantiles, areas, *ZONE).join(areas.select(*ZONE, "tatortskod"), list(ZONE))
+    """Summaries of zones from their pixels (see zone_pixels); a zone without a valid pixel has none."""
+    merged = zonal.merge_partials(zonal.tile_partials(pixels, *ZONE, "tile", "batch_index", "batch_position"), *ZONE)
+    areas = _areas(zones)
+    return zonal.finalize(merged, quantiles_of(pixels), areas, *ZONE).join(areas.select(*ZONE, "tatortskod"), list(ZONE))
+
+
+def _store(spark: SparkSession, root: str) -> state.Snapshots:
+    return state.Snapshots(spark, root, {"runs": schemas.RUNS, "tiles": schemas.TILE_STATE})
+
+
+def preview(spark: SparkSession, planned: DataFrame, root: str, options: Options = Options()) -> DataFrame:
+    """One row: zones, those completed, tiles, bytes and estimated seconds of a plan, next to the tiles and bytes that are done and pending by the snapshots under ``root``."""
+    store = _store(spark, root)
+    plans = planned.groupBy(*ZONE).agg(F.count(F.lit(1)).alias("n_tiles"), F.sum("size_bytes").alias("total_bytes"))
+    totals = planning.preflight(plans, store.read("runs").where("status = 'completed'"), options.download_rate_mbps, options.processing_seconds_per_tile)
+    left = state.unfinished(planned, store.read("tiles")).agg(F.count(F.lit(1)).alias("tiles_pending"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes_pending"))
+    both = totals.withColumn("_one", F.lit(1)).join(left.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return both.withColumn("tiles_done", F.col("n_tiles") - F.col("tiles_pending")).withColumn("bytes_done", F.col("total_bytes") - F.col("bytes_pending"))
+
+
+def stored_or_made(store: state.Snapshots, zones: DataFrame, tiles: DataFrame, options: Options) -> DataFrame:
+    """The plan: that of the snapshot for zones that it has, whose discovery is left out, and a new one for the others. Batches follow the current budget."""
+    known = store.read("tiles")
+    named = zones.withColumn("kommun", F.col("kommunnamn"))
+    old = known.join(named.select(*ZONE, "tatortskod"), list(ZONE))
+    fresh = plan(named.join(known.select(*ZONE).distinct(), list(ZONE), "left_anti").drop("kommun"), tiles, options).select(*ZONE, "tatortskod", *PLANNED)
+    if known.isEmpty():
+        return fresh
+    again = planning.packed(state.plan_order(old), options.cache_budget_mb * planning.MIB, *ZONE)
+    return again.select(*ZONE, "tatortskod", *PLANNED).unionByName(fresh)
+
+
+PLANNED = ("item_id", "collection_id", "href", "size_bytes", "batch_index", "batch_position")
 
 
-def compare(spark: SparkSession, zones: DataFrame, tiles: DataFrame, pixels: DataFrame, root: str, options: Options = Options()) -> DataFrame:
-    """Result rows of all zones; zones completed in the snapshots under ``root`` are taken from there, and new ones are stored."""
-    store = state.Snapshots(spark, root, {"runs": schemas.RUNS, "tiles": schemas.TILE_STATE})
-    planned = plan(zones, tiles, options)
+def compare(
+    spark: SparkSession,
+    zones: DataFrame,
+    tiles: DataFrame,
+    pixels: DataFrame | Callable[[DataFrame], DataFrame],
+    root: str,
+    options: Options = Options(),
+) -> DataFrame:
+    """Result rows of all zones. What the snapshots under ``root`` have is taken from there: plans, completed zones and finished tiles.
+
+    ``pixels`` has the columns of ``sources.tables.rasters``, or is a function that gets those of a batch's tiles, as ``sources.cache.fetched`` makes one.
+    A batch over the cache budget is an error; a zone without a valid pixel fails, and the others go on.
+    """
+    store = _store(spark, root)
+    planned = stored_or_made(store, zones, tiles, options)
     per_zone = planned.groupBy(*ZONE, "tatortskod").agg(
         F.array_sort(F.collect_set("collection_id")).alias("collections"),
         F.max("batch_index").cast("bigint").alias("planned_batches"),
         F.count(F.lit(1)).alias("planned_tiles"),
         F.sum("size_bytes").alias("total_raw_size_bytes"),
     )
-    runs = store.write("runs", state.register_runs(store.read("runs"), per_zone))
+    store.write("runs", state.register_runs(store.read("runs"), per_zone))
     store.write("tiles", state.register_tiles(store.read("tiles"), planned))
-    work, _ = state.split_by_state(planned, runs)
-    found = summarize(zones, zone_pixels(zones, work, pixels, options)).withColumn("tiles_scanned", F.col("tiles_used"))
-    runs = store.write("runs", state.store_summaries(runs, found))
-    done = runs.where("status = 'completed'").join(per_zone.select(*ZONE), list(ZONE), "left_semi")
+    left = state.unfinished(_work(store, zones), store.read("tiles"))
+    store.write("runs", state.set_status(store.read("runs"), left.select(*ZONE).distinct(), "running"))
+    # batches are as many as the budget makes of the largest zone
+    for index in [r["batch_index"] for r in left.select("batch_index").distinct().orderBy("batch_index").collect()]:
+        wave = planning.batch(state.unfinished(_work(store, zones), store.read("tiles")), index)
+        gated = wave.groupBy(*ZONE).agg(F.sum("size_bytes").alias("n")).select(planning.within_budget(F.lit(0), F.col("n"), options.cache_budget_mb * planning.MIB))
+        gated.write.format("noop").mode("overwrite").save()
+        measured_wave(store, zones, wave, pixels(wave) if callable(pixels) else pixels, options)
+    finished(store, zones, _work(store, zones))
+    runs = store.read("runs")
+    done = runs.where("status = 'completed'").join(zones.select("tatort", F.col("kommunnamn").alias("kommun")), list(ZONE), "left_semi")
     return tables.result_rows(
         done.select(
             "*",
@@ -84,6 +145,47 @@ def compare(spark: SparkSession, zones: DataFrame, tiles: DataFrame, pixels: Dat
     )
 
 
+def _work(store: state.Snapshots, zones: DataFrame) -> DataFrame:
+    """The stored plan of zones that aren't completed."""
+    named = zones.select("tatort", F.col("kommunnamn").alias("kommun"), "tatortskod")
+    return state.split_by_state(store.read("tiles").join(named, list(ZONE)), store.read("runs"))[0].select(*ZONE, "tatortskod", *PLANNED)
+
+
+def measured_wave(store: state.Snapshots, zones: DataFrame, wave: DataFrame, pixels: DataFrame, options: Options = Options()) -> None:
+    """Stores the valid values of a wave's tiles, then what was measured of each; values without the latter are never read."""
+    folder = f"{store.root}/values/{uuid.uuid4().hex}"
+    cut = zone_pixels(zones, wave, pixels, options)
+    columns = ("tile", "row", "col", "x", "y", "v", "slope")
+    cut.where(F.col("v").isNotNull() | F.col("slope").isNotNull()).select(*ZONE, *columns).write.parquet(folder)
+    kept = store.spark.read.schema(f"tatort string, kommun string, {VALUES}").parquet(folder)
+    partials = zonal.tile_partials(kept, *ZONE, "tile", empty=True).withColumnRenamed("tile", "item_id")
+    found = wave.select(*ZONE, "item_id").join(partials, [*ZONE, "item_id"], "left").withColumn("chunk_path", F.lit(folder))
+    store.write("tiles", state.store_metrics(state.mark_downloaded(store.read("tiles"), wave), found))
+
+
+VALUES = "tile string, row int, col int, x double, y double, v double, slope double"
+
+
+def stored_values(store: state.Snapshots, tiles: DataFrame) -> DataFrame:
+    """(tatort, kommun, tile, ...): the valid values of finished tiles."""
+    paths = [r["chunk_path"] for r in tiles.where("process_status = 'processed'").select("chunk_path").distinct().collect()]
+    schema = f"tatort string, kommun string, {VALUES}"
+    rows = store.spark.read.schema(schema).parquet(*paths) if paths else store.spark.createDataFrame([], schema)
+    return rows.join(tiles.where("process_status = 'processed'").select(*ZONE, F.col("item_id").alias("tile")), [*ZONE, "tile"], "left_semi")
+
+
+def finished(store: state.Snapshots, zones: DataFrame, work: DataFrame) -> None:
+    """Summaries of the zones of ``work`` all of whose tiles are finished, from the stored partials and values; zones without a value fail."""
+    known = store.read("tiles").join(work.select(*ZONE, "item_id"), [*ZONE, "item_id"], "left_semi")
+    counts = state.resume_counts(known)
+    partials = state.stored_partials(known)
+    merged = zonal.merge_partials(partials, *ZONE)
+    found = zonal.finalize(merged, quantiles_of(stored_values(store, known)), _areas(zones), *ZONE)
+    store.write("runs", state.store_summaries(store.read("runs"), found.drop("tiles_used").join(counts.drop("finished_bytes"), list(ZONE))))
+    empty = counts.where("tiles_used = 0")
+    store.write("runs", state.set_status(store.read("runs"), empty, "failed", "no valid pixels"))
+
+
 def profiles(zones: DataFrame, pixels: DataFrame, options: Options = Options()) -> DataFrame:
     """Profiles of zones from their pixels (see zone_pixels)."""
     shaped = geometry.with_main_axis(zones.withColumnRenamed("kommunnamn", "kommun"))

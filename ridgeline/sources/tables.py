@@ -108,7 +108,7 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
 
 
 #: Tags of the GeoTIFF header that are read.
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, ROWS, COUNTS, FORMAT, SCALE, TIE, MISSING = 256, 257, 258, 259, 273, 278, 279, 339, 33550, 33922, 42113
+WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, ROWS, COUNTS, FORMAT, SCALE, TIE, MISSING, PREDICTOR = 256, 257, 258, 259, 273, 278, 279, 339, 33550, 33922, 42113, 317
 KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "Q", 11: "f", 12: "d", 16: "Q"}
 
 
@@ -129,6 +129,10 @@ def decode_geotiff(data: bytes) -> tuple[np.ndarray, dict]:
     pack = tags.get(COMPRESSION, (1,))[0]
     if pack not in (1, 8, 32946):
         raise ValueError(f"compression {pack} is not supported")
+    if tags.get(PREDICTOR, (1,))[0] != 1:
+        raise ValueError(f"predictor {tags[PREDICTOR][0]} is not supported")
+    if STRIPS not in tags:
+        raise ValueError("rasters in tiles are not supported")
     parts = [data[o : o + n] for o, n in zip(tags[STRIPS], tags[COUNTS], strict=True)]
     raw = b"".join(parts if pack == 1 else map(zlib.decompress, parts))
     values = np.frombuffer(raw, order + kind).reshape(tags[HEIGHT][0], tags[WIDTH][0]).astype(np.float64)
@@ -141,23 +145,29 @@ def decode_geotiff(data: bytes) -> tuple[np.ndarray, dict]:
 TILE_PIXELS = "tile string, row int, col int, v double, x double, y double, res_x double, res_y double, nodata double"
 
 
+def pixel_batches(tile: str, values: np.ndarray, head: dict):
+    """The pixels of a raster with their centres, a few rows of pixels at a time."""
+    step = max(1, 262_144 // values.shape[1])
+    for top_row in range(0, len(values), step):
+        part = values[top_row : top_row + step]
+        row, col = np.indices(part.shape)
+        row, col, n = row.ravel() + top_row, col.ravel(), part.size
+        v = pa.array(part.ravel(), from_pandas=True)  # NaN becomes null
+        x, y = head["x0"] + (col + 0.5) * head["res_x"], head["y0"] - (row + 0.5) * head["res_y"]
+        fixed_ = [pa.array([head[k]] * n, pa.float64()) for k in ("res_x", "res_y", "nodata")]
+        columns = [pa.array([tile] * n), pa.array(row, pa.int32()), pa.array(col, pa.int32()), v, pa.array(x), pa.array(y), *fixed_]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in TILE_PIXELS.split(", ")])
+
+
 def rasters(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
-    """Pixels of all rasters of a folder with their centres; one tile at a time, in results of a few rows of pixels."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    """Pixels of all rasters of a folder with their centres, one tile at a time; an error if there are none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    if files.select("path").isEmpty():
+        raise ValueError(f"no {pattern} in {path}")
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                values, h = decode_geotiff(content.as_py())
-                step = max(1, 262_144 // values.shape[1])
-                for top_row in range(0, len(values), step):
-                    part = values[top_row : top_row + step]
-                    row, col = np.indices(part.shape)
-                    row, col, n = row.ravel() + top_row, col.ravel(), part.size
-                    v = pa.array(part.ravel(), from_pandas=True)  # NaN becomes null
-                    x, y = h["x0"] + (col + 0.5) * h["res_x"], h["y0"] - (row + 0.5) * h["res_y"]
-                    fixed_ = [pa.array([h[k]] * n, pa.float64()) for k in ("res_x", "res_y", "nodata")]
-                    columns = [pa.array([name] * n), pa.array(row, pa.int32()), pa.array(col, pa.int32()), v, pa.array(x), pa.array(y), *fixed_]
-                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in TILE_PIXELS.split(", ")])
-
-    return files.mapInArrow(run, TILE_PIXELS)
+                yield from pixel_batches(name, *decode_geotiff(content.as_py()))
+
+    return files.select("path", "content").mapInArrow(run, TILE_PIXELS)

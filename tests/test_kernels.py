@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,11 +42,24 @@ def test_masked(spark):
     assert [r[0] for r in df.select(raster.masked(F.col("v"), -9999.0)).collect()] == [1.0, None, None, None, None]
 
 
+def test_exact_quantiles_are_spread(spark):
+    rng = np.random.default_rng(1)
+    values = {"outlier": [*rng.random(60_000), 1e9], "constant": [5.0] * 60_000, "steps": list(rng.integers(0, 5, 60_000).astype(float)), "wild": list(np.exp(rng.normal(0, 30, 60_000)))}
+    df = spark.createDataFrame(pd.DataFrame([(k, v) for k, x in values.items() for v in x], columns=["k", "v"]))
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r.k: r for r in zonal.exact_quantiles(df, ["k"], "v", shares).collect()}
+    for k, x in values.items():
+        assert [got[k][c] for c in shares] == pytest.approx(np.quantile(np.array(x), list(shares.values())).tolist(), rel=1e-12)
+    ordered = zonal.enclosing_counts(df, ["k"], "v", list(shares.values())).groupBy("k", "_k").count()
+    largest = {r["k"]: r["n"] for r in ordered.groupBy("k").agg(F.max("count").alias("n")).collect()}
+    assert largest["constant"] == 1 and largest["steps"] <= 6 and max(largest.values()) < 0.002 * 60_000
+
+
 def test_exact_quantiles_with_ties_and_one_value(spark):
     rng = random.Random(5)
     values = {"a": [rng.choice([0.0, 1.0, 2.5, 1e6]) for _ in range(1000)], "b": [7.0], "c": [rng.random() for _ in range(333)]}
     df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k string, v double")
-    for r in zonal.exact_quantiles(df, ["k"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.95}, buckets=8).collect():
+    for r in zonal.exact_quantiles(df, ["k"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.95}).collect():
         assert np.allclose([r.lo, r.mid, r.hi], np.quantile(values[r.k], [0.05, 0.5, 0.95]), rtol=1e-12)
 
 

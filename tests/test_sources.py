@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline import schemas
 from ridgeline.operators import state
 from ridgeline.plans import pipeline
-from ridgeline.sources import remote, tables
+from ridgeline.sources import cache, remote, tables
 from ridgeline.streaming import incremental
 
 
@@ -145,6 +145,60 @@ def test_compare_and_resume(spark, tmp_path):
     assert len(back) == 2 and all(len(r.p50) == 6 and r.y_min <= r.y_max for r in back)
 
 
+def test_compare_goes_on_by_tile(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    (tmp_path / "cdn").mkdir()
+    rows, zones = [], spark.createDataFrame([(0, "A", "K", "01", 100, square(1, 1, 38)), (1, "B", "K", "02", 50, square(100, 100, 5))], schemas.ZONES)
+    for k, (x, y) in enumerate([(0, 0), (20, 0), (0, 20), (20, 20), (95, 95)]):
+        values = np.full((20, 20), -9999.0) if k in (2, 4) else rng.normal(size=(20, 20)) * 3 + 50
+        data = geotiff(values, x, y + 20)
+        (tmp_path / "cdn" / f"t{k}.tif").write_bytes(data)
+        rows.append((f"t{k}", "c", f"file://{tmp_path}/cdn/t{k}.tif", len(data), (float(x), float(y), x + 20.0, y + 20.0), k))
+    tiles = spark.createDataFrame(rows, f"{schemas.TILES}, fetch_ordinal int")
+    options = pipeline.Options(nodata=-9999.0, cache_budget_mb=1)
+    monkeypatch.setattr(pipeline.planning, "MIB", rows[0][3] * 2)  # two tiles to a batch
+    fetch = cache.fetched(f"{tmp_path}/cache", "u", "p", parts=2)
+    whole = pipeline.compare(spark, zones, tiles, fetch, f"file://{tmp_path}/whole", options).collect()
+    assert [(r.tatort, r.tiles_scanned, r.tiles_used, r.batches) for r in whole] == [("A", "4", "3", "2")]
+    assert not list((tmp_path / "cache").iterdir())  # files are removed as they are decoded
+    failed = spark.read.parquet(*sorted(str(p) for p in (tmp_path / "whole" / "runs").iterdir())[-1:]).where("tatort = 'B'").first()
+    assert (failed.status, failed.error_message) == ("failed", "no valid pixels")
+    # the second batch breaks off: its tiles are missing
+    hidden = [tmp_path / "cdn" / f"t{k}.tif" for k in (2, 3)]
+    for p in hidden:
+        p.rename(p.with_suffix(".gone"))
+    with pytest.raises(Exception):
+        pipeline.compare(spark, zones, tiles, fetch, f"file://{tmp_path}/broken", options)
+    planned = pipeline.plan(zones, tiles, options)
+    seen = pipeline.preview(spark, planned, f"file://{tmp_path}/broken", options).first()
+    assert (seen.zones, seen.n_tiles, seen.tiles_pending, seen.tiles_done) == (2, 5, 2, 3)
+    for p in hidden:
+        p.with_suffix(".gone").rename(p)
+    for k in (0, 1):
+        (tmp_path / "cdn" / f"t{k}.tif").unlink()  # finished tiles aren't asked for again, nor is the catalog
+    again = pipeline.compare(spark, zones, tiles.where("false"), fetch, f"file://{tmp_path}/broken", options).collect()
+    assert again == whole
+
+
+def test_a_corrupt_tile_is_fetched_once_more(spark, tmp_path):
+    data = geotiff(np.ones((4, 4)), 0, 4)
+    (tmp_path / "cdn").mkdir()
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cdn" / "a.tif").write_bytes(data)
+    (tmp_path / "cache" / "a.tif").write_bytes(b"x" * len(data))
+    tiles = spark.createDataFrame([("a", f"file://{tmp_path}/cdn/a.tif", len(data))], "item_id string, href string, size_bytes long")
+    assert cache.fetched(f"{tmp_path}/cache", "u", "p", keep=True)(tiles).agg(F.sum("v")).first()[0] == 16
+    assert (tmp_path / "cache" / "a.tif").read_bytes() == data
+    assert tables.folder_bytes(spark, f"file://{tmp_path}/cache") == len(data)
+    (tmp_path / "cdn" / "a.tif").write_bytes(b"y" * len(data))
+    (tmp_path / "cache" / "a.tif").unlink()
+    with pytest.raises(Exception):
+        cache.fetched(f"{tmp_path}/cache", "u", "p")(tiles).collect()
+    with pytest.raises(ValueError, match="no "):
+        (tmp_path / "none").mkdir()
+        tables.rasters(spark, f"file://{tmp_path}/none")
+
+
 def test_stream_appends_only_new_files(spark, tmp_path):
     rows = [("A", "K", f"t{t}", 1, t, r, 0, float(r), float(t), float(10 * t + r), 1.0) for t in (1, 2) for r in range(5)]
     df = spark.createDataFrame(rows, incremental.PIXELS)
