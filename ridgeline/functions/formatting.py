@@ -45,14 +45,14 @@ def coordinate(x: Column, y: Column) -> Column:
 
 
 def _decomposed() -> tuple[str, str, list[tuple[str, str]]]:
-    """Latin letters with one ASCII letter under compatibility decomposition, those letters, and those with several."""
+    """Characters with one ASCII character under compatibility decomposition, those, and the Latin letters and ligatures with several."""
     one, to, several = [], [], []
-    for code in range(0xA0, 0x250):
+    for code in range(0xA0, 0x20000):
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             one.append(chr(code))
             to.append(plain)
-        elif len(plain) > 1:
+        elif len(plain) > 1 and (code < 0x250 or 0xFB00 <= code < 0xFB07):
             several.append((chr(code), plain))
     return "".join(one), "".join(to), several
 
@@ -61,7 +61,10 @@ ONE, TO, SEVERAL = _decomposed()
 
 
 def slug(name: Column) -> Column:
-    """Lower-case ASCII with ``_`` for blanks: accents are taken off, letters that don't decompose are left out."""
+    """Lower-case ASCII with ``_`` for blanks: accents are taken off, letters that don't decompose are left out.
+
+    So are signs that stand for several ASCII characters, such as those of units, beside Latin letters and ligatures.
+    """
     plain = F.translate(name, ONE, TO)
     for a, b in SEVERAL:
         plain = F.replace(plain, F.lit(a), F.lit(b))

@@ -6,7 +6,7 @@ All but the main axis are built-in expressions over one row's geometry. Rings ma
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,11 +171,15 @@ def long_side(points: np.ndarray) -> tuple[float, float]:
 
 
 def with_main_axis(zones: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """The rows with ``axis``, the long side of the smallest rectangle around their geometry. One call for each batch of shapes."""
+    """The rows with ``axis``, the long side of the smallest rectangle around their geometry. Each batch's points are one flat array."""
 
-    @F.pandas_udf("x double, y double")
-    def axis(points: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([long_side(np.array([(p["x"], p["y"]) for p in ps])) for ps in points], columns=["x", "y"])
+    @F.arrow_udf("struct<x:double,y:double>")
+    def axis(points: pa.Array) -> pa.Array:
+        flat = points.flatten()
+        at = np.r_[0, np.cumsum(points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+        xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)], axis=1)
+        sides = np.array([long_side(xy[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(sides[:, 0]), pa.array(sides[:, 1])], ["x", "y"])
 
     return zones.withColumn("axis", axis(vertices(F.col(geometry))))
 
@@ -227,10 +231,12 @@ def zone_tiles(zones: DataFrame, tiles: DataFrame, cell: float = 5000.0) -> Data
     return near.where(meets_box(F.col("geometry"), F.col("bbox_3006"))).drop("_bounds")
 
 
-def zone_collections(zones: DataFrame, collections: DataFrame) -> DataFrame:
-    """Zones with the collections whose corner ring ``ring`` meets the zone's bounds. Collections are few: the larger side stays in place."""
-    inside = bounds(F.col("geometry"))
-    return zones.withColumn("_bounds", inside).join(collections, meets_box(F.array(F.array(F.col("ring"))), F.col("_bounds"))).drop("_bounds")
+def zone_collections(zones: DataFrame, collections: DataFrame, cell: float = 50_000.0) -> DataFrame:
+    """Zones with the collections whose corner ring ``ring`` meets the zone's bounds: their boxes by grid cells, then exactly."""
+    shape = F.array(F.array(F.col("ring")))
+    boxed = collections.withColumn("_box", bounds(shape))
+    near = touching_boxes(zones.withColumn("_bounds", bounds(F.col("geometry"))), boxed, "_bounds", "_box", cell)
+    return near.where(meets_box(shape, F.col("_bounds"))).drop("_bounds", "_box")
 
 
 def clip(pixels: DataFrame, zones: DataFrame, *keys: str) -> DataFrame:

@@ -6,12 +6,15 @@ logs and series, page addresses for files. Each query runs over its whole tables
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schemas
 from ..functions import formatting as fmt
 from ..functions import projection as proj
 from ..operators import eta, geometry, planning, profile, raster, state, zonal
@@ -321,7 +324,18 @@ def _customer_boxes(spark, d) -> DataFrame:
 def bbox_join(spark, d):
     n = F.col("n_nationkey")
     boxes = load(spark, d, "nation").select("n_nationkey", geometry.box(n * 80, n * 80, n * 80 + 60, n * 80 + 60).alias("box"))
-    return _customer_boxes(spark, d).join(boxes, geometry.boxes_touch(F.col("zone_box"), F.col("box"))).select("c_custkey", "n_nationkey")
+    return geometry.touching_boxes(_customer_boxes(spark, d), boxes, "zone_box", "box", 64.0).select("c_custkey", "n_nationkey")
+
+
+@query(
+    f"""SELECT c_custkey, n_nationkey FROM (SELECT c_custkey, x0 AS ax, y0 AS ay, a, b FROM (SELECT c_custkey, 100 + c_custkey % 13 AS a, 50 + c_custkey % 7 AS b, 1000 + c_custkey AS x0, 2000 + c_custkey * 2 AS y0 FROM customer)), nation
+    WHERE ax <= 1000 + n_nationkey * 97 + 180 AND 1000 + n_nationkey * 97 <= ax + a AND ay <= 2000 + n_nationkey * 131 + 260 AND 2000 + n_nationkey * 131 <= ay + b"""
+)
+def collection_join(spark, d):
+    n = F.col("n_nationkey")
+    point = lambda x, y: F.struct((1000 + n * 97 + x).cast("double").alias("x"), (2000 + n * 131 + y).cast("double").alias("y"))
+    rings = load(spark, d, "nation").select("n_nationkey", F.array(point(0, 0), point(180, 0), point(180, 260), point(0, 260)).alias("ring"))
+    return geometry.zone_collections(_lots(spark, d), rings, 128.0).select("c_custkey", "n_nationkey")
 
 
 @query(f"SELECT c_custkey, o_orderkey FROM {_BOXES}, (SELECT o_orderkey, o_orderkey * 41 % 2000 AS bx, o_orderkey * 61 % 2000 AS cy FROM orders) WHERE ax <= bx + 7 AND bx <= ax + s AND ay <= cy + 7 AND cy <= ay + s")
@@ -404,7 +418,14 @@ def main_axis(spark, d):
     return rows.select("c_custkey", r6(F.col("axis.x"), "ax"), r6(F.col("axis.y"), "ay"))
 
 
-@query()
+@query(
+    f"""WITH {_LOTS}, t AS (SELECT o_orderkey, 1000 + o_orderkey * 31 % 1600 AS tx, 2000 + o_orderkey * 17 % 3200 AS ty FROM orders),
+    b AS (SELECT c_custkey, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pts GROUP BY 1), near AS (SELECT c_custkey, o_orderkey, tx, ty FROM b JOIN t ON x0 <= tx + 9 AND tx <= x1 AND y0 <= ty + 9 AND ty <= y1),
+    m AS (SELECT c_custkey, o_orderkey, tx, ty, x, y, x2, y2, (x2 - x) * (ty - y) - (y2 - y) * (tx - x) AS s1, (x2 - x) * (ty + 9 - y) - (y2 - y) * (tx - x) AS s2, (x2 - x) * (ty - y) - (y2 - y) * (tx + 9 - x) AS s3,
+        (x2 - x) * (ty + 9 - y) - (y2 - y) * (tx + 9 - x) AS s4 FROM near JOIN es USING (c_custkey))
+    SELECT c_custkey, o_orderkey FROM m GROUP BY 1, 2 HAVING bool_or(least(x, x2) <= tx + 9 AND greatest(x, x2) >= tx AND least(y, y2) <= ty + 9 AND greatest(y, y2) >= ty AND least(s1, s2, s3, s4) <= 0 AND greatest(s1, s2, s3, s4) >= 0)
+        OR count(*) FILTER ((y > ty) <> (y2 > ty) AND tx < (x2 - x) * (ty - y) / nullif(y2 - y, 0) + x) % 2 = 1"""
+)
 def zone_tile_join(spark, d):
     lots = _lots(spark, d)
     k = F.col("o_orderkey")
@@ -443,8 +464,8 @@ def profile_bins(spark, d):
     return profile.binned(cells.select("label", bin.alias("bin"), F.col("v").cast("double").alias("v")), "v", 20, "label").select("label", "bin", *map(r6, profile.CURVES))
 
 
-_HOURS = """h AS (SELECT event_type AS k, CAST(extract('hour' FROM ts) AS INTEGER) * 4 + CAST(extract('minute' FROM ts) AS INTEGER) // 15 AS bin, value FROM events WHERE user_id % 5 = 0),
-m AS (SELECT k, bin, avg(value) AS v FROM h WHERE bin % 7 <> 3 GROUP BY 1, 2), a AS (SELECT k, unnest(generate_series(0, 95)) AS bin FROM (SELECT DISTINCT k FROM h)),
+_HOURS = """h AS (SELECT event_type AS k, CAST(extract('hour' FROM ts) AS INTEGER) * 60 + CAST(extract('minute' FROM ts) AS INTEGER) AS bin, value FROM events),
+m AS (SELECT k, bin, avg(value) AS v FROM h GROUP BY 1, 2), a AS (SELECT k, unnest(generate_series(0, 1439)) AS bin FROM (SELECT DISTINCT k FROM h)),
 s AS (SELECT a.k, a.bin, v, CASE WHEN v IS NOT NULL THEN a.bin END AS place FROM a LEFT JOIN m ON m.k = a.k AND m.bin = a.bin),
 g AS (SELECT k, bin, v, last_value(v IGNORE NULLS) OVER b AS v0, first_value(v IGNORE NULLS) OVER f AS v1, last_value(place IGNORE NULLS) OVER b AS i0, first_value(place IGNORE NULLS) OVER f AS i1 FROM s
     WINDOW b AS (PARTITION BY k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY k ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
@@ -452,17 +473,16 @@ l AS (SELECT k, bin, coalesce(v, CASE WHEN i1 > i0 THEN v0 + (v1 - v0) * (bin -
 
 
 @query(
-    f"""WITH {_HOURS} SELECT k, CAST(bin AS INTEGER) AS bin, round(bin / 95.0, 6) AS x, round((sum(v) OVER (PARTITION BY k ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)
-    + greatest(0, 3 - bin) * first_value(v) OVER w + greatest(0, bin + 3 - 95) * last_value(v) OVER w) / 7, 3) AS v FROM l
+    f"""WITH {_HOURS} SELECT k, CAST(bin AS INTEGER) AS bin, round(bin / 1439.0, 6) AS x, round((sum(v) OVER (PARTITION BY k ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)
+    + greatest(0, 3 - bin) * first_value(v) OVER w + greatest(0, bin + 3 - 1439) * last_value(v) OVER w) / 7, 3) AS v FROM l
     WINDOW w AS (PARTITION BY k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 )
 def profile_smooth(spark, d):
-    slot = F.hour("ts") * 4 + F.floor(F.minute("ts") / 15).cast("int")
-    rows = load(spark, d, "events").where("user_id % 5 = 0").select(F.col("event_type").alias("k"), slot.alias("bin"), "value")
-    means = rows.where("bin % 7 <> 3").groupBy("k", "bin").agg(F.avg("value").alias("v"))
-    every = rows.select("k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(95))))
+    rows = load(spark, d, "events").select(F.col("event_type").alias("k"), (F.hour("ts") * 60 + F.minute("ts")).alias("bin"), "value")
+    means = rows.groupBy("k", "bin").agg(F.avg("value").alias("v"))  # not every minute has events, so that there are gaps
+    every = rows.select("k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(1439))))
     table = every.join(means, ["k", "bin"], "left").select("k", "bin", *(F.col("v").alias(c) for c in profile.CURVES))
-    return profile.series(table, 96, "k").select("k", "bin", r6("x"), F.round("p50", 3).alias("v"))
+    return profile.series(table, 1440, "k").select("k", "bin", r6("x"), F.round("p50", 3).alias("v"))
 
 
 @query(
@@ -594,10 +614,9 @@ def url_filename(spark, d):
     return load(spark, d, "pages").select("page_id", fmt.file_name(F.col("url")).alias("file"))
 
 
-@query(r"""SELECT doc_id, replace(lower(regexp_replace(strip_accents(substr(text, 1, 40)), '[^\x00-\x7F]', '', 'g')), ' ', '_') AS slug FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')""")
+@query(r"""SELECT doc_id, replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), ' ', '_') AS slug FROM documents""")
 def slugify(spark, d):
-    rows = load(spark, d, "documents").where(F.col("lang").isin("en", "fr", "de", "es"))
-    return rows.select("doc_id", fmt.slug(F.substring("text", 1, 40)).alias("slug"))
+    return load(spark, d, "documents").select("doc_id", fmt.slug(F.col("text")).alias("slug"))
 
 
 @query(
@@ -632,3 +651,166 @@ def topn_by_criterion(spark, d):
         F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).cast("bigint").alias("by_min"),
     )
     return rows.where("by_max <= 20 OR by_min <= 20")
+
+
+# pieces of the pipelines
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def guarded_rows(spark, d):
+    return planning.not_empty(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), "no orders")
+
+
+@query(f"WITH RECURSIVE {_TILES} SELECT zone, item_id, CAST(batch_position AS INTEGER) AS batch_position FROM p WHERE batch_index = 2")
+def second_batches(spark, d):
+    return planning.batch(_batches(spark, d), 2).select("zone", "item_id", "batch_position")
+
+
+@query(f"WITH RECURSIVE {_TILES} SELECT zone, item_id, CAST(ordinal AS BIGINT) AS ordinal, batch_index FROM p")
+def plan_from_state(spark, d):
+    stored = _batches(spark, d).select(F.col("zone").alias("tatort"), F.lit("k").alias("kommun"), "item_id", "size_bytes", "batch_index", "batch_position")
+    again = planning.packed(state.plan_order(stored), 1_000_000, "tatort", "kommun")
+    return again.select(F.col("tatort").alias("zone"), "item_id", "ordinal", "batch_index")
+
+
+@query("SELECT o_custkey, CAST(sum(CAST(trunc(o_totalprice) AS BIGINT)) AS BIGINT) + 1000 AS used FROM orders GROUP BY 1")
+def budget_gate(spark, d):
+    new = F.sum(F.col("o_totalprice").cast("bigint"))
+    return load(spark, d, "orders").groupBy("o_custkey").agg(new.alias("new")).select("o_custkey", planning.within_budget(F.lit(1000).cast("bigint"), F.col("new"), 1 << 50).alias("used"))
+
+
+@query("SELECT o_orderkey, 300000 + (o_orderkey % 97 + 0.5) * 2 AS x, 6200000 - (o_orderkey % 89 + 0.5) * 2 AS y FROM orders")
+def pixel_centers(spark, d):
+    k, lit = F.col("o_orderkey"), lambda v: F.lit(float(v))
+    x, y = geometry.pixel_center(k % 89, k % 97, lit(300000), lit(6200000), lit(2), lit(2))
+    return load(spark, d, "orders").select("o_orderkey", x.alias("x"), y.alias("y"))
+
+
+@query(
+    f"""WITH {SUMMARY}, r AS (SELECT row_number() OVER (ORDER BY hilliness_score DESC, tatort, kommun) AS k, * FROM f)
+    SELECT CAST(k AS VARCHAR) AS rank, tatort, {_sql_text("hilliness_score", 4)} AS hilliness_score FROM r WHERE k <= 5"""
+)
+def top_zones(spark, d):
+    return tables.top(_result_fields(spark, d), 5).select("rank", "tatort", "hilliness_score")
+
+
+def _result_fields(spark, d) -> DataFrame:
+    more = {"tatortskod": F.substring("tatort", 1, 3), "collections": F.col("kommun"), "batches": F.lit(1), "total_raw_size_mb": F.col("n_values") * 4.0 / 1048576, "tiles_scanned": F.col("tiles_used")}
+    return _summary(spark, d).select("*", *(v.alias(k) for k, v in more.items()))
+
+
+def _folder(spark) -> str:
+    """A new folder where the cluster's executors share files; only a local session without one has a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='ridgeline-')}/{uuid.uuid4().hex}"
+
+
+@query(
+    f"""WITH {SUMMARY} SELECT CAST(row_number() OVER (ORDER BY hilliness_score DESC, tatort, kommun) AS INTEGER) AS rank, tatort, kommun, CAST({_sql_text("hilliness_score", 4)} AS DOUBLE) AS hilliness_score,
+    CAST({_sql_text("relief_q05_m", 2)} AS DOUBLE) AS relief_q05_m FROM f"""
+)
+def result_file(spark, d):
+    path = _folder(spark)
+    tables.write_results(_result_fields(spark, d), path)
+    return tables.results(spark, path).select("rank", "tatort", "kommun", "hilliness_score", "relief_q05_m")
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS item_id, 'c' || o_orderkey % 3 AS collection_id, 'https://x/' || o_orderkey || '.tif' AS href, CAST(trunc(o_totalprice) AS BIGINT) AS size_bytes,
+    CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END AS DOUBLE) AS minx FROM orders"""
+)
+def catalog_items(spark, d):
+    k = F.col("o_orderkey")
+    own = F.when(k % 2 == 0, F.array(*[k.cast("double")] * 4)).otherwise(F.array().cast("array<double>"))
+    data = F.struct(F.concat(F.lit("https://x/"), k, F.lit(".tif")).alias("href"), F.col("o_totalprice").cast("bigint").alias("file:size"), own.alias("proj:bbox"))
+    item = F.struct(k.cast("string").alias("id"), F.struct(data.alias("data")).alias("assets"), F.struct(F.array(*[-k.cast("double")] * 4).alias("proj:bbox")).alias("properties"))
+    pages = load(spark, d, "orders").groupBy(F.concat(F.lit("c"), k % 3).alias("collection_id"), F.floor(k / 100).alias("page")).agg(F.collect_list(item).alias("features"))
+    path = _folder(spark)
+    pages.select("collection_id", F.to_json(F.struct("features", F.array().cast("array<struct<rel:string,href:string>>").alias("links")))).write.partitionBy("collection_id").text(path)
+    rows = spark.read.schema(f"{schemas.ITEMS}, collection_id string").json(path)
+    return tables.items_of(rows).select("item_id", "collection_id", "href", "size_bytes", F.col("bbox_3006.minx").alias("minx"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'n' || event_id END AS href FROM events")
+def next_links(spark, d):
+    link = lambda rel, href: F.struct(F.lit(rel).alias("rel"), href.cast("string").alias("href"))
+    own, n = link("self", F.lit("s")), F.concat(F.lit("n"), F.col("event_id").cast("string"))
+    links = F.when(F.col("user_id") % 3 == 0, F.array(own, link("next", n), link("next", F.lit("later")))).otherwise(F.array(own))
+    return load(spark, d, "events").select("event_id", tables.next_page(links).alias("href"))
+
+
+@query(
+    """SELECT c_custkey, replace(lower(c_name), ' ', '_') AS chunk, 'root/' || c_mktsegment || '/' || c_custkey || '.tif' AS path, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey AS DOUBLE) END AS px FROM customer"""
+)
+def names_and_places(spark, d):
+    k = F.col("c_custkey")
+    p = fmt.point(k.cast("double"), F.when(k % 4 != 0, k.cast("double")))
+    url = F.concat(F.lit("https://h/a/"), k, F.lit(".tif?x=1"))
+    return load(spark, d, "customer").select("c_custkey", fmt.chunk_slug(F.col("c_name")).alias("chunk"), fmt.tile_path(F.lit("root"), F.col("c_mktsegment"), url).alias("path"), p["x"].alias("px"))
+
+
+@query(
+    """SELECT c_custkey AS tatort, CASE WHEN c_custkey % 2 = 0 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN c_custkey % 2 = 1 THEN 'old' END AS error_message, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS hilliness_score,
+    CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS DOUBLE) END AS min_coord_x FROM customer"""
+)
+def stored_summaries(spark, d):
+    rows = load(spark, d, "customer").select(F.col("c_custkey").alias("tatort"), F.lit("k").alias("kommun"), "c_acctbal", F.col("c_nationkey").cast("double").alias("x"))
+    runs = rows.select("tatort", "kommun", F.lit("failed").alias("status"), F.lit("old").alias("error_message"), *(F.lit(None).cast("double").alias(c) for c in ("hilliness_score", "min_coord_x", "min_coord_y")))
+    found = rows.where("tatort % 2 = 0").select("tatort", "kommun", F.col("c_acctbal").alias("hilliness_score"), F.struct("x", F.lit(0.0).alias("y")).alias("min_coord"))
+    return state.store_summaries(runs, found).drop("kommun", "min_coord_y")
+
+
+@query(
+    """SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 3 < 2 THEN 'downloaded' ELSE 'planned' END AS download_status, CASE o_orderkey % 3 WHEN 0 THEN 'processed' WHEN 1 THEN 'processed_empty' ELSE 'planned' END AS process_status,
+    CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS local_min, CASE WHEN o_orderkey % 3 = 0 THEN 'p' END AS chunk_path FROM orders"""
+)
+def stored_metrics(spark, d):
+    k, zone = F.col("o_orderkey"), (F.col("o_custkey").alias("tatort"), F.lit("k").alias("kommun"), F.col("o_orderkey").alias("item_id"))
+    orders = load(spark, d, "orders")
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("local_min", "local_max", "min_coord_x", "min_coord_y", "max_coord_x", "max_coord_y", "slope_sum_squares")]
+    tiles = orders.select(*zone, F.lit("planned").alias("download_status"), F.lit("planned").alias("process_status"), *nothing, F.lit(None).cast("bigint").alias("slope_count"), F.lit(None).cast("string").alias("chunk_path"))
+    some = orders.where(k % 3 < 2)
+    full, v = k % 3 == 0, F.when(k % 3 == 0, F.col("o_totalprice"))
+    coord = F.struct(v.alias("x"), v.alias("y"))
+    partials = some.select(*zone, v.alias("local_min"), v.alias("local_max"), coord.alias("min_coord"), coord.alias("max_coord"), F.when(full, 5).otherwise(0).alias("n_values"), v.alias("slope_sum_squares"), F.lit(1).cast("bigint").alias("slope_count"), F.when(full, "p").alias("chunk_path"))
+    found = state.store_metrics(state.mark_downloaded(tiles, some.select(*zone)), partials)
+    return found.select("item_id", "download_status", "process_status", "local_min", "chunk_path")
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (ORDER BY CASE WHEN user_id % 2 = 0 THEN user_id END NULLS LAST, lower('u' || user_id)) AS BIGINT) AS place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k = 1")
+def profile_order(spark, d):
+    name = F.concat(F.lit("u"), F.col("user_id"))
+    rows = load(spark, d, "events").select(name.alias("tatort"), "user_id", "event_id", "ts", F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("rank"))
+    # the order that the rows come in, written down
+    ordered = profile.latest(rows, "ts", "event_id", "tatort").withColumn("at", F.monotonically_increasing_id())
+    return ordered.select("user_id", "event_id", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place"))
+
+
+@query(
+    """WITH c AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+    b AS (SELECT label, greatest(least(CAST(trunc((i + vec_id % 5 - 10.0) / 50.0 * 20) AS INTEGER), 19), 0) AS bin, v FROM c), q AS (SELECT label, bin, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90 FROM b GROUP BY 1, 2)
+    SELECT label, 20 AS n_bins, round(min(p10), 6) AS y_min, round(max(p90), 6) AS y_max FROM q GROUP BY 1"""
+)
+def profile_extent(spark, d):
+    cells = load(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v"))
+    bin = profile.bin_of((F.col("i") + F.col("vec_id") % 5).cast("double"), F.lit(10.0), F.lit(60.0), 20)
+    table = profile.binned(cells.select("label", bin.alias("bin"), F.col("v").cast("double").alias("v")), "v", 20, "label")
+    packed = profile.packed_profiles(table.withColumn("x", F.col("bin") / 19.0), "label")
+    return packed.select("label", F.size("x").alias("n_bins"), r6("y_min"), r6("y_max"))
+
+
+#: Published pairs of geographic and grid coordinates (degrees north and east, metres north and east).
+_CONTROL = (
+    (55.0, 12.75, 6097106.672, 356083.438), (55.0, 14.25, 6095048.642, 452024.069), (57.0, 12.75, 6319636.937, 363331.554),
+    (57.0, 19.5, 6326392.707, 773251.054), (59.0, 11.25, 6546096.724, 284626.066), (59.0, 19.5, 6548757.206, 758410.519),
+)
+
+
+@query(f"SELECT CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, CAST(north AS DOUBLE) AS north, CAST(east AS DOUBLE) AS east, printf('(%.6f, %.6f)', lat, lon) AS place FROM (VALUES {', '.join(map(str, _CONTROL))}) v(lat, lon, north, east)")
+def control_points(spark, d):
+    rows = spark.createDataFrame(_CONTROL, "lat double, lon double, n double, e double")
+    lon, lat = F.col("lon"), F.col("lat")
+    back = fmt.coordinate(F.col("e"), F.col("n"))
+    return rows.select("lat", "lon", F.round(proj.northing(lon, lat), 3).alias("north"), F.round(proj.easting(lon, lat), 3).alias("east"), back.alias("place"))

@@ -35,7 +35,11 @@ def item_box(item: Column) -> Column:
 
 def items(spark: SparkSession, path: str) -> DataFrame:
     """Tiles of saved catalog pages, one folder ``collection_id=...`` for each collection, with their ordinal within the pages."""
-    pages = spark.read.schema(f"{schemas.ITEMS}, collection_id string").json(path, multiLine=True)
+    return items_of(spark.read.schema(f"{schemas.ITEMS}, collection_id string").json(path, multiLine=True))
+
+
+def items_of(pages: DataFrame) -> DataFrame:
+    """Tiles of catalog pages (features, links, collection_id) that were read from files."""
     rows = pages.select("collection_id", F.col("_metadata.file_path").alias("_page"), F.posexplode("features").alias("_at", "f"))
     return rows.select(
         F.col("f.id").alias("item_id"),
