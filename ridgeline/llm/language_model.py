@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,21 @@ SWEEPS = 8
 GATHERED = 1 << 21
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different words, the number of each token's word, tokens of each text) of an array of texts."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(full).as_py():  # blanks at the ends of a text make empty words
+        owner = np.repeat(np.arange(len(texts)), lengths)[full.to_numpy(zero_copy_only=False)]
+        flat, lengths = flat.filter(full), np.bincount(owner, minlength=len(texts))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False), lengths
+
+
+def slices(batch: pa.RecordBatch, rows: int = 2048):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def _group(word: bytes) -> int:
@@ -84,8 +98,10 @@ def word_counts(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch["text"]:
-                held.update(tokens(text.as_py()))
+            for part in slices(batch):
+                words, number, _ = tokens(part["text"])
+                for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
+                    held[word] += n
                 if len(held) > HELD:
                     yield rows()
                     held.clear()
@@ -110,16 +126,16 @@ def frequent(counts: DataFrame, most: int) -> tuple[int, list[tuple[bytes, int]]
 
 def _streams(batches, end: int, number_of):
     """Arrays of the numbers of the tokens of many texts, the end before and after each text."""
-    row: list[int] = [end]
+    held: list[np.ndarray] = [np.array([end])]
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            for text in batch.slice(at, 512)["text"]:
-                row += map(number_of, tokens(text.as_py()))
-                row.append(end)
-                if len(row) > GATHERED:
-                    yield np.array(row)
-                    row = [end]
-    yield np.array(row)
+        for part in slices(batch):
+            words, number, lengths = tokens(part["text"])
+            numbers = np.fromiter(map(number_of, words), np.int64, len(words))[number]
+            held.append(np.insert(numbers, np.cumsum(lengths), end))
+            if sum(map(len, held)) > GATHERED:
+                yield np.concatenate(held)
+                held = [np.array([end])]
+    yield np.concatenate(held)
 
 
 def bigrams(train: DataFrame, size: int, numbers) -> np.ndarray:
@@ -376,40 +392,43 @@ def _parts(model):
         end_base = math.log10((m.ends + 0.5) / m.base_room)
         end_emit = math.log10((m.ends + 0.5) / room[-1])
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                out: list[list] = [[] for _ in range(11)]
-                fixed = zip(batch["rid"].to_pylist(), batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"], strict=True)
-                for rid, doc_id, held_out, text in fixed:
-                    words = tokens(text.as_py())
-                    place = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-                    rare = place < 0
-                    known = place[~rare]
-                    classes = np.full(len(words) + 2, CLASSES - 1)
-                    if len(m.words):
-                        classes[1:-1] = np.where(rare, -1 - place, class_of[np.maximum(place, 0)])
-                    else:
-                        classes[1:-1] = -1 - place
-                    score = m.moves[classes[:-1], classes[1:]].sum() + emit[known].sum() + end_emit
-                    row = (rid, doc_id, held_out, rid, None, 0, 0, len(words) + 1, len(known) + (m.ends > 0), base[known].sum() + end_base, score)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                    others = Counter([words[k] for k in np.flatnonzero(rare)])
-                    n = len(others)
-                    out[0] += [rid] * n
-                    out[1] += [doc_id] * n
-                    out[2] += [held_out] * n
-                    out[3] += [None] * n
-                    out[4] += others
-                    out[5] += others.values()
-                    out[6] += [-1 - places[w] for w in others]
-                    for k in (7, 8):
-                        out[k] += [0] * n
-                    for k in (9, 10):
-                        out[k] += [0.0] * n
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                names = ("rid", "doc_id", "held_out", "key", "word", "times", "class", "n_tokens", "n_known", "base", "score")
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], list(names))
+            for batch in slices(whole):
+                words, number, lengths = tokens(batch["text"])
+                n = batch.num_rows
+                word_place = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+                word_class = np.where(word_place < 0, -1 - word_place, class_of[np.maximum(word_place, 0)] if len(class_of) else 0)
+                owner, place = np.repeat(np.arange(n), lengths), word_place[number]
+                path = np.r_[CLASSES - 1, np.insert(word_class[number], np.cumsum(lengths), CLASSES - 1)]
+                steps = m.moves[path[:-1], path[1:]]
+                known = place >= 0
+                total = lambda x, of: np.bincount(of, x, minlength=n)
+                score = total(steps, np.repeat(np.arange(n), lengths + 1)) + end_emit
+                base_sum, n_known = np.full(n, end_base), np.full(n, int(m.ends > 0))
+                if known.any():
+                    score += total(emit[place[known]], owner[known])
+                    base_sum += total(base[place[known]], owner[known])
+                    n_known += np.bincount(owner[known], minlength=n)
+                rare = np.flatnonzero(~known)
+                pair, times = np.unique(owner[rare] * len(words) + number[rare], return_counts=True)
+                doc, word = pair // max(1, len(words)), pair % max(1, len(words))
+                row = np.r_[np.arange(n), doc]
+                zeros = np.zeros(len(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["rid"].take(pa.array(row)),
+                        batch["doc_id"].take(pa.array(row)),
+                        batch["held_out"].take(pa.array(row)),
+                        pa.concat_arrays([batch["rid"], pa.nulls(len(doc), pa.int64())]),
+                        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(words, pa.binary()).take(pa.array(word))]),
+                        pa.array(np.r_[np.zeros(n, np.int32), times.astype(np.int32)], pa.int32()),
+                        pa.array(np.r_[np.zeros(n, np.int64), word_class[word]].astype(np.int32), pa.int32()),
+                        pa.array(np.r_[lengths + 1, zeros].astype(np.int64), pa.int64()),
+                        pa.array(np.r_[n_known, zeros].astype(np.int64), pa.int64()),
+                        pa.array(np.r_[base_sum, zeros], pa.float64()),
+                        pa.array(np.r_[score, zeros], pa.float64()),
+                    ],
+                    ["rid", "doc_id", "held_out", "key", "word", "times", "class", "n_tokens", "n_known", "base", "score"],
+                )
 
     return run
 
