@@ -474,7 +474,7 @@ l AS (SELECT k, bin, coalesce(v, CASE WHEN i1 > i0 THEN v0 + (v1 - v0) * (bin -
 
 @query(
     f"""WITH {_HOURS} SELECT k, CAST(bin AS INTEGER) AS bin, round(bin / 1439.0, 6) AS x, round((sum(v) OVER (PARTITION BY k ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)
-    + greatest(0, 3 - bin) * first_value(v) OVER w + greatest(0, bin + 3 - 1439) * last_value(v) OVER w) / 7, 3) AS v FROM l
+    + greatest(0, 3 - bin) * first_value(v) OVER w + greatest(0, bin + 3 - 1439) * last_value(v) OVER w) / 7 + 1e-9, 6) AS v FROM l
     WINDOW w AS (PARTITION BY k ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 )
 def profile_smooth(spark, d):
@@ -482,7 +482,8 @@ def profile_smooth(spark, d):
     means = rows.groupBy("k", "bin").agg(F.avg("value").alias("v"))  # not every minute has events, so that there are gaps
     every = rows.select("k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(1439))))
     table = every.join(means, ["k", "bin"], "left").select("k", "bin", *(F.col("v").alias(c) for c in profile.CURVES))
-    return profile.series(table, 1440, "k").select("k", "bin", r6("x"), F.round("p50", 3).alias("v"))
+    # a little is added, so that sums in another order don't fall on the other side of a half
+    return profile.series(table, 1440, "k").select("k", "bin", r6("x"), F.round(F.col("p50") + 1e-9, 6).alias("v"))
 
 
 @query(
