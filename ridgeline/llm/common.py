@@ -55,6 +55,12 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="ridgeline-")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it is."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the cluster's checkpoint folder, which all executors share.
 

@@ -8,6 +8,8 @@ classes that were found. What is left are rare and unseen words, which have the
 its class after the class before it, times that of the word in its class, smoothed by half a count with one place in each class for
 unknown words.
 
+The training texts are tokenized twice, for the counts and to write them as numbers of words; all sums over pairs are read from these numbers.
+
 What comes to the driver is bounded: UNITS squared sums and at most KNOWN frequent words with their classes, which are
 broadcast. The counts of all other words stay a table, and texts meet it in a join by word; as frequent words never take
 part in it, it has no hot key.
@@ -20,6 +22,7 @@ the first is taken.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -30,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold
+from .common import cut, fold, remove, shared_folder
 
 #: Units in all, those that are one word each, and classes. The last unit and the last class are the end's.
 UNITS, OWN, CLASSES = 2304, 2048, 64
@@ -45,8 +48,10 @@ HELD = 300_000
 PULL = 50.0
 #: Sweeps of the exchange over all units, at most.
 SWEEPS = 8
-#: Tokens that a worker gathers before it sums up their pairs.
+#: Tokens or pairs that a worker gathers before it sums them up.
 GATHERED = 1 << 21
+#: Pairs of tokens in a row of numbers.
+ROW = 1 << 18
 
 
 def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -71,21 +76,21 @@ def _group(word: bytes) -> int:
     return OWN + zlib.crc32(word[-TAIL:]) % (END - OWN)
 
 
-class Units(dict):
-    """Units of words as they are asked for."""
+class Numbers(dict):
+    """Numbers of words as they are asked for: the place of a frequent word; after these, one for each group of other words."""
 
-    def __init__(self, own: list[bytes]):
+    def __init__(self, words: list[bytes]):
         super().__init__()
-        self.own = {w: k for k, w in enumerate(own)}
+        self.known = {w: k for k, w in enumerate(words)}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= HELD:
             self.clear()
-        unit = self.own.get(word)
-        if unit is None:
-            unit = _group(word)
-        self[word] = unit
-        return unit
+        number = self.known.get(word)
+        if number is None:
+            number = len(self.known) + _group(word) - OWN
+        self[word] = number
+        return number
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -138,19 +143,57 @@ def _streams(batches, end: int, number_of):
     yield np.concatenate(held)
 
 
-def bigrams(train: DataFrame, size: int, numbers) -> np.ndarray:
-    """How often each number follows each other in the training texts. ``numbers()`` makes a worker's map of words to numbers, ``size`` - 1 is the end's."""
+def write_numbers(train: DataFrame, words: list[bytes], path: str) -> DataFrame:
+    """The training texts as numbers of words, an end before and after each text, written to the path and read again.
+
+    A row has compressed numbers of at most ROW pairs and begins with the last number of the row before it, so that each pair is in one row.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        for u in _streams(batches, len(shared.value) + END - OWN, Numbers(shared.value).__getitem__):
+            for at in range(0, len(u) - 1, ROW):
+                part = u[at : at + ROW + 1].astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"n": [len(part)], "numbers": [pa.compress(part, codec="zstd", asbytes=True)]})
+
+    train.select("text").mapInArrow(run, "n long, numbers binary").write.option("compression", "none").parquet(path)
+    shared.destroy()
+    return train.sparkSession.read.schema("n long, numbers binary").parquet(path)
+
+
+def _paths(batches):
+    """The arrays of numbers that ``write_numbers`` wrote."""
+    for batch in batches:
+        for n, packed in zip(batch["n"].to_pylist(), batch["numbers"], strict=True):
+            yield np.frombuffer(pa.decompress(packed.as_buffer(), 4 * n, codec="zstd"), np.int32)
+
+
+def _gathered(arrays):
+    """The arrays joined to fewer ones."""
+    held: list[np.ndarray] = []
+    for x in arrays:
+        held.append(x)
+        if sum(map(len, held)) > GATHERED:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
+
+
+def bigrams(numbers: DataFrame, size: int, kind_of: np.ndarray) -> np.ndarray:
+    """How often each kind of word follows each other in the training texts; ``kind_of`` gives the kind of each number, of which there are ``size``."""
+    kinds = numbers.sparkSession.sparkContext.broadcast(kind_of.astype(np.int32))
 
     def run(batches):
-        number_of, cells = numbers().__getitem__, np.zeros(size * size, np.int64)
-        for u in _streams(batches, size - 1, number_of):
-            cells += np.bincount(u[:-1] * size + u[1:], minlength=len(cells))
+        cells = np.zeros(size * size, np.int64)
+        for codes in _gathered(u[:-1] * size + u[1:] for u in (kinds.value[x] for x in _paths(batches))):
+            cells += np.bincount(codes, minlength=len(cells))
         full = np.flatnonzero(cells)
         for at in range(0, max(1, len(full)), 1 << 18):
             part = full[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cells[part], pa.int64())], ["cell", "n"])
 
-    rows = train.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = numbers.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
@@ -163,33 +206,22 @@ def transitions(table: np.ndarray) -> np.ndarray:
     return np.log10((table + PULL * share) / (table.sum(axis=1, keepdims=True) + PULL))
 
 
-def own_classes(train: DataFrame, own: list[bytes], words: list[bytes], where: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The class of each frequent word: the unit's for those with one, for others the one that their neighbours make likeliest.
+def own_classes(numbers: DataFrame, first: int, n_words: int, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each frequent word: the unit's for the first ones, which have one, for others the one that their neighbours make likeliest.
 
-    A worker counts the classes before and after its words; the counts of a word meet, at most two for each class, and give its class.
+    ``begin`` is the class of each number so far. A worker counts the classes before and after its words; the counts of a word meet, at most two for each class, and give its class.
     """
-    spark_words = train.sparkSession.sparkContext.broadcast(words)
-    first, moves = len(own), transitions(table)
+    shared, moves = numbers.sparkSession.sparkContext.broadcast(begin.astype(np.int32)), transitions(table)
     in_class = np.log10(np.maximum(table.sum(axis=0), 0.5))
 
-    def count(batches):
-        units = Units(own)
-        place = {w: k for k, w in enumerate(spark_words.value[first:])}
-        classes = where
-
-        class Numbers(dict):
-            """Place of a word among those without a unit, or minus one, and its class so far."""
-
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= HELD:
-                    self.clear()
-                self[word] = out = (place.get(word, -1) + 1) * CLASSES + int(classes[units[word]])
-                return out
-
-        for u in _streams(batches, CLASSES - 1, Numbers().__getitem__):
-            at, c = u // CLASSES - 1, u % CLASSES
+    def codes(batches):
+        for x in _paths(batches):
+            at, c = np.where(x < n_words, x - first, -1), shared.value[x]
             after, before = np.flatnonzero(at[:-1] >= 0), np.flatnonzero(at[1:] >= 0)
-            code = np.concatenate([at[after] * 2 * CLASSES + c[after + 1], at[before + 1] * 2 * CLASSES + CLASSES + c[before]])
+            yield np.concatenate([at[after] * 2 * CLASSES + c[after + 1], at[before + 1] * 2 * CLASSES + CLASSES + c[before]])
+
+    def count(batches):
+        for code in _gathered(codes(batches)):
             found, n = np.unique(code, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found // (2 * CLASSES), pa.int32()), pa.array((found % (2 * CLASSES)).astype(np.int16), pa.int16()), pa.array(n, pa.int32())], ["place", "cell", "n"]
@@ -207,9 +239,9 @@ def own_classes(train: DataFrame, own: list[bytes], words: list[bytes], where: n
             gain[:, -1] = -np.inf
             yield pa.RecordBatch.from_arrays([batch["place"], pa.array(gain.argmax(axis=1), pa.int32())], ["place", "class"])
 
-    out = np.array([where[k] for k in range(first)] + [where[_group(w)] for w in words[first:]], np.int64)
-    if len(words) > first:
-        met = train.select("text").mapInArrow(count, "place int, cell short, n int").repartition("place").groupBy("place", "cell").agg(F.sum("n").alias("n"))
+    out = begin[:n_words].astype(np.int64)
+    if n_words > first:
+        met = numbers.mapInArrow(count, "place int, cell short, n int").repartition("place").groupBy("place", "cell").agg(F.sum("n").alias("n"))
         chosen = met.groupBy("place").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).mapInArrow(choose, "place int, class int").toArrow()
         out[first + chosen["place"].to_numpy()] = chosen["class"].to_numpy()
     return out
@@ -340,14 +372,22 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     counts = cut(word_counts(train))
     least, known = frequent(counts, KNOWN)
     words = [w for w, _ in known]
-    own = words[:OWN]
-    pairs = bigrams(train, UNITS, lambda: Units(own))
-    where = exchange(pairs)
-    one_hot = np.zeros((UNITS, CLASSES))
-    one_hot[np.arange(UNITS), where] = 1
-    class_of = own_classes(train, own, words, where, one_hot.T @ pairs @ one_hot)
-    shared = train.sparkSession.sparkContext.broadcast((words, class_of, where))
-    table = bigrams(train, CLASSES, lambda: _Classes(*shared.value))
+    first = min(OWN, len(words))
+    groups = np.arange(OWN, UNITS)  # the last one is the end's
+    unit_of = np.r_[np.arange(first), [_group(w) for w in words[first:]], groups].astype(np.int64)
+    spark = train.sparkSession
+    folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    try:
+        numbers = write_numbers(train, words, folder)
+        pairs = bigrams(numbers, UNITS, unit_of)
+        where = exchange(pairs)
+        one_hot = np.zeros((UNITS, CLASSES))
+        one_hot[np.arange(UNITS), where] = 1
+        class_of = own_classes(numbers, first, len(words), where[unit_of], one_hot.T @ pairs @ one_hot)
+        table = bigrams(numbers, CLASSES, np.r_[class_of, where[groups]])
+    finally:
+        remove(spark, folder)
+    shared = spark.sparkContext.broadcast((words, class_of, where))
     class_tokens = table.sum(axis=0)
 
     def sizes(batches):
