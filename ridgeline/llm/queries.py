@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, language_model, licenses, media, mixing, pieces, quality, secrets, simhash, toxicity
+from . import conversations, infill, language, language_model, licenses, media, mixing, pieces, quality, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -48,6 +48,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(documents(spark, sf_dir))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_lm_scoring": op2_lm_scoring,
@@ -59,5 +71,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,
     "op7_quality_rules": op7_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL = {"op1_secret_scans": secrets.oracle(), "op5_license_scans": licenses.ORACLE, "op7_quality_rules": quality.ORACLE}
+ORACLE_SQL = {"op1_secret_scans": secrets.oracle(), "op5_license_scans": licenses.ORACLE, "op7_quality_rules": quality.ORACLE, "op11_fill_in_middle": infill.oracle()}
