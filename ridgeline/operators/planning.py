@@ -107,6 +107,26 @@ def within_budget(used: Column, new: Column, budget: int) -> Column:
     return F.when(used + new <= budget, used + new).otherwise(F.raise_error(F.lit("the cache budget would be exceeded")).cast("long"))
 
 
+def cache_use(wave: DataFrame, planned: DataFrame, cached: DataFrame, budget: int, *keys: str) -> DataFrame:
+    """(keys, used, new, over) of each zone of a wave: bytes of its planned tiles in the cache (item_id, cached_bytes), of those it has still to fetch, and whether both are over the budget.
+
+    A cached file of the wrong size takes room and has to be fetched again.
+    """
+    held = planned.join(cached, "item_id").groupBy(*keys).agg(F.sum("cached_bytes").alias("used"))
+    ready = F.coalesce(F.col("cached_bytes") == F.col("size_bytes"), F.lit(False))
+    new = wave.join(cached, "item_id", "left").groupBy(*keys).agg(F.coalesce(F.sum(F.when(~ready, F.col("size_bytes"))), F.lit(0)).alias("new"))
+    both = new.join(held, list(keys), "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    return both.select(*keys, "used", "new", (F.col("used") + F.col("new") > budget).alias("over"))
+
+
+def gate(use: DataFrame, budget: int, *keys: str) -> None:
+    """An error that names the zone whose wave would take the cache over its budget, and the bytes that are there and come."""
+    worst = use.where("over").orderBy(*keys).limit(1).collect()
+    if worst:
+        r = worst[0]
+        raise RuntimeError(f"{', '.join(str(r[k]) for k in keys)}: the cache budget of {budget} bytes would be exceeded: {r['used']} are there, {r['new']} would come")
+
+
 def download_seconds(size: Column, mbps: float) -> Column:
     """Seconds that bytes take at a rate in Mbit/s, which counts as 0.1 at least."""
     return size / F.lit(max(mbps, 0.1) * 1_000_000 / 8)

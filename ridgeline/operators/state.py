@@ -1,7 +1,8 @@
-"""State of runs and tiles as Parquet snapshots, changed by joins and swapped as a whole."""
+"""State of runs and tiles: changes by joins, kept as snapshots of a table or as a log of changes whose commits cover all tables."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +137,102 @@ def tile_rows(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy(*ZONE).agg(F.map_from_entries(F.collect_list(F.struct("item_id", F.struct(*rest)))).alias("tiles"))
 
 
+def touched(old: DataFrame, changes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The old rows whose key is among the changes."""
+    return old.join(changes.select(*keys), list(keys), "left_semi")
+
+
+class Journal:
+    """Tables as folders of changed rows, and a log of manifests: one commit changes all tables, and is seen as a whole or not at all.
+
+    A commit writes the changed rows alone, with its number. A manifest lists the folders of every table and appears by a rename, which fails
+    if another writer was first. Readers take the newest row of each key of the last manifest's folders. Beyond ``most`` folders a commit
+    writes the whole table as one. Folders that neither the last manifest nor the one before it lists are removed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], keys: dict[str, tuple[str, ...]], most: int = 16):
+        self.spark, self.root, self.schemas, self.keys, self.most = spark, root.rstrip("/"), schemas, keys, most
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _list(self, name: str) -> list[str]:
+        path, files = self._path(name)
+        return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+
+    def manifest(self, back: int = 0) -> tuple[int, dict[str, list[str]]]:
+        """(number, folders of each table) of the last commit, or of one before it; zero and none before the first."""
+        names = [n for n in self._list("log") if n.endswith(".json")]
+        if len(names) <= back:
+            return 0, {t: [] for t in self.schemas}
+        path, files = self._path(f"log/{names[-1 - back]}")
+        with_stream = files.open(path)
+        try:
+            text = bytes(with_stream.readAllBytes()).decode()
+        finally:
+            with_stream.close()
+        return int(names[-1 - back].split(".")[0]), json.loads(text)
+
+    def _rows(self, table: str, folders: list[str]) -> DataFrame:
+        schema = f"{self.schemas[table]}, _version bigint"
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{table}/{f}" for f in folders))
+
+    def read(self, table: str) -> DataFrame:
+        """The table as of the last commit."""
+        return self._newest(table, self.manifest()[1].get(table, []))
+
+    def _newest(self, table: str, folders: list[str]) -> DataFrame:
+        rows = self._rows(table, folders)
+        if len(folders) > 1:
+            newest = rows.groupBy(*self.keys[table]).agg(F.max_by(F.struct(*rows.columns), "_version").alias("_row"))
+            rows = newest.select("_row.*")
+        return rows.drop("_version")
+
+    def commit(self, changes: dict[str, DataFrame]) -> int:
+        """Writes the changed rows of tables, then the manifest that has them. An error if another writer committed meanwhile."""
+        number, folders = self.manifest()
+        folders = {t: list(folders.get(t, [])) for t in self.schemas}
+        for table, rows in changes.items():
+            name = f"{number + 1:010d}-{uuid.uuid4().hex}"
+            columns = self.spark.createDataFrame([], self.schemas[table]).columns
+            rows.select(*columns, F.lit(number + 1).cast("bigint").alias("_version")).write.parquet(f"{self.root}/{table}/{name}")
+            folders[table].append(name)
+            if len(folders[table]) > self.most:
+                whole = f"{number + 1:010d}-{uuid.uuid4().hex}"
+                self._newest(table, folders[table]).withColumn("_version", F.lit(number + 1).cast("bigint")).write.parquet(f"{self.root}/{table}/{whole}")
+                folders[table] = [whole]
+        self._publish(number + 1, folders)
+        self._clean()
+        return number + 1
+
+    def _publish(self, number: int, folders: dict[str, list[str]]) -> None:
+        jvm = self.spark._jvm
+        draft, files = self._path(f"log/draft-{uuid.uuid4().hex}")
+        out = files.create(draft, False)
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        target, _ = self._path(f"log/{number:010d}.json")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(draft, target, none)
+        except Exception as e:
+            files.delete(draft, False)
+            raise RuntimeError(f"another writer made commit {number}") from e
+
+    def _clean(self) -> None:
+        kept = {(t, f) for back in (0, 1) for t, found in self.manifest(back)[1].items() for f in found}
+        first = min(self.manifest(1)[0] or 1, self.manifest()[0])
+        for table in self.schemas:
+            for name in self._list(table):
+                if (table, name) not in kept and int(name.split("-")[0]) < first:
+                    path, files = self._path(f"{table}/{name}")
+                    files.delete(path, True)
+
+
 class Snapshots:
     """Tables as folders of snapshots in a shared path; the last complete one is current. One writer at a time.
 

@@ -1,7 +1,7 @@
 """The pipelines: plan, preview, summarize, compare, profiles.
 
-A comparison goes through the batches of all zones side by side: the first batch of every zone is one Spark job, then the second, and so on. After each, the
-values of its tiles and what was measured are stored, so that a run that breaks off goes on with the tiles that are missing.
+A comparison goes through the batches of all zones side by side: the first batch of every zone is one Spark job, then the second, and so on. Each (zone, tile) is measured by
+one task (``operators.kernel``). After each batch the values of its tiles and what was measured are stored, so that a run that breaks off goes on with the tiles that are missing.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import geometry, planning, profile, raster, state, zonal
+from ..operators import geometry, kernel, planning, profile, raster, state, zonal
 from ..sources import tables
 
 ZONE = ("tatort", "kommun")
@@ -72,8 +72,8 @@ def summarize(zones: DataFrame, pixels: DataFrame) -> DataFrame:
     return zonal.finalize(merged, quantiles_of(pixels), areas, *ZONE).join(areas.select(*ZONE, "tatortskod"), list(ZONE))
 
 
-def _store(spark: SparkSession, root: str) -> state.Snapshots:
-    return state.Snapshots(spark, root, {"runs": schemas.RUNS, "tiles": schemas.TILE_STATE})
+def _store(spark: SparkSession, root: str) -> state.Journal:
+    return state.Journal(spark, root, {"runs": schemas.RUNS, "tiles": schemas.TILE_STATE}, {"runs": state.ZONE, "tiles": state.TILE})
 
 
 def preview(spark: SparkSession, planned: DataFrame, root: str, options: Options = Options()) -> DataFrame:
@@ -86,8 +86,8 @@ def preview(spark: SparkSession, planned: DataFrame, root: str, options: Options
     return both.withColumn("tiles_done", F.col("n_tiles") - F.col("tiles_pending")).withColumn("bytes_done", F.col("total_bytes") - F.col("bytes_pending"))
 
 
-def stored_or_made(store: state.Snapshots, zones: DataFrame, tiles: DataFrame, options: Options) -> DataFrame:
-    """The plan: that of the snapshot for zones that it has, whose discovery is left out, and a new one for the others. Batches follow the current budget."""
+def stored_or_made(store: state.Journal, zones: DataFrame, tiles: DataFrame, options: Options) -> DataFrame:
+    """The plan: the stored one for zones that have one, whose discovery is left out, and a new one for the others. Batches follow the current budget."""
     known = store.read("tiles")
     named = zones.withColumn("kommun", F.col("kommunnamn"))
     old = known.join(named.select(*ZONE, "tatortskod"), list(ZONE))
@@ -99,39 +99,53 @@ def stored_or_made(store: state.Snapshots, zones: DataFrame, tiles: DataFrame, o
 
 
 PLANNED = ("item_id", "collection_id", "href", "size_bytes", "batch_index", "batch_position")
+NO_TILES, NO_PIXELS = "no tile meets the zone", "no valid pixels"
+
+
+def registered(store: state.Journal, zones: DataFrame, planned: DataFrame) -> None:
+    """One commit of the plans of all zones: those that no tile meets are failed, the others as they were or planned."""
+    names = zones.select("tatort", F.col("kommunnamn").alias("kommun"), "tatortskod")
+    per_zone = planned.groupBy(*ZONE).agg(
+        F.array_sort(F.collect_set("collection_id")).alias("collections"),
+        F.max("batch_index").cast("bigint").alias("planned_batches"),
+        F.count(F.lit(1)).alias("planned_tiles"),
+        F.sum("size_bytes").alias("total_raw_size_bytes"),
+    )
+    plans = names.join(per_zone, list(ZONE), "left").fillna(0, ["planned_batches", "planned_tiles", "total_raw_size_bytes"])
+    rows = state.register_runs(state.touched(store.read("runs"), plans, ZONE), plans)
+    none = F.col("planned_tiles") == 0
+    rows = rows.withColumn("error_message", F.when(none, NO_TILES).otherwise(F.col("error_message"))).withColumn("status", F.when(none, "failed").otherwise(F.col("status")))
+    store.commit({"runs": rows, "tiles": state.register_tiles(state.touched(store.read("tiles"), planned, state.TILE), planned)})
 
 
 def compare(
     spark: SparkSession,
     zones: DataFrame,
     tiles: DataFrame,
-    pixels: DataFrame | Callable[[DataFrame], DataFrame],
+    rasters: DataFrame | Callable[[DataFrame], DataFrame],
     root: str,
     options: Options = Options(),
+    cache_folder: str | None = None,
 ) -> DataFrame:
-    """Result rows of all zones. What the snapshots under ``root`` have is taken from there: plans, completed zones and finished tiles.
+    """Result rows of all zones. What the log under ``root`` has is taken from there: plans, completed zones and finished tiles.
 
-    ``pixels`` has the columns of ``sources.tables.rasters``, or is a function that gets those of a batch's tiles, as ``sources.cache.fetched`` makes one.
-    A batch over the cache budget is an error; a zone without a valid pixel fails, and the others go on.
+    ``rasters`` has the files of tiles (tile, content), or pixels as ``sources.tables.rasters`` has them, or is a function that gets those of a batch's tiles, as
+    ``sources.tables.raster_source`` and ``sources.cache`` make one. A planned tile that isn't among them is an error that names it, and nothing of its batch is stored.
+    A batch that would take ``cache_folder`` over a zone's budget is an error. A zone that no tile meets, or without a valid pixel, fails, and the others go on.
     """
     store = _store(spark, root)
-    planned = stored_or_made(store, zones, tiles, options)
-    per_zone = planned.groupBy(*ZONE, "tatortskod").agg(
-        F.array_sort(F.collect_set("collection_id")).alias("collections"),
-        F.max("batch_index").cast("bigint").alias("planned_batches"),
-        F.count(F.lit(1)).alias("planned_tiles"),
-        F.sum("size_bytes").alias("total_raw_size_bytes"),
-    )
-    store.write("runs", state.register_runs(store.read("runs"), per_zone))
-    store.write("tiles", state.register_tiles(store.read("tiles"), planned))
+    registered(store, zones, stored_or_made(store, zones, tiles, options))
+    unreferenced(store)
     left = state.unfinished(_work(store, zones), store.read("tiles"))
-    store.write("runs", state.set_status(store.read("runs"), left.select(*ZONE).distinct(), "running"))
+    started = state.touched(store.read("runs"), left.select(*ZONE).distinct(), ZONE)
+    store.commit({"runs": state.set_status(started, started, "running")})
     # batches are as many as the budget makes of the largest zone
     for index in [r["batch_index"] for r in left.select("batch_index").distinct().orderBy("batch_index").collect()]:
         wave = planning.batch(state.unfinished(_work(store, zones), store.read("tiles")), index)
-        gated = wave.groupBy(*ZONE).agg(F.sum("size_bytes").alias("n")).select(planning.within_budget(F.lit(0), F.col("n"), options.cache_budget_mb * planning.MIB))
-        gated.write.format("noop").mode("overwrite").save()
-        measured_wave(store, zones, wave, pixels(wave) if callable(pixels) else pixels, options)
+        if cache_folder is not None:
+            budget = options.cache_budget_mb * planning.MIB
+            planning.gate(planning.cache_use(wave, store.read("tiles"), tables.cached_tiles(spark, cache_folder), budget, *ZONE), budget, *ZONE)
+        measured_wave(store, zones, wave, rasters(wave) if callable(rasters) else rasters, options)
     finished(store, zones, _work(store, zones))
     runs = store.read("runs")
     done = runs.where("status = 'completed'").join(zones.select("tatort", F.col("kommunnamn").alias("kommun")), list(ZONE), "left_semi")
@@ -145,48 +159,81 @@ def compare(
     )
 
 
-def _work(store: state.Snapshots, zones: DataFrame) -> DataFrame:
+def _work(store: state.Journal, zones: DataFrame) -> DataFrame:
     """The stored plan of zones that aren't completed."""
     named = zones.select("tatort", F.col("kommunnamn").alias("kommun"), "tatortskod")
     return state.split_by_state(store.read("tiles").join(named, list(ZONE)), store.read("runs"))[0].select(*ZONE, "tatortskod", *PLANNED)
 
 
-def measured_wave(store: state.Snapshots, zones: DataFrame, wave: DataFrame, pixels: DataFrame, options: Options = Options()) -> None:
-    """Stores the valid values of a wave's tiles, then what was measured of each; values without the latter are never read."""
-    folder = f"{store.root}/values/{uuid.uuid4().hex}"
-    cut = zone_pixels(zones, wave, pixels, options)
-    columns = ("tile", "row", "col", "x", "y", "v", "slope")
-    cut.where(F.col("v").isNotNull() | F.col("slope").isNotNull()).select(*ZONE, *columns).write.parquet(folder)
-    kept = store.spark.read.schema(f"tatort string, kommun string, {VALUES}").parquet(folder)
-    partials = zonal.tile_partials(kept, *ZONE, "tile", empty=True).withColumnRenamed("tile", "item_id")
-    found = wave.select(*ZONE, "item_id").join(partials, [*ZONE, "item_id"], "left").withColumn("chunk_path", F.lit(folder))
-    store.write("tiles", state.store_metrics(state.mark_downloaded(store.read("tiles"), wave), found))
+def zone_files(zones: DataFrame, planned: DataFrame, files: DataFrame) -> DataFrame:
+    """A row for each planned (zone, tile) that has a file: (tatort, kommun, item_id, edges, content), as the kernel takes it."""
+    shapes = zones.select("tatort", F.col("kommunnamn").alias("kommun"), geometry.edges(F.col("geometry")).alias("edges"))
+    return planned.select(*ZONE, "item_id").join(shapes, list(ZONE)).join(files.select(F.col("tile").alias("item_id"), "content"), "item_id")
+
 
+def measured_wave(store: state.Journal, zones: DataFrame, wave: DataFrame, rasters: DataFrame, options: Options = Options()) -> None:
+    """Writes the values of a wave's tiles, and commits what was measured of each if all of them were read; values without a commit are never read."""
+    name = uuid.uuid4().hex
+    files = rasters if "content" in rasters.columns else tables.packed_pixels(rasters)
+    kernel.zone_tiles(zone_files(zones, wave, files), options.nodata).write.parquet(f"{store.root}/values/{name}")
+    found = kernel.partials(store.spark.read.schema(kernel.MEASURED).parquet(f"{store.root}/values/{name}"))
+    lost = [r["item_id"] for r in wave.join(found.select(*ZONE, "item_id"), [*ZONE, "item_id"], "left_anti").select("item_id").distinct().orderBy("item_id").limit(11).collect()]
+    if lost:
+        raise RuntimeError(f"missing tiles: {', '.join(lost[:10])}{' and more' if len(lost) > 10 else ''}")
+    old = state.touched(store.read("tiles"), wave, state.TILE)
+    store.commit({"tiles": state.store_metrics(state.mark_downloaded(old, wave), found.withColumn("chunk_path", F.lit(name)))})
 
-VALUES = "tile string, row int, col int, x double, y double, v double, slope double"
 
+def unreferenced(store: state.Journal) -> None:
+    """Removes the values of batches that broke off before their commit."""
+    kept = {r["chunk_path"] for r in store.read("tiles").select("chunk_path").distinct().collect()}
+    for name in store._list("values"):
+        if name not in kept:
+            path, files = store._path(f"values/{name}")
+            files.delete(path, True)
 
-def stored_values(store: state.Snapshots, tiles: DataFrame) -> DataFrame:
-    """(tatort, kommun, tile, ...): the valid values of finished tiles."""
-    paths = [r["chunk_path"] for r in tiles.where("process_status = 'processed'").select("chunk_path").distinct().collect()]
-    schema = f"tatort string, kommun string, {VALUES}"
-    rows = store.spark.read.schema(schema).parquet(*paths) if paths else store.spark.createDataFrame([], schema)
-    return rows.join(tiles.where("process_status = 'processed'").select(*ZONE, F.col("item_id").alias("tile")), [*ZONE, "tile"], "left_semi")
 
+def stored_values(store: state.Journal, tiles: DataFrame) -> DataFrame:
+    """The cells of finished tiles with their values."""
+    rows = tiles.where("process_status = 'processed'")
+    names = [r["chunk_path"] for r in rows.select("chunk_path").distinct().collect()]
+    read = store.spark.read.schema(kernel.MEASURED).parquet(*(f"{store.root}/values/{n}" for n in names)) if names else store.spark.createDataFrame([], kernel.MEASURED)
+    return read.where("cell IS NOT NULL").join(rows.select(*state.TILE), list(state.TILE), "left_semi")
 
-def finished(store: state.Snapshots, zones: DataFrame, work: DataFrame) -> None:
-    """Summaries of the zones of ``work`` all of whose tiles are finished, from the stored partials and values; zones without a value fail."""
-    known = store.read("tiles").join(work.select(*ZONE, "item_id"), [*ZONE, "item_id"], "left_semi")
+
+def finished(store: state.Journal, zones: DataFrame, work: DataFrame) -> None:
+    """One commit of the summaries of the zones of ``work`` all of whose tiles are finished, from the stored partials and values; zones without a value fail."""
+    open_zones = state.unfinished(work, store.read("tiles")).select(*ZONE).distinct()
+    known = store.read("tiles").join(work.select(*state.TILE), list(state.TILE), "left_semi").join(open_zones, list(ZONE), "left_anti")
     counts = state.resume_counts(known)
-    partials = state.stored_partials(known)
-    merged = zonal.merge_partials(partials, *ZONE)
-    found = zonal.finalize(merged, quantiles_of(stored_values(store, known)), _areas(zones), *ZONE)
-    store.write("runs", state.store_summaries(store.read("runs"), found.drop("tiles_used").join(counts.drop("finished_bytes"), list(ZONE))))
-    empty = counts.where("tiles_used = 0")
-    store.write("runs", state.set_status(store.read("runs"), empty, "failed", "no valid pixels"))
+    merged = zonal.merge_partials(state.stored_partials(known), *ZONE)
+    relief = kernel.quantiles(stored_values(store, known), {"relief_q05_m": 0.05, "relief_q95_m": 0.95}, *ZONE)
+    single = relief.select(*ZONE, *(F.col(c).cast("float").cast("double").alias(c) for c in ("relief_q05_m", "relief_q95_m")))
+    found = zonal.finalize(merged, single, _areas(zones), *ZONE)
+    runs = state.touched(store.read("runs"), counts, ZONE)
+    done = state.store_summaries(runs, found.drop("tiles_used").join(counts.drop("finished_bytes"), list(ZONE)))
+    store.commit({"runs": state.set_status(done, counts.where("tiles_used = 0"), "failed", NO_PIXELS)})
 
 
 def profiles(zones: DataFrame, pixels: DataFrame, options: Options = Options()) -> DataFrame:
     """Profiles of zones from their pixels (see zone_pixels)."""
     shaped = geometry.with_main_axis(zones.withColumnRenamed("kommunnamn", "kommun"))
     return profile.profiles(pixels, shaped, options.bins, options.samples)
+
+
+def stored_profiles(spark: SparkSession, zones: DataFrame, rasters: DataFrame | Callable[[DataFrame], DataFrame], root: str, options: Options = Options()) -> DataFrame:
+    """Profiles of zones by the plans that the log under ``root`` has, with rank and score of completed ones; an error that names a zone without a stored plan.
+
+    Pixels are drawn by the kernel, so that only the drawn ones are rows.
+    """
+    store = _store(spark, root)
+    named = zones.withColumnRenamed("kommunnamn", "kommun")
+    planned = store.read("tiles").join(named.select(*ZONE), list(ZONE), "left_semi")
+    bare = named.join(planned, list(ZONE), "left_anti").select(*ZONE).orderBy(*ZONE).limit(1).collect()
+    if bare:
+        raise ValueError(f"no stored plan for {', '.join(bare[0])}")
+    found = rasters(planned.select("item_id", "href", "size_bytes").distinct()) if callable(rasters) else rasters
+    files = found if "content" in found.columns else tables.packed_pixels(found)
+    drawn = kernel.samples(zone_files(zones, planned, files), options.samples, options.nodata)
+    scores = zonal.ranked(store.read("runs").where("status = 'completed'").select(*ZONE, "hilliness_score"), F.col("hilliness_score"), *ZONE)
+    return profiles(zones, drawn, options).join(scores.select(*ZONE, "rank", F.col("hilliness_score").alias("score")), list(ZONE), "left")

@@ -1,12 +1,14 @@
-"""The few calls to the outside, made by the driver: credentials, a probe, catalog pages and downloads."""
+"""Calls to the outside: credentials, a probe, catalog pages and downloads."""
 
 from __future__ import annotations
 
 import base64
 import json
 import os
+import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -45,20 +47,84 @@ def pages(url: str, opener: Callable = urllib.request.urlopen) -> Iterator[dict]
         url = next((x["href"] for x in page.get("links", []) if x.get("rel") == "next"), None)
 
 
-def download(url: str, size: int, folder: str, user: str, password: str, opener: Callable = urllib.request.urlopen) -> Path:
-    """A file of the exact size under its own name; one that is there already is kept. It appears as a whole or not at all."""
+def _private(folder: str, url: str) -> tuple[Path, Path]:
+    """(the name that all share, one of this attempt alone) of a file of the cache."""
     target = Path(folder) / urllib.request.url2pathname(url.split("?")[0].split("#")[0].rstrip("/").rsplit("/", 1)[-1])
+    target.parent.mkdir(parents=True, exist_ok=True)
+    return target, target.with_name(f".{target.name}.{uuid.uuid4().hex}.part")
+
+
+def _fetch(url: str, size: int, part: Path, name: str, user: str, password: str, opener: Callable, mbps: float | None = None) -> None:
+    began, done = time.monotonic(), 0
+    with opener(_request(url, user, password)) as r, part.open("wb") as out:
+        while block := r.read(1 << 20):
+            out.write(block)
+            done += len(block)
+            if mbps:
+                time.sleep(max(0.0, done * 8 / (mbps * 1e6) - (time.monotonic() - began)))
+    if done != size:
+        raise RuntimeError(f"{name} has {done} bytes instead of {size}")
+
+
+def download(url: str, size: int, folder: str, user: str, password: str, opener: Callable = urllib.request.urlopen) -> Path:
+    """A file of the exact size under its own name; one that is there already is kept. It appears as a whole or not at all, whoever else fetches it."""
+    target, part = _private(folder, url)
     if target.exists() and target.stat().st_size == size:
         return target
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f"{target.name}.part")
     try:
-        with opener(_request(url, user, password)) as r, part.open("wb") as out:
-            while block := r.read(1 << 20):
-                out.write(block)
-        if part.stat().st_size != size:
-            raise RuntimeError(f"{target.name} has {part.stat().st_size} bytes instead of {size}")
+        _fetch(url, size, part, target.name, user, password, opener)
         part.replace(target)
     finally:
         part.unlink(missing_ok=True)
     return target
+
+
+def tile_bytes(
+    url: str,
+    size: int,
+    folder: str,
+    user: str,
+    password: str,
+    check: Callable[[bytes], object],
+    keep: bool = False,
+    attempts: int = 4,
+    wait: float = 0.5,
+    mbps: float | None = None,
+    opener: Callable = urllib.request.urlopen,
+) -> bytes:
+    """The bytes of a file that ``check`` accepts: those in the cache, or fetched ones. Nothing that another attempt does to the cache can change them.
+
+    Each try waits twice as long as the one before; the last failure is raised. The file is committed to the cache if ``keep`` is set.
+    """
+    target, part = _private(folder, url)
+    for k in range(attempts):
+        try:
+            try:
+                data = target.read_bytes()
+                if len(data) == size:
+                    check(data)
+                    if not keep:
+                        target.unlink(missing_ok=True)
+                    return data
+            except FileNotFoundError:
+                pass
+            except Exception:  # a corrupt file gives way to a new one
+                target.unlink(missing_ok=True)
+            _fetch(url, size, part, target.name, user, password, opener, mbps)
+            data = part.read_bytes()
+            check(data)
+            if keep:
+                part.replace(target)
+            return data
+        except urllib.error.HTTPError as e:
+            if e.code < 500 and e.code != 429:  # asking again wouldn't help
+                raise RuntimeError(f"{target.name}: access failed with status {e.code}") from e
+            if k + 1 == attempts:
+                raise RuntimeError(f"{target.name}: access failed with status {e.code}") from e
+        except Exception:
+            if k + 1 == attempts:
+                raise
+        finally:
+            part.unlink(missing_ok=True)
+        time.sleep(wait * 2**k)
+    raise ValueError("attempts must be positive")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.formatting import coordinate, fixed
+from ..functions.formatting import coordinate, file_name, fixed
 from ..functions.projection import grid_box
 from ..operators.zonal import ranked
+from .geotiff import decode as decode_geotiff
+from .geotiff import encode as encode_geotiff
 
 
 def zones(spark: SparkSession, path: str) -> DataFrame:
@@ -111,41 +113,6 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return row["n"] or 0
 
 
-#: Tags of the GeoTIFF header that are read.
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, ROWS, COUNTS, FORMAT, SCALE, TIE, MISSING, PREDICTOR = 256, 257, 258, 259, 273, 278, 279, 339, 33550, 33922, 42113, 317
-KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "Q", 11: "f", 12: "d", 16: "Q"}
-
-
-def decode_geotiff(data: bytes) -> tuple[np.ndarray, dict]:
-    """(values, header) of a one-band raster in uncompressed or deflated strips; x0, y0 is the upper left corner."""
-    import zlib
-
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack_from(f"{order}I", data, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(f"{order}H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
-        form = f"{order}{n}{KINDS.get(kind, 'B')}"
-        size = struct.calcsize(form)
-        place = at + 2 + 12 * k + 8
-        tags[tag] = struct.unpack_from(form, data, place if size <= 4 else struct.unpack_from(f"{order}I", data, place)[0])
-    kind = {(32, 3): "f4", (64, 3): "f8", (16, 2): "i2", (32, 2): "i4", (16, 1): "u2", (8, 1): "u1"}[(tags[BITS][0], tags.get(FORMAT, (1,))[0])]
-    pack = tags.get(COMPRESSION, (1,))[0]
-    if pack not in (1, 8, 32946):
-        raise ValueError(f"compression {pack} is not supported")
-    if tags.get(PREDICTOR, (1,))[0] != 1:
-        raise ValueError(f"predictor {tags[PREDICTOR][0]} is not supported")
-    if STRIPS not in tags:
-        raise ValueError("rasters in tiles are not supported")
-    parts = [data[o : o + n] for o, n in zip(tags[STRIPS], tags[COUNTS], strict=True)]
-    raw = b"".join(parts if pack == 1 else map(zlib.decompress, parts))
-    values = np.frombuffer(raw, order + kind).reshape(tags[HEIGHT][0], tags[WIDTH][0]).astype(np.float64)
-    tie, scale = tags.get(TIE, (0.0,) * 6), tags.get(SCALE, (1.0, 1.0, 0.0))
-    missing = b"".join(tags[MISSING]).split(b"\0")[0].strip() if MISSING in tags else b""
-    head = {"x0": tie[3] - tie[0] * scale[0], "y0": tie[4] + tie[1] * scale[1], "res_x": abs(scale[0]), "res_y": abs(scale[1]), "nodata": float(missing) if missing else None}
-    return values, head
-
-
 TILE_PIXELS = "tile string, row int, col int, v double, x double, y double, res_x double, res_y double, nodata double"
 
 
@@ -163,15 +130,64 @@ def pixel_batches(tile: str, values: np.ndarray, head: dict):
         yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in TILE_PIXELS.split(", ")])
 
 
-def rasters(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
-    """Pixels of all rasters of a folder with their centres, one tile at a time; an error if there are none."""
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     if files.select("path").isEmpty():
         raise ValueError(f"no {pattern} in {path}")
+    return files
+
+
+def rasters(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
+    """Pixels of all rasters of a folder with their centres, one tile at a time; an error if there are none."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 yield from pixel_batches(name, *decode_geotiff(content.as_py()))
 
-    return files.select("path", "content").mapInArrow(run, TILE_PIXELS)
+    return _files(spark, path, pattern).select("path", "content").mapInArrow(run, TILE_PIXELS)
+
+
+def raster_files(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
+    """(tile, content): the rasters of a folder by the name of their file without its ending; an error if there are none."""
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    return _files(spark, path, pattern).select(stem.alias("tile"), "content")
+
+
+def packed_pixels(pixels: DataFrame) -> DataFrame:
+    """(tile, content): the tiles of a tall pixel table (see ``rasters``) as files, each put together by one task."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        row, col = (table[c].to_numpy() for c in ("row", "col"))
+        values = np.full((row.max() + 1, col.max() + 1), np.nan)
+        values[row, col] = table["v"].to_numpy()
+        first = table.slice(0, 1).to_pylist()[0]
+        x0, y0 = first["x"] - (first["col"] + 0.5) * first["res_x"], first["y"] + (first["row"] + 0.5) * first["res_y"]
+        return pa.table({"tile": pa.array([first["tile"]], pa.string()), "content": pa.array([encode_geotiff(values, x0, y0, first["res_x"], first["res_y"], first["nodata"])], pa.binary())})
+
+    return pixels.select(*(c.split()[0] for c in TILE_PIXELS.split(", "))).groupBy("tile").applyInArrow(pack, "tile string, content binary")
+
+
+def raster_source(spark: SparkSession, folder: str) -> Callable[[DataFrame], DataFrame]:
+    """A function from tiles (item_id, href) to (tile, content) of the files of a folder that have the names of their addresses. Only these are read; a missing one has no row."""
+
+    def read(tiles: DataFrame) -> DataFrame:
+        named = tiles.select("item_id", file_name(F.col("href")).alias("_file")).distinct()
+        there = spark.read.format("binaryFile").load(folder).select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("_file"))
+        # the names of one batch, which Spark's file index holds on the driver anyway
+        paths = [r["path"] for r in there.join(named, "_file").select("path").distinct().collect()]
+        if not paths:
+            return spark.createDataFrame([], "tile string, content binary")
+        found = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "([^/]+)$", 1).alias("_file"), "content")
+        return found.join(named, "_file").select(F.col("item_id").alias("tile"), "content")
+
+    return read
+
+
+def cached_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, cached_bytes) of the tiles of a cache folder, by the name of their file without its ending; none if there is no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "item_id string, cached_bytes bigint")
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    return spark.read.format("binaryFile").load(folder).select(stem.alias("item_id"), F.col("length").alias("cached_bytes"))
