@@ -176,20 +176,21 @@ def partials(found: DataFrame) -> DataFrame:
     return found.where("cell IS NULL").select(*ZONE, "item_id", "local_min", "local_max", place("min"), place("max"), F.col("n").alias("n_values"), "slope_sum_squares", "slope_count")
 
 
-def quantiles(cells: DataFrame, shares: dict[str, float], *keys: str) -> DataFrame:
-    """(keys, a column for each share): exact quantiles with linear interpolation of the values in cells (keys, cell, n, values).
+WANTED = ("_n", "_base", "_ranks")
 
-    The first read adds up the cells' counts alone and finds the cell of each wanted rank; the second reads the values of these cells and counts each of
-    at most 2^16 different ones. So a window has at most 2^16 rows whatever the number of values is.
-    """
-    counts = cells.where("cell IS NOT NULL").groupBy(*keys, "cell").agg(F.sum("n").alias("_in"))
-    ranks = [F.struct(F.lit(2 * k + side).alias("r"), f((F.col("_n") - 1) * F.lit(float(q))).cast("bigint").alias("rank")) for k, q in enumerate(shares.values()) for side, f in enumerate((F.floor, F.ceil))]
-    wanted = within(counts.withColumn("_n", F.sum("_in").over(Window.partitionBy(*keys))).withColumn("_ranks", F.array(*ranks)), "cell", *keys)
-    inside = cells.join(wanted.select(*keys, "cell", "_n", "_before", "_ranks"), [*keys, "cell"])
-    each = inside.select(*keys, "cell", "_n", "_before", "_ranks", F.explode("values").alias("_x")).groupBy(*keys, "cell", "_n", "_before", "_x").agg(F.count(F.lit(1)).alias("_in"), F.first("_ranks").alias("_ranks"))
-    found = within(each, "_x", *keys, "cell")
-    picked = found.select(*keys, "_n", "_x", F.explode("_ranks").alias("_r")).groupBy(*keys, "_n").agg(*(F.max(F.when(F.col("_r.r") == r, F.col("_x"))).cast("double").alias(f"_{r}") for r in range(2 * len(shares))))
-    return picked.select(*keys, *(interpolated(F.col(f"_{2 * k}"), F.col(f"_{2 * k + 1}"), F.col("_n"), q).alias(name) for k, (name, q) in enumerate(shares.items())))
+
+def wanted_ranks(shares: list[float]) -> Column:
+    """The ranks below and above each share of ``_n`` values, numbered."""
+    rank = lambda q, f: f((F.col("_n") - 1) * F.lit(float(q))).cast("bigint")
+    return F.array(*(F.struct(F.lit(2 * k + side).alias("r"), rank(q, f).alias("rank")) for k, q in enumerate(shares) for side, f in enumerate((F.floor, F.ceil))))
+
+
+def held_ranks(counts: DataFrame, order: str, *keys: str) -> DataFrame:
+    """Of counts (keys, order, _in, _base, _ranks) those that hold a wanted rank, with these ranks; ``_base`` becomes the number of values before them."""
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_base", F.col("_base") + F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+    held = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_base")) & (r["rank"] < F.col("_base") + F.col("_in")))
+    return before.withColumn("_ranks", held).where(F.size("_ranks") > 0)
 
 
 def interpolated(low: Column, high: Column, n: Column, share: float) -> Column:
@@ -198,10 +199,17 @@ def interpolated(low: Column, high: Column, n: Column, share: float) -> Column:
     return low + F.when(high == low, 0.0).otherwise((high - low) * (h - F.floor(h)))
 
 
-def within(counts: DataFrame, order: str, *keys: str) -> DataFrame:
-    """Of counts (keys, order, _in, _ranks, perhaps _before) the rows that hold a wanted rank, with these ranks and the number of values ``_before`` them."""
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    base = F.col("_before") if "_before" in counts.columns else F.lit(0)
-    before = counts.withColumn("_before", base + F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
-    held = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_before")) & (r["rank"] < F.col("_before") + F.col("_in")))
-    return before.withColumn("_ranks", held).where(F.size("_ranks") > 0)
+def quantiles(cells: DataFrame, shares: dict[str, float], *keys: str) -> DataFrame:
+    """(keys, a column for each share): exact quantiles with linear interpolation of the values in cells (keys, cell, n, values).
+
+    The first read adds up the cells' counts alone and finds the cell of each wanted rank; the second reads the values of these cells and counts each of
+    at most 2^16 different ones. So a window has at most 2^16 rows whatever the number of values is.
+    """
+    counts = cells.where("cell IS NOT NULL").groupBy(*keys, "cell").agg(F.sum("n").alias("_in"))
+    totals = counts.withColumn("_n", F.sum("_in").over(Window.partitionBy(*keys))).withColumn("_base", F.lit(0).cast("bigint")).withColumn("_ranks", wanted_ranks(list(shares.values())))
+    wanted = held_ranks(totals, "cell", *keys).select(*keys, "cell", *WANTED)
+    inside = cells.join(wanted, [*keys, "cell"]).select(*keys, "cell", *WANTED, F.explode("values").alias("_x"))
+    each = inside.groupBy(*keys, "cell", "_x").agg(F.count(F.lit(1)).alias("_in"), *(F.first(c).alias(c) for c in WANTED))
+    found = held_ranks(each, "_x", *keys, "cell").select(*keys, "_n", "_x", F.explode("_ranks").alias("_r"))
+    picked = found.groupBy(*keys, "_n").agg(*(F.max(F.when(F.col("_r.r") == r, F.col("_x"))).cast("double").alias(f"_{r}") for r in range(2 * len(shares))))
+    return picked.select(*keys, *(interpolated(F.col(f"_{2 * k}"), F.col(f"_{2 * k + 1}"), F.col("_n"), q).alias(name) for k, (name, q) in enumerate(shares.items())))
