@@ -36,6 +36,8 @@ from .common import cut
 REACH = 3
 #: Rows of a bucket that one task compares; larger buckets are dealt out in parts of this size.
 BUCKET = 4096
+#: Shingles of the texts of a bucket that one task compares.
+HEAVY = 4_000_000
 #: Reference fingerprints, eight to each packed long.
 PIVOTS = 16
 
@@ -161,6 +163,36 @@ def _fp_rows(batch) -> np.ndarray:
     return rows
 
 
+def _runs(batches, table, name: str):
+    """(key, rows, part, node) of whole runs of equal bucket columns, by which the input is sorted; ``table`` makes comparable rows of a batch, ``name`` is the column of the nodes."""
+    held = None
+    for batch in batches:
+        key = np.rec.fromarrays([batch[k].to_numpy(zero_copy_only=False) for k in BUCKETS], names=list(BUCKETS))
+        now = key, table(batch), batch["part"].to_numpy(), np.array(batch[name].to_pylist(), object)
+        if held is not None:
+            now = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
+        key = now[0]
+        last = np.flatnonzero(key[1:] != key[:-1])
+        at = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
+        if at:
+            yield tuple(x[:at] for x in now)
+        held = tuple(x[at:] for x in now)
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _sides(key, part):
+    """(places, how many of them come first) of each run of over one row; only rows of the two sides are compared if it is of two parts, else the second is None."""
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    for a, n in zip(new.tolist(), np.diff(np.r_[new, len(key)]).tolist(), strict=True):
+        order, left = np.arange(a, a + n), None
+        if key["part_a"][a] != key["part_b"][a]:
+            first = part[a : a + n] == key["part_a"][a]
+            order, left = order[np.argsort(~first, kind="stable")], int(first.sum())
+        if n > 1:
+            yield order, left
+
+
 def _links_of(table, close, name: str, kind, reach: int | None = None):
     """Links within runs of equal bucket columns, by which the input is sorted. A run is bounded by twice BUCKET rows.
 
@@ -168,52 +200,34 @@ def _links_of(table, close, name: str, kind, reach: int | None = None):
     """
 
     def found(key, rows, part, node) -> list[tuple]:
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[new, len(key)])
         out = []
-        two = new[(size == 2) & (key["part_a"][new] == key["part_b"][new])]
-        if len(two):
-            hit = two[close(rows[two], rows[two + 1])]
-            out += [(node[k], node[k + 1]) for k in hit.tolist()]
-        for a, n in zip(new.tolist(), size.tolist(), strict=True):
-            apart = key["part_a"][a] != key["part_b"][a]
-            if n > 2 or (n == 2 and apart):
-                order, left = np.arange(a, a + n), None
-                if apart:
-                    first = part[a : a + n] == key["part_a"][a]
-                    order, left = order[np.argsort(~first, kind="stable")], int(first.sum())
+        two = [order for order, left in _sides(key, part) if len(order) == 2 and left is None]
+        if two:
+            pairs = np.array(two)
+            hit = pairs[close(rows[pairs[:, 0]], rows[pairs[:, 1]])]
+            out += [(node[j], node[k]) for j, k in hit.tolist()]
+        for order, left in _sides(key, part):
+            if len(order) > 2 or left is not None:
                 out += [(node[order[x]], node[order[y]]) for x, y in _forest(rows[order], close, left, reach)]
         return out
 
-    def batch_of(links):
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k in (0, 1)], ["a", "b"])
-
     def run(batches):
-        held = None
-        for batch in batches:
-            key = np.rec.fromarrays([batch[k].to_numpy(zero_copy_only=False) for k in BUCKETS], names=list(BUCKETS))
-            now = key, table(batch), batch["part"].to_numpy(), np.array(batch[name].to_pylist(), object)
-            if held is not None:
-                now = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
-            key = now[0]
-            last = np.flatnonzero(key[1:] != key[:-1])
-            at = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
-            if at:
-                yield batch_of(found(*(x[:at] for x in now)))
-            held = tuple(x[at:] for x in now)
-        if held is not None and len(held[0]):
-            yield batch_of(found(*held))
+        for runs in _runs(batches, table, name):
+            links = found(*runs)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _parts(rows: DataFrame, by: str) -> DataFrame:
+def _parts(rows: DataFrame, by: str, weight: str | None = None) -> DataFrame:
     """Rows of buckets (choice, bits) with more than one row, with their parts.
 
-    A bucket of over BUCKET rows is cut in parts of about half of that by a hash of ``by``, and each pair of parts meets once.
+    A bucket of over BUCKET rows, or of over HEAVY in the sum of ``weight``, is cut in parts of about half of that by a hash of ``by``, and each pair of parts meets once.
     """
-    sizes = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("rows_in")).where("rows_in > 1")
-    parts = F.when(F.col("rows_in") > BUCKET, F.ceil(F.col("rows_in") * 2 / BUCKET)).otherwise(1).cast("int").alias("parts")
+    heavy = F.lit(0) if weight is None else F.sum(weight) / HEAVY
+    sizes = rows.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("rows_in"), heavy.alias("heavy")).where("rows_in > 1")
+    full = F.least(F.greatest(F.col("rows_in") / BUCKET, F.col("heavy")), F.col("rows_in"))
+    parts = F.when(full > 1, F.ceil(full * 2)).otherwise(1).cast("int").alias("parts")
     sized = rows.join(sizes.select("choice", "bits", parts), ["choice", "bits"])
     return (
         sized.withColumn("part", F.pmod(F.xxhash64(by), F.col("parts").cast("long")).cast("int"))
@@ -282,7 +296,7 @@ WIDE, BANDS, BAND = 16, 24, 3
 #: Standard deviations of its estimate by which a pair may miss the similarity and still be compared, and the fewest shingles of both for an estimate.
 SLACK, ESTIMATED = 6, 256
 SKETCH = "doc_id long, row_key long, row_more long, content binary, n_shingles long, wide binary, bands array<long>"
-WIDE_ROW = np.dtype([("fp", np.uint64, (WIDE,)), ("p", np.int16, (PIVOTS,)), ("n", np.int64), ("set", object)])
+WIDE_ROW = np.dtype([("fp", np.uint64, (WIDE,)), ("p", np.int16, (PIVOTS,)), ("n", np.int64), ("set", object), ("band", np.int16), ("bands", np.int64, (BANDS,))])
 
 
 def _mixers(n: int, seed: int) -> np.ndarray:
@@ -358,19 +372,22 @@ def _wide_rows(batch, words: int) -> np.ndarray:
     for k in range(PIVOTS):
         rows["p"][:, k] = np.bitwise_count(rows["fp"] ^ pivots[k]).sum(axis=1)
     rows["n"] = batch["n_shingles"].to_numpy()
-    rows["set"] = [_Set(t, words) for t in batch["text"].to_pylist()]
+    rows["band"] = batch["choice"].to_numpy()
+    rows["bands"] = batch["bands"].flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    rows["set"] = [_Set(t, words) for t in batch["text"].to_pylist()] if "text" in batch.schema.names else None
     return rows
 
 
-def _alike(similarity: float):
-    """Whether the Jaccard similarity of two shingle sets is at least this.
+def _maybe_alike(similarity: float):
+    """Whether two shingle sets may have a Jaccard similarity of at least this, and no band before this one has them both; and how many shingles they must share.
 
-    The sets' sizes bound it from above. Differing bits of wide fingerprints measure the angle between the sets: a pair that is
-    SLACK deviations off is left out, pivot distances first, as they bound the differing bits from below. All others are intersected.
+    The sets' sizes bound the similarity from above. Differing bits of wide fingerprints measure the angle between the sets: a pair that is
+    SLACK deviations off is left out, pivot distances first, as they bound the differing bits from below.
     """
     bits = WIDE * 64
+    number = np.arange(BANDS)
 
-    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = a["n"].astype(float), b["n"].astype(float)
         shared = similarity * (x + y) / (1 + similarity)
         angle = np.arccos(np.minimum(shared / np.sqrt(np.maximum(x * y, 1e-9)), 1)) / np.pi
@@ -378,8 +395,21 @@ def _alike(similarity: float):
         out = (np.minimum(x, y) >= shared - 1e-9) & (np.abs(a["p"] - b["p"]).max(axis=-1) <= most)
         at = np.flatnonzero(out)
         at = at[np.bitwise_count(a["fp"][at] ^ b["fp"][at]).sum(axis=-1) <= most[at]]
+        at = at[~((a["bands"][at] == b["bands"][at]) & (number < a["band"][at, None])).any(axis=-1)]
         out[:] = False
-        for k in at.tolist():
+        out[at] = True
+        return out, shared
+
+    return close
+
+
+def _alike(similarity: float):
+    """Whether the Jaccard similarity of two shingle sets is at least this: those that may be so alike are intersected, each pair in the first band that has both."""
+    maybe = _maybe_alike(similarity)
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, shared = maybe(a, b)
+        for k in np.flatnonzero(out).tolist():
             both = len(np.intersect1d(a["set"][k].hashes(), b["set"][k].hashes(), assume_unique=True))
             out[k] = both >= shared[k] - 1e-9
         return out
@@ -387,6 +417,37 @@ def _alike(similarity: float):
     return close
 
 
+def _partnered(words: int, similarity: float):
+    """The rows of buckets that may be alike to another of their bucket; texts aren't needed for that."""
+    maybe = _maybe_alike(similarity)
+
+    def marked(key, rows, part) -> np.ndarray:
+        out = np.zeros(len(rows), bool)
+        for order, left in _sides(key, part):
+            for k in range(len(order) - 1 if left is None else left):
+                rest = order[k + 1 :] if left is None else order[left:]
+                if out[order[k]]:
+                    rest = rest[~out[rest]]
+                if len(rest):
+                    hit = rest[maybe(np.broadcast_to(rows[order[k] : order[k] + 1], len(rest)), rows[rest])[0]]
+                    out[hit] = True
+                    out[order[k]] |= len(hit) > 0
+        return out
+
+    def run(batches):
+        names = ["content", *BUCKETS, "part"]
+        kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        for key, rows, part, node in _runs(batches, lambda batch: _wide_rows(batch, words), "content"):
+            kept = np.flatnonzero(marked(key, rows, part))
+            columns = [node[kept], *(key[c][kept] for c in BUCKETS), part[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return run
+
+
+MET = "content binary, choice int, bits long, part_a int, part_b int, part int"
+
+
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of texts whose word shingles are alike, directly or by others: the one with the least id.
 
@@ -397,13 +458,15 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     made = cut(sketches(docs, words))
     key = ["row_key", "row_more"]
     row = F.struct("doc_id", *key)
-    contents = made.groupBy("content").agg(F.min(row).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
-    contents = cut(contents)
-    met = cut(_parts(contents.select("content", F.posexplode("bands").alias("choice", "bits")), "content"))
-    own = contents.join(met.select("content").distinct(), "content", "left_semi").select("content", "n_shingles", "wide", *(F.col(f"least.{c}").alias(c) for c in key))
-    own = own.join(docs.select(*row_keys(), "text"), key).groupBy("content").agg(*(F.first(c).alias(c) for c in ("n_shingles", "wide", "text")))
+    contents = cut(made.groupBy("content").agg(F.min(row).alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "wide", "bands"))))
+    met = _parts(contents.select("content", "n_shingles", F.posexplode("bands").alias("choice", "bits")), "content", "n_shingles").drop("n_shingles")
+    measures = contents.select("content", "n_shingles", "wide", "bands")
+    # a text goes only to the buckets that are the first to have it and one that may be alike
+    wanted = cut(_dealt(met.join(measures, "content")).mapInArrow(_partnered(words, similarity), MET))
+    own = contents.join(wanted.select("content").distinct(), "content", "left_semi").select("content", "n_shingles", "wide", "bands", *(F.col(f"least.{c}").alias(c) for c in key))
+    own = own.join(docs.select(*row_keys(), "text"), key).groupBy("content").agg(*(F.first(c).alias(c) for c in ("n_shingles", "wide", "bands", "text")))
     found = _links_of(lambda batch: _wide_rows(batch, words), _alike(similarity), "content", pa.binary())
-    edges = _dealt(met.join(own, "content")).mapInArrow(found, "a binary, b binary").distinct()
+    edges = _dealt(wanted.join(own, "content")).mapInArrow(found, "a binary, b binary").distinct()
     roots = components(edges)
     least = (
         contents.select("content", "least")
