@@ -53,8 +53,8 @@ RULES = (
 )
 #: What a private key is from its first line on: all up to its END line, or without one, the lines of base64 that follow.
 PEM_REST = (
-    r"(?:[^-]*(?:-[^-]+){0,16}-----END (?:[A-Z]+ )?PRIVATE KEY-----"
-    r"|(?:\s*(?:Proc-Type|DEK-Info):[^\r\n]*){0,2}(?:[\s\\]+[A-Za-z0-9+/]{16,}={0,2}){1,256}(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?|)"
+    r"(?:[^-]*+(?:-[^-]++)*+-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"|(?:\s*(?:Proc-Type|DEK-Info):[^\r\n]*){0,2}(?:[\s\\]++[A-Za-z0-9+/]{16,}+={0,2}+)++(?:\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?![^\r\n]))?|)"
 )
 #: The rules of what is replaced: as reported, but a private key is whole.
 REPLACED = tuple(Rule(r.kind, r.pattern + PEM_REST) if r.kind == "pem" else r for r in RULES)

@@ -142,6 +142,8 @@ def test_private_keys_are_replaced_whole(spark):
         f"{begin}\n{body}\n\nbetween\n{begin}\n{body}\n{end}\nb": "[pem]\n\nbetween\n[pem]\nb",
         f"{begin}\\n{lines[0]}\\n{lines[1]}\\n{end}": "[pem]",
         f"the line {begin} alone": "the line [pem] alone",
+        f"{begin}\n" + f"{lines[0]}\n" * 5_000 + "words after": "[pem]\nwords after",
+        f"{begin}\n" + f"{lines[0]}-\n" * 5_000 + f"{end}\nb": "[pem]\nb",
     }
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.text for r in secrets.redacted(df).orderBy("doc_id").collect()] == list(texts.values())
@@ -397,6 +399,7 @@ def test_similarity_dedup(spark, odd):
 def test_similarity_dedup_is_exact(spark, monkeypatch, bucket):
     """Pairs close to the similarity fall on the side that their shingles say, also where a bucket is dealt in parts."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "HEAVY", 4_000_000 if bucket > 6 else 500)
     rng = random.Random(14)
     texts = []
     for size in (40, 150, 400):
