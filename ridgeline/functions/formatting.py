@@ -44,16 +44,16 @@ def coordinate(x: Column, y: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), text).otherwise("N/A")
 
 
-def _decomposed() -> tuple[str, str, list[tuple[str, str]]]:
-    """Characters with one ASCII character under compatibility decomposition, those, and the Latin letters and ligatures with several."""
-    one, to, several = [], [], []
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Characters with one ASCII character under compatibility decomposition, those, and what characters with several become."""
+    one, to, several = [], [], {}
     for code in range(0xA0, 0x20000):
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
             one.append(chr(code))
             to.append(plain)
-        elif len(plain) > 1 and (code < 0x250 or 0xFB00 <= code < 0xFB07):
-            several.append((chr(code), plain))
+        elif len(plain) > 1:
+            several[chr(code)] = plain
     return "".join(one), "".join(to), several
 
 
@@ -61,14 +61,14 @@ ONE, TO, SEVERAL = _decomposed()
 
 
 def slug(name: Column) -> Column:
-    """Lower-case ASCII with ``_`` for blanks: accents are taken off, letters that don't decompose are left out.
+    """Lower-case ASCII with ``_`` for blanks: accents are taken off, ligatures and signs of several letters are spelled out, characters that don't decompose are left out.
 
-    So are signs that stand for several ASCII characters, such as those of units, beside Latin letters and ligatures.
+    Only a text that has a character of several letters is taken apart.
     """
-    plain = F.translate(name, ONE, TO)
-    for a, b in SEVERAL:
-        plain = F.replace(plain, F.lit(a), F.lit(b))
-    return F.replace(F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", "")), F.lit(" "), F.lit("_"))
+    table = F.create_map(*(F.lit(x) for pair in SEVERAL.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    whole = F.when(name.rlike(f"[{''.join(SEVERAL)}]"), spelled).otherwise(name)
+    return F.replace(F.lower(F.regexp_replace(F.translate(whole, ONE, TO), r"[^\x00-\x7F]", "")), F.lit(" "), F.lit("_"))
 
 
 def chunk_slug(name: Column) -> Column:

@@ -138,32 +138,52 @@ def extent_along(geometry: Column, center: Column, axis: Column) -> Column:
 
 
 def hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull in order, by monotone chains."""
+    """Corners of the convex hull in order, counter-clockwise, by monotone chains."""
     rows = np.unique(points, axis=0)
     if len(rows) < 3:
         return rows
 
-    def chain(order) -> list:
+    def chain(order: list) -> list:
         kept: list = []
-        for p in order:
-            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]):
+        for x, y in order:
+            while len(kept) > 1:
+                (ax, ay), (bx, by) = kept[-2:]
+                if (bx - ax) * (y - ay) > (by - ay) * (x - ax):
+                    break
                 kept.pop()
-            kept.append(p)
+            kept.append((x, y))
         return kept[:-1]
 
-    return np.array(chain(rows) + chain(rows[::-1]))
+    found = rows.tolist()
+    return np.array(chain(found) + chain(found[::-1]))
+
+
+def farthest(corners: np.ndarray, turns: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """How far a convex shape reaches in each direction. ``turns`` are the rising angles of its sides: the corner that is met lies where they pass the direction's normal.
+
+    Its neighbours are looked at too, so that rounding of angles does no harm.
+    """
+    n = len(corners)
+    normal = np.arctan2(directions[:, 1], directions[:, 0]) + np.pi / 2
+    k = np.searchsorted(turns, turns[0] + np.mod(normal - turns[0], 2 * np.pi))
+    near = corners[(k[:, None] + np.arange(-2, 3)) % n]
+    return (near * directions[:, None, :]).sum(axis=2).max(axis=1)
 
 
 def long_side(points: np.ndarray) -> tuple[float, float]:
-    """Unit vector of the longer side of the smallest rectangle around points, pointing right or else up; (1, 0) for a single point."""
+    """Unit vector of the longer side of the smallest rectangle around points, pointing right or else up; (1, 0) for a single point.
+
+    One side of that rectangle lies on a side of the hull. All sides are tried, each by the corners that it meets: no more than the hull is held.
+    """
     corners = hull(points)
     sides = np.roll(corners, -1, axis=0) - corners
     length = np.hypot(*sides.T)
     if not length.any():
         return 1.0, 0.0
-    units = sides[length > 0] / length[length > 0, None]
+    turns = np.unwrap(np.arctan2(sides[:, 1], sides[:, 0]))
+    units = sides / length[:, None]
     normals = np.stack([-units[:, 1], units[:, 0]], axis=1)
-    spans = [np.ptp(corners @ v.T, axis=0) for v in (units, normals)]
+    spans = [farthest(corners, turns, v) + farthest(corners, turns, -v) for v in (units, normals)]
     best = int(np.argmin(np.round(spans[0] * spans[1], 9)))
     x, y = units[best] if spans[0][best] >= spans[1][best] else normals[best]
     x, y = round(float(x), 15) + 0.0, round(float(y), 15) + 0.0
@@ -225,9 +245,46 @@ def touching_boxes(left: DataFrame, right: DataFrame, left_box: str, right_box:
     )
 
 
+def box_level(b: Column, cell: float) -> Column:
+    """The least level, from 0 on, whose cells are as large as the longer side of a box; a level's cells are twice as large as those of the one below."""
+    side = F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"], F.lit(float(cell)))
+    return F.ceil(F.log2(side / cell)).cast("int")
+
+
+def touching_boxes_of_all_sizes(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: float) -> DataFrame:
+    """Rows of two tables whose boxes touch, each pair once, where boxes may be of very different size.
+
+    A box is in at most four cells of its own level, and in as many of each greater level that boxes of the other side have. A pair meets at the level of the larger
+    one, in the cell with the lower left corner of what both share: one join for pairs whose left box is at least as large, one for the others. So small boxes never
+    meet in large cells, and a large box isn't dealt to a cell for each small one. Levels are logarithms: a few dozen rows at most.
+    """
+    a, b = F.col(left_box), F.col(right_box)
+    size = F.pow(F.lit(2.0), F.col("_level")) * F.lit(float(cell))
+
+    def put(df: DataFrame, box_name: str) -> DataFrame:
+        reach = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(box_name)[lo] / size), F.floor(F.col(box_name)[hi] / size)))
+        return df.withColumn("_gx", reach("minx", "maxx")).withColumn("_gy", reach("miny", "maxy"))
+
+    def own(df: DataFrame, box_name: str) -> DataFrame:
+        return put(df.withColumn("_level", box_level(F.col(box_name), cell)), box_name)
+
+    def above(df: DataFrame, box_name: str, other: DataFrame, other_box: str, least: int) -> DataFrame:
+        levels = F.broadcast(other.select(box_level(F.col(other_box), cell).alias("_level")).distinct())
+        placed = df.withColumn("_own", box_level(F.col(box_name), cell)).join(levels, F.col("_level") >= F.col("_own") + least)
+        return put(placed.drop("_own"), box_name)
+
+    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+        corner = (F.floor(F.greatest(a["minx"], b["minx"]) / size) == F.col("_gx")) & (F.floor(F.greatest(a["miny"], b["miny"]) / size) == F.col("_gy"))
+        return one.join(two, ["_level", "_gx", "_gy"]).where(boxes_touch(a, b) & corner).drop("_level", "_gx", "_gy")
+
+    larger = met(own(left, left_box), above(right, right_box, left, left_box, 0))
+    smaller = met(above(left, left_box, right, right_box, 1), own(right, right_box))
+    return larger.unionByName(smaller)
+
+
 def zone_tiles(zones: DataFrame, tiles: DataFrame, cell: float = 5000.0) -> DataFrame:
     """Zone and tile rows whose shape and box meet: bounds by grid cells, then exactly."""
-    near = touching_boxes(zones.withColumn("_bounds", bounds(F.col("geometry"))), tiles, "_bounds", "bbox_3006", cell)
+    near = touching_boxes_of_all_sizes(zones.withColumn("_bounds", bounds(F.col("geometry"))), tiles, "_bounds", "bbox_3006", cell)
     return near.where(meets_box(F.col("geometry"), F.col("bbox_3006"))).drop("_bounds")
 
 
@@ -235,7 +292,7 @@ def zone_collections(zones: DataFrame, collections: DataFrame, cell: float = 50_
     """Zones with the collections whose corner ring ``ring`` meets the zone's bounds: their boxes by grid cells, then exactly."""
     shape = F.array(F.array(F.col("ring")))
     boxed = collections.withColumn("_box", bounds(shape))
-    near = touching_boxes(zones.withColumn("_bounds", bounds(F.col("geometry"))), boxed, "_bounds", "_box", cell)
+    near = touching_boxes_of_all_sizes(zones.withColumn("_bounds", bounds(F.col("geometry"))), boxed, "_bounds", "_box", cell)
     return near.where(meets_box(shape, F.col("_bounds"))).drop("_bounds", "_box")
 
 

@@ -67,24 +67,22 @@ def packed(tiles: DataFrame, budget: int, *keys: str, size: str = "size_bytes",
     """
     if budget <= 0:
         raise ValueError("the budget must be positive")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out"))
+    start = F.struct(F.lit(None).cast("long").alias("used"), F.array().cast("array<bigint>").alias("firsts"))
 
     def step(acc: Column, t: Column) -> Column:
-        fresh = (acc["batch"] == 0) | (acc["used"] + t["s"] > budget)
-        batch = acc["batch"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(
-            F.when(fresh, t["s"]).otherwise(acc["used"] + t["s"]).alias("used"),
-            batch.alias("batch"),
-            F.concat(acc["out"], F.array(F.struct(t["o"].alias("o"), batch.alias("batch")))).alias("out"),
-        )
+        """The bytes of the open batch and the first tile of each batch so far: the list grows with the batches, not with the tiles."""
+        fresh = acc["used"].isNull() | (acc["used"] + t["s"] > budget)
+        return F.struct(F.when(fresh, t["s"]).otherwise(acc["used"] + t["s"]).alias("used"), F.when(fresh, F.array_append(acc["firsts"], t["o"])).otherwise(acc["firsts"]).alias("firsts"))
 
     checked = F.when(F.col(size) <= budget, F.col(size).cast("long")).otherwise(
         F.raise_error(F.concat(F.lit("a tile is larger than the budget: "), F.col(size).cast("string"))).cast("long")
     )
-    folded = tiles.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(ordinal).cast("long").alias("o"), checked.alias("s")))), start, step)["out"].alias("_out"))
-    batches = folded.select(*keys, F.inline("_out")).select(*keys, F.col("o").alias(ordinal), F.col("batch").alias("batch_index"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(ordinal).cast("long").alias("o"), checked.alias("s"))))
+    folded = tiles.groupBy(*keys).agg(F.aggregate(listed, start, step)["firsts"].alias("_firsts"))
+    number = F.size(F.filter("_firsts", lambda f: f <= F.col(ordinal)))
     place = F.row_number().over(Window.partitionBy(*keys, "batch_index").orderBy(ordinal))
-    return tiles.withColumn(ordinal, F.col(ordinal).cast("long")).join(batches, [*keys, ordinal]).withColumn("batch_position", place)
+    numbered = tiles.withColumn(ordinal, F.col(ordinal).cast("long")).join(folded, list(keys)).withColumn("batch_index", number).drop("_firsts")
+    return numbered.withColumn("batch_position", place)
 
 
 def batch_summary(batches: DataFrame, *keys: str) -> DataFrame:

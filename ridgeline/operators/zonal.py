@@ -135,5 +135,16 @@ def ranked(scores: DataFrame, score: Column, *ties: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(score.desc_nulls_last(), *map(F.col, ties))))
 
 
+def places_by(rows: DataFrame, orders: dict[str, list[Column]], *keys: str) -> DataFrame:
+    """The rows with their place within each key by every order, a column for each."""
+    w = Window.partitionBy(*keys)
+    return rows.select("*", *(F.row_number().over(w.orderBy(*order)).cast("bigint").alias(name) for name, order in orders.items()))
+
+
+def top_by(rows: DataFrame, n: int, orders: dict[str, list[Column]], *keys: str) -> DataFrame:
+    """Of each key the rows that are among the first ``n`` by any of the orders, with their places."""
+    return places_by(rows, orders, *keys).where(reduce(lambda a, b: a | b, (F.col(name) <= n for name in orders)))
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from .. import schemas
 from ..functions import formatting as fmt
 from ..functions import projection as proj
-from ..operators import eta, geometry, planning, profile, raster, state, zonal
+from ..operators import eta, geometry, kernel, planning, profile, raster, state, zonal
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -644,14 +644,9 @@ def format_texts(spark, d):
     SELECT * FROM r WHERE by_max <= 20 OR by_min <= 20"""
 )
 def topn_by_criterion(spark, d):
-    w = Window.partitionBy("o_orderpriority")
-    rows = load(spark, d, "orders").select(
-        "o_orderkey",
-        "o_orderpriority",
-        F.row_number().over(w.orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("bigint").alias("by_max"),
-        F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).cast("bigint").alias("by_min"),
-    )
-    return rows.where("by_max <= 20 OR by_min <= 20")
+    price = F.col("o_totalprice")
+    rows = load(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return zonal.top_by(rows, 20, {"by_max": [price.desc(), F.col("o_orderkey")], "by_min": [price, F.col("o_orderkey")]}, "o_orderpriority").drop("o_totalprice")
 
 
 # pieces of the pipelines
@@ -809,9 +804,80 @@ _CONTROL = (
 )
 
 
-@query(f"SELECT CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, CAST(north AS DOUBLE) AS north, CAST(east AS DOUBLE) AS east, printf('(%.6f, %.6f)', lat, lon) AS place FROM (VALUES {', '.join(map(str, _CONTROL))}) v(lat, lon, north, east)")
+@query(
+    f"""SELECT c_custkey, CAST(north AS DOUBLE) AS north, CAST(east AS DOUBLE) AS east, printf('(%.6f, %.6f)', lat, lon) AS place
+    FROM customer JOIN (VALUES {', '.join(f"({k}, {', '.join(map(str, c))})" for k, c in enumerate(_CONTROL))}) v(k, lat, lon, north, east) ON k = c_nationkey % {len(_CONTROL)}"""
+)
 def control_points(spark, d):
-    rows = spark.createDataFrame(_CONTROL, "lat double, lon double, n double, e double")
+    points = spark.createDataFrame([(k, *c) for k, c in enumerate(_CONTROL)], "k int, lat double, lon double, n double, e double")
+    rows = load(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % len(_CONTROL)).alias("k")).join(F.broadcast(points), "k")
     lon, lat = F.col("lon"), F.col("lat")
     back = fmt.coordinate(F.col("e"), F.col("n"))
-    return rows.select("lat", "lon", F.round(proj.northing(lon, lat), 3).alias("north"), F.round(proj.easting(lon, lat), 3).alias("east"), back.alias("place"))
+    return rows.select("c_custkey", F.round(proj.northing(lon, lat), 3).alias("north"), F.round(proj.easting(lon, lat), 3).alias("east"), back.alias("place"))
+
+
+# tiles as arrays
+
+#: A polygon over the grid of 64 columns and at least one row that the embeddings of a label are: two parts, the first with a hole.
+_CUT = [[[(2.2, 0.0), (61.7, 3.3), (58.4, 900.2), (30.1, 6.0), (3.9, 900.6)], [(40.2, 4.0), (50.8, 4.5), (47.3, 60.1)]], [[(-5.0, 0.6), (1.6, 0.4), (1.4, 500.3), (-4.0, 400.0)]]]
+_CUT_EDGES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for part in _CUT for ring in part for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+_CUT_TILES = f"""
+e(x1, y1, x2, y2) AS (VALUES {_CUT_EDGES}), g AS (
+    SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, generate_subscripts(embedding, 1) - 1 AS c, CAST(unnest(embedding) AS DOUBLE) AS raw FROM embeddings
+), z AS (SELECT label, max(r) + 1 AS h FROM g GROUP BY 1), p AS (SELECT g.*, c + 0.5 AS x, h - (r + 0.5) AS y FROM g JOIN z USING (label)),
+b AS (SELECT min(least(x1, x2)) AS x0, max(greatest(x1, x2)) AS x9, min(least(y1, y2)) AS y0, max(greatest(y1, y2)) AS y9 FROM e),
+w AS (SELECT p.* FROM p, b WHERE x + 0.5 > x0 AND x - 0.5 < x9 AND y + 0.5 > y0 AND y - 0.5 < y9),
+i AS (SELECT label, r, c, count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS inside FROM w, e GROUP BY 1, 2, 3),
+m AS (SELECT w.label, w.r, w.c, w.x, w.y, CASE WHEN inside AND raw >= -0.2 THEN raw END AS v FROM w JOIN i USING (label, r, c)),
+s AS (SELECT m.*, min(r) OVER l AS r0, max(r) OVER l AS r1, min(c) OVER l AS c0, max(c) OVER l AS c1, lag(v) OVER a AS vw, lead(v) OVER a AS ve, lag(v) OVER d AS vn, lead(v) OVER d AS vs FROM m
+    WINDOW l AS (PARTITION BY label), a AS (PARTITION BY label, r ORDER BY c), d AS (PARTITION BY label, c ORDER BY r)),
+k AS (SELECT *, CASE WHEN r0 = r1 OR c0 = c1 THEN NULL WHEN c = c0 THEN ve - v WHEN c = c1 THEN v - vw ELSE (ve - vw) / 2 END AS gx,
+    CASE WHEN r0 = r1 OR c0 = c1 THEN NULL WHEN r = r0 THEN vs - v WHEN r = r1 THEN v - vn ELSE (vs - vn) / 2 END AS gy FROM s),
+f AS (SELECT label, r, c, x, y, v, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM k)"""
+
+
+def _cut_files(spark, d) -> DataFrame:
+    """The embeddings of each label as a raster file with a row for each, values below -0.2 missing, under the polygon."""
+    rows = load(spark, d, "embeddings").withColumn("row", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    high = rows.withColumn("_h", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    v = F.col("v").cast("double")
+    cells = high.select(F.col("label").cast("string").alias("tile"), "row", "_h", F.posexplode("embedding").alias("col", "v"))
+    one = F.lit(1.0)
+    pixels = cells.select(
+        "tile", "row", "col", F.when(v >= -0.2, v).alias("v"), (F.col("col") + 0.5).alias("x"), (F.col("_h") - (F.col("row") + 0.5)).alias("y"), one.alias("res_x"), one.alias("res_y"), F.lit(None).cast("double").alias("nodata")
+    )
+    point = lambda p: F.struct(F.lit(float(p[0])).alias("x"), F.lit(float(p[1])).alias("y"))
+    shape = F.array(*(F.array(*(F.array(*map(point, ring)) for ring in part)) for part in _CUT))
+    files = tables.packed_pixels(pixels).withColumnRenamed("tile", "item_id")
+    return files.select(F.lit("z").alias("tatort"), F.lit("k").alias("kommun"), "item_id", "content", geometry.edges(shape).alias("edges"))
+
+
+@query(
+    f"""WITH {_CUT_TILES} SELECT CAST(label AS VARCHAR) AS item_id, count(v) AS n_values, min(v) AS local_min, max(v) AS local_max, arg_min(x, {{'a': v, 'b': r, 'c': c}}) FILTER (v IS NOT NULL) AS min_x,
+    arg_min(y, {{'a': -v, 'b': r, 'c': c}}) FILTER (v IS NOT NULL) AS max_y, round(coalesce(sum(slope * slope) FILTER (v IS NOT NULL), 0), 4) AS slope_sum_squares, count(slope) FILTER (v IS NOT NULL) AS slope_count FROM f GROUP BY 1"""
+)
+def tile_partials(spark, d):
+    found = kernel.partials(kernel.zone_tiles(_cut_files(spark, d)))
+    place = F.col("min_coord")["x"].alias("min_x"), F.col("max_coord")["y"].alias("max_y")
+    return found.select("item_id", "n_values", "local_min", "local_max", *place, F.round("slope_sum_squares", 4).alias("slope_sum_squares"), "slope_count")
+
+
+@query(
+    f"""WITH {_CUT_TILES} SELECT 'z' AS tatort, {", ".join(f"round(quantile_cont(CAST(CAST(v AS FLOAT) AS DOUBLE), {q}), 6) AS {n}" for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95)))} FROM f WHERE v IS NOT NULL"""
+)
+def tile_quantiles(spark, d):
+    found = kernel.quantiles(kernel.zone_tiles(_cut_files(spark, d)), {"q05": 0.05, "q50": 0.5, "q95": 0.95}, "tatort")
+    return found.select("tatort", *map(r6, ("q05", "q50", "q95")))
+
+
+@query(
+    """WITH p AS (SELECT o_custkey AS zone, o_orderkey AS item_id, CAST(trunc(o_totalprice) AS BIGINT) AS size, o_orderstatus = 'O' AS wave, CASE WHEN o_orderkey % 3 = 0 THEN CAST(trunc(o_totalprice) AS BIGINT) WHEN o_orderkey % 3 = 1 THEN 1000 END AS cached FROM orders)
+    SELECT zone, CAST(coalesce(sum(cached), 0) AS BIGINT) AS used, CAST(sum(size) FILTER (wave AND cached IS DISTINCT FROM size) AS BIGINT) AS new,
+    coalesce(sum(cached), 0) + coalesce(sum(size) FILTER (wave AND cached IS DISTINCT FROM size), 0) > 500000 AS over FROM p GROUP BY 1 HAVING bool_or(wave)"""
+)
+def cache_overruns(spark, d):
+    k, size = F.col("o_orderkey"), F.col("o_totalprice").cast("bigint")
+    planned = load(spark, d, "orders").select(F.col("o_custkey").alias("zone"), k.alias("item_id"), size.alias("size_bytes"), "o_orderstatus")
+    cached = planned.where(F.col("item_id") % 3 < 2).select("item_id", F.when(F.col("item_id") % 3 == 0, F.col("size_bytes")).otherwise(1000).alias("cached_bytes"))
+    found = planning.cache_use(planned.where("o_orderstatus = 'O'").drop("o_orderstatus"), planned.drop("o_orderstatus"), cached, 500_000, "zone")
+    return found.select("zone", "used", F.nullif("new", F.lit(0)).alias("new"), "over")

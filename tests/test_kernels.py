@@ -185,3 +185,55 @@ def test_zone_tiles_against_clipping(spark):
     want = {(k, t) for k, (ring,) in enumerate(shapes) for t, b in enumerate(boxes) if inside(ring, b[0], b[1]) or any(clipped(*p, *q, b) for p, q in zip(ring, ring[1:] + ring[:1], strict=True))}
     rows = [(r.k, r.t) for r in geometry.zone_tiles(zones, tiles, 7.0).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_axis_of_a_million_points():
+    turn = np.linspace(0, 2 * np.pi, 1_000_000, endpoint=False)
+    circle = np.stack([np.cos(turn), np.sin(turn)], axis=1) * 1e6
+    x, y = geometry.long_side(circle)
+    assert abs(x * x + y * y - 1) < 1e-9
+    assert np.allclose(geometry.long_side(circle * [3, 1]), (1, 0), atol=1e-4)
+
+
+def test_axis_equals_all_sides():
+    def every(points):
+        corners = geometry.hull(points)
+        sides = np.roll(corners, -1, axis=0) - corners
+        units = sides / np.hypot(*sides.T)[:, None]
+        normals = np.stack([-units[:, 1], units[:, 0]], axis=1)
+        spans = [np.ptp(corners @ v.T, axis=0) for v in (units, normals)]
+        return (spans[0] * spans[1]).min()
+
+    rng = np.random.default_rng(3)
+    for k in range(300):
+        points = rng.normal(size=(rng.integers(3, 40), 2)) * [1, 10 ** rng.uniform(-3, 3)] + rng.normal(size=2) * 1e3
+        if k % 3 == 0:
+            points = np.round(points)
+        if len(geometry.hull(points)) < 3:
+            continue
+        x, y = geometry.long_side(points)
+        area = np.ptp(points @ [x, y]) * np.ptp(points @ [-y, x])
+        assert area <= every(points) * (1 + 1e-6) + 1e-6
+
+
+def test_boxes_of_all_sizes(spark):
+    rng = random.Random(8)
+
+    def box():
+        side = 10 ** rng.uniform(-1, 4)
+        x, y = rng.uniform(-5000, 5000), rng.uniform(-5000, 5000)
+        return (x, y, x + side * rng.uniform(0.01, 1), y + side)
+
+    left, right = ([(k, box()) for k in range(150)] for _ in range(2))
+    frames = [spark.createDataFrame(rows, f"{n} long, {n}_box struct<minx:double,miny:double,maxx:double,maxy:double>") for n, rows in (("a", left), ("b", right))]
+    got = [(r.a, r.b) for r in geometry.touching_boxes_of_all_sizes(*frames, "a_box", "b_box", 1.0).select("a", "b").collect()]
+    want = [(a, b) for a, p in left for b, q in right if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]]
+    assert sorted(got) == sorted(want)
+
+
+def test_slug_spells_signs_out(spark):
+    df = spark.createDataFrame([("Æon… №5 ₨ ﬁn ½ Å",), (None,), ("plain",)], "t string")
+    import unicodedata
+
+    want = [None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower().replace(" ", "_") for (t,) in (tuple(r) for r in df.collect())]
+    assert [r[0] for r in df.select(fmt.slug(F.col("t"))).collect()] == want
