@@ -66,8 +66,11 @@ def slug(name: Column) -> Column:
     Only a text that has a character of several letters is taken apart.
     """
     table = F.create_map(*(F.lit(x) for pair in SEVERAL.items() for x in pair))
-    spelled = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    whole = F.when(name.rlike(f"[{''.join(SEVERAL)}]"), spelled).otherwise(name)
+    one = lambda c: F.when(c <= F.lit("\x7f"), c).otherwise(F.coalesce(F.try_element_at(table, c), c))
+    spelled = F.array_join(F.transform(F.split(name, ""), one), "")
+    # a class of two ranges and a few letters: a longer one would be tried on every character of every text
+    low = "".join(c for c in SEVERAL if c < "\u0250")
+    whole = F.when(name.rlike(f"[^\\x00-\u024f]|[{low}]"), spelled).otherwise(name)
     return F.replace(F.lower(F.regexp_replace(F.translate(whole, ONE, TO), r"[^\x00-\x7F]", "")), F.lit(" "), F.lit("_"))
 
 
