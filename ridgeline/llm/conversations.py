@@ -331,3 +331,52 @@ def audits(conversations: DataFrame) -> DataFrame:
                     yield _batch(out, schema)
 
     return repaired(conversations).mapInArrow(run, AUDITS)
+
+
+def oracle() -> str:
+    """The audits in SQL: ways with their whole letters and rows, the least of each state kept row by row."""
+    way = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR[])"
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+
+    def gone(s: str) -> str:
+        return f"CASE WHEN {s} IS NOT NULL THEN CAST({{'c': {s}.c + {COST[DELETE]}, 'a': {s}.a || '{DELETE}', 'o': {s}.o}} AS {way}) END"
+
+    def made(s: str, cost: str, letter: str, line: str, when: str = "true") -> str:
+        return f"CASE WHEN {s} IS NOT NULL AND {when} THEN CAST({{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'o': list_append({s}.o, {line})}} AS {way}) END"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def inserted(s: str, role: str) -> str:
+        return made(s, str(COST[INSERT]), INSERT, f"'{role}:'")
+
+    def kept(s: str, initial: str) -> str:
+        return made(s, f"{COST[KEEP]} + extra", KEEP, "role || ':' || text", f"ok AND initial = '{initial}'")
+
+    def turned(s: str, role: str) -> str:
+        return made(s, f"{COST[REROLE]} + extra", REROLE, f"'{role}:' || text", "ok")
+
+    before_user = ("s0", "s1", "s3")
+    step = f"""SELECT conv_id, pos, {gone('s0')} AS s0, {least(gone('s1'), kept('s0', 's'))} AS s1,
+        {least(gone('s2'), *(f(s, x) for s in before_user for f, x in ((kept, 'u'), (turned, 'user'))))} AS s2, {least(gone('s3'), kept('s2', 'a'), turned('s2', 'assistant'))} AS s3
+        FROM (SELECT f.*, s0, s1, s2, s3 FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.pos = dp.pos + 1)"""
+    once = f"SELECT conv_id, pos, s0, s1, {least('s2', *(inserted(s, 'user') for s in before_user))} AS s2, {least('s3', inserted('s2', 'assistant'))} AS s3 FROM ({step})"
+    twice = f"SELECT conv_id, pos, s0, s1, {least('s2', inserted('s3', 'user'))} AS s2, {least('s3', inserted('s2', 'assistant'))} AS s3 FROM ({once})"
+    start = lambda cost, letters, *lines: f"CAST({{'c': {cost}, 'a': '{letters}', 'o': {list(lines)}}} AS {way})"
+    bytes_of = "list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_of}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"
+    return f"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    h AS (SELECT *, {crc} % 20 AS kind FROM raw),
+    d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+        rtrim(text, {blanks}) AS whole, substr(role, 1, 1) AS initial FROM d),
+    f AS (SELECT *, fault IS NULL OR fault = 'truncated' AS ok, CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END AS extra, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier
+        FROM (SELECT *, CASE WHEN whole = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(whole, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM r)),
+    dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, {start(0, '')} AS s0, CAST(NULL AS {way}) AS s1, {start(COST[INSERT], INSERT, 'user:')} AS s2, {start(2 * COST[INSERT], 2 * INSERT, 'user:', 'assistant:')} AS s3 FROM f
+        UNION ALL {twice}),
+    g AS (SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, {', '.join(f"count(*) FILTER (fault = '{x}') AS {x}" for x in ('blank', 'duplicate', 'truncated'))},
+        count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+    e AS (SELECT g.*, {least('s0', 's3')} AS best FROM g JOIN dp ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND dp.pos = g.n)
+    SELECT i.conv_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in COUNTS)}, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM i.conv_id"""

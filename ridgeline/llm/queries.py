@@ -75,4 +75,4 @@ QUERIES = {
     "op12_token_counts": op12_token_counts,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL = {"op1_secret_scans": secrets.oracle(), "op5_license_scans": licenses.ORACLE, "op7_quality_rules": quality.ORACLE, "op11_fill_in_middle": infill.oracle()}
+ORACLE_SQL = {"op1_secret_scans": secrets.oracle(), "op5_license_scans": licenses.ORACLE, "op7_quality_rules": quality.ORACLE, "op11_fill_in_middle": infill.oracle(), "op13_conversation_repair": conversations.oracle()}

@@ -158,3 +158,9 @@ def test_repaired_rows_have_the_structure(spark, data):
         by.setdefault(r.conv_id, []).append(r.role[:1])
     assert by
     assert all(re.fullmatch("(s?(ua)+)?", "".join(x)) for x in by.values())
+
+
+def test_equals_sql(spark, data, duck):
+    found = duck.sql(c.oracle())
+    df = spark.read.parquet(f"{data}/conversations.parquet")
+    assert sorted(map(str, map(tuple, c.audits(c.damaged(df)).select(*found.columns).collect()))) == sorted(map(str, found.fetchall()))
