@@ -6,6 +6,7 @@ one task (``operators.kernel``). After each batch the values of its tiles and wh
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import geometry, kernel, planning, profile, raster, state, zonal
+from ..operators import eta, geometry, kernel, planning, profile, raster, state, zonal
 from ..sources import tables
 
 ZONE = ("tatort", "kommun")
@@ -126,12 +127,14 @@ def compare(
     root: str,
     options: Options = Options(),
     cache_folder: str | None = None,
+    progress: Callable[[dict], None] | None = None,
 ) -> DataFrame:
     """Result rows of all zones. What the log under ``root`` has is taken from there: plans, completed zones and finished tiles.
 
     ``rasters`` has the files of tiles (tile, content), or pixels as ``sources.tables.rasters`` has them, or is a function that gets those of a batch's tiles, as
     ``sources.tables.raster_source`` and ``sources.cache`` make one. A planned tile that isn't among them is an error that names it, and nothing of its batch is stored.
     A batch that would take ``cache_folder`` over a zone's budget is an error. A zone that no tile meets, or without a valid pixel, fails, and the others go on.
+    ``progress`` is called after each batch with what this session has done, what is left and the seconds that it should take at this session's rate.
     """
     store = _store(spark, root)
     registered(store, zones, stored_or_made(store, zones, tiles, options))
@@ -139,6 +142,7 @@ def compare(
     left = state.unfinished(_work(store, zones), store.read("tiles"))
     started = state.touched(store.read("runs"), left.select(*ZONE).distinct(), ZONE)
     store.commit({"runs": state.set_status(started, started, "running")})
+    began, done_tiles = time.monotonic(), 0
     # batches are as many as the budget makes of the largest zone
     for index in [r["batch_index"] for r in left.select("batch_index").distinct().orderBy("batch_index").collect()]:
         wave = planning.batch(state.unfinished(_work(store, zones), store.read("tiles")), index)
@@ -146,6 +150,9 @@ def compare(
             budget = options.cache_budget_mb * planning.MIB
             planning.gate(planning.cache_use(wave, store.read("tiles"), tables.cached_tiles(spark, cache_folder), budget, *ZONE), budget, *ZONE)
         measured_wave(store, zones, wave, rasters(wave) if callable(rasters) else rasters, options)
+        if progress is not None:
+            done_tiles += store.read("tiles").join(left.where(F.col("batch_index") == index).select(*state.TILE), list(state.TILE), "left_semi").count()
+            progress({"batch": index, **progress_of(state.unfinished(_work(store, zones), store.read("tiles")), done_tiles, time.monotonic() - began, options)})
     finished(store, zones, _work(store, zones))
     runs = store.read("runs")
     done = runs.where("status = 'completed'").join(zones.select("tatort", F.col("kommunnamn").alias("kommun")), list(ZONE), "left_semi")
@@ -159,6 +166,15 @@ def compare(
     )
 
 
+def progress_of(left: DataFrame, done_tiles: int, seconds: float, options: Options = Options()) -> dict:
+    """Tiles that are done and left, bytes that are left, and the seconds that they should take, from what this session did alone. Tasks fetch while others measure, so one rate covers both."""
+    none = F.lit(0)
+    row = left.agg(F.count(none).alias("left_tiles"), F.coalesce(F.sum("size_bytes"), none).alias("bytes_left"))
+    row = row.withColumns({"left_bytes": none, "done_bytes": none, "download_seconds": F.lit(None).cast("double"), "done_tiles": F.nullif(F.lit(done_tiles), none), "processing_seconds": F.lit(seconds)})
+    found = eta.remaining(row, options.download_rate_mbps, options.processing_seconds_per_tile).first()
+    return {"tiles_done": done_tiles, "tiles_left": found["left_tiles"], "bytes_left": found["bytes_left"], "seconds": seconds, "eta_seconds": found["eta_seconds"]}
+
+
 def _work(store: state.Journal, zones: DataFrame) -> DataFrame:
     """The stored plan of zones that aren't completed."""
     named = zones.select("tatort", F.col("kommunnamn").alias("kommun"), "tatortskod")

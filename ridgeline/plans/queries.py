@@ -881,3 +881,43 @@ def cache_overruns(spark, d):
     cached = planned.where(F.col("item_id") % 3 < 2).select("item_id", F.when(F.col("item_id") % 3 == 0, F.col("size_bytes")).otherwise(1000).alias("cached_bytes"))
     found = planning.cache_use(planned.where("o_orderstatus = 'O'").drop("o_orderstatus"), planned.drop("o_orderstatus"), cached, 500_000, "zone")
     return found.select("zone", "used", F.nullif("new", F.lit(0)).alias("new"), "over")
+
+
+@query(
+    """WITH c AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+    b AS (SELECT label, greatest(least(CAST(trunc((i + vec_id % 5 - 10.0) / 50.0 * 20) AS INTEGER), 19), 0) AS bin, v FROM c), q AS (SELECT label, bin, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.9) AS p90 FROM b GROUP BY 1, 2),
+    z AS (SELECT label, (sum(p10) OVER s + greatest(0, 3 - bin) * first_value(p10) OVER w + greatest(0, bin - 16) * last_value(p10) OVER w) / 7 AS p10,
+        (sum(p90) OVER s + greatest(0, 3 - bin) * first_value(p90) OVER w + greatest(0, bin - 16) * last_value(p90) OVER w) / 7 AS p90 FROM q
+        WINDOW s AS (PARTITION BY label ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), w AS (PARTITION BY label ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT label, CAST(count(*) AS INTEGER) AS n_bins, round(min(p10), 5) AS y_min, round(max(p90), 5) AS y_max FROM z GROUP BY 1"""
+)
+def smoothed_extent(spark, d):
+    cells = load(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v"))
+    bin = profile.bin_of((F.col("i") + F.col("vec_id") % 5).cast("double"), F.lit(10.0), F.lit(60.0), 20)
+    table = profile.binned(cells.select("label", bin.alias("bin"), F.col("v").cast("double").alias("v")), "v", 20, "label")
+    packed = profile.packed_profiles(profile.series(table, 20, "label"), "label")
+    return packed.select("label", F.size("x").alias("n_bins"), F.round("y_min", 5).alias("y_min"), F.round("y_max", 5).alias("y_max"))
+
+
+@query(
+    """SELECT o_custkey AS tatort, o_orderkey AS item_id, CASE WHEN o_orderstatus = 'F' THEN 'processed' ELSE 'planned' END AS process_status, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS local_min FROM orders"""
+)
+def committed_tiles(spark, d):
+    orders = load(spark, d, "orders").select(F.col("o_custkey").alias("tatort"), F.col("o_orderkey").alias("item_id"), "o_orderstatus", "o_totalprice")
+    schema = "tatort bigint, item_id bigint, process_status string, local_min double"
+    store = state.Journal(spark, _folder(spark), {"tiles": schema}, {"tiles": ("tatort", "item_id")})
+    store.commit({"tiles": orders.select("tatort", "item_id", F.lit("planned").alias("process_status"), F.lit(None).cast("double").alias("local_min"))})
+    store.commit({"tiles": orders.where("o_orderstatus = 'F'").select("tatort", "item_id", F.lit("processed").alias("process_status"), F.col("o_totalprice").alias("local_min"))})
+    return store.read("tiles")
+
+
+@query(
+    """SELECT o_custkey AS tatort, o_orderkey AS item_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderstatus NOT IN ('F', 'P')"""
+)
+def skipped_work(spark, d):
+    key = [F.col("o_custkey").alias("tatort"), F.lit("k").alias("kommun"), F.col("o_orderkey").alias("item_id")]
+    orders = load(spark, d, "orders")
+    runs = load(spark, d, "customer").select(F.col("c_custkey").alias("tatort"), F.lit("k").alias("kommun"), F.when(F.col("c_mktsegment") == "BUILDING", "completed").otherwise("planned").alias("status"))
+    status = F.when(F.col("o_orderstatus") == "F", "processed").when(F.col("o_orderstatus") == "P", "processed_empty").otherwise("planned")
+    work, _ = state.split_by_state(orders.select(*key), runs)
+    return state.unfinished(work, orders.select(*key, status.alias("process_status"))).select("tatort", "item_id")

@@ -258,6 +258,24 @@ def test_profiles_of_the_stored_plan(spark, two):
         pipeline.stored_profiles(spark, zones, files, f"file://{tmp}/state")
 
 
+def test_progress_while_a_comparison_runs(spark, two, monkeypatch):
+    zones, tiles, tmp = two
+    monkeypatch.setattr(pipeline.planning, "MIB", max(r.size_bytes for r in tiles.collect()))
+    seen = []
+
+    def progress(now):
+        running = runs_of(spark, f"file://{tmp}/state")["A"].status
+        seen.append((running, now))
+
+    pipeline.compare(spark, zones, tiles, tables.raster_source(spark, f"file://{tmp}/tiles"), f"file://{tmp}/state", pipeline.Options(cache_budget_mb=1), progress=progress)
+    assert [(state, p["batch"], p["tiles_done"], p["tiles_left"]) for state, p in seen] == [("running", 1, 2, 1), ("running", 2, 3, 0)]
+    first, last = (p for _, p in seen)
+    assert first["eta_seconds"] == pytest.approx(first["seconds"] / 2) and last["eta_seconds"] == 0 and first["bytes_left"] > last["bytes_left"] == 0
+    again = []
+    pipeline.compare(spark, zones, tiles, tables.raster_source(spark, f"file://{tmp}/tiles"), f"file://{tmp}/state", progress=again.append)
+    assert not again  # nothing is left
+
+
 KEYS = {"a": ("k",), "b": ("k",)}
 
 
