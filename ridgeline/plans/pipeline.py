@@ -137,7 +137,9 @@ def compare(
     ``progress`` is called after each batch with what this session has done, what is left and the seconds that it should take at this session's rate.
     """
     store = _store(spark, root)
-    registered(store, zones, stored_or_made(store, zones, tiles, options))
+    planned = stored_or_made(store, zones, tiles, options).persist()  # discovery is asked for by both tables
+    registered(store, zones, planned)
+    planned.unpersist()
     unreferenced(store)
     left = state.unfinished(_work(store, zones), store.read("tiles"))
     started = state.touched(store.read("runs"), left.select(*ZONE).distinct(), ZONE)
@@ -145,13 +147,13 @@ def compare(
     began, done_tiles = time.monotonic(), 0
     # batches are as many as the budget makes of the largest zone
     for index in [r["batch_index"] for r in left.select("batch_index").distinct().orderBy("batch_index").collect()]:
-        wave = planning.batch(state.unfinished(_work(store, zones), store.read("tiles")), index)
+        wave = planning.batch(state.unfinished(_work(store, zones), store.read("tiles")), index)  # of the last commit, whose files stay
         if cache_folder is not None:
             budget = options.cache_budget_mb * planning.MIB
             planning.gate(planning.cache_use(wave, store.read("tiles"), tables.cached_tiles(spark, cache_folder), budget, *ZONE), budget, *ZONE)
         measured_wave(store, zones, wave, rasters(wave) if callable(rasters) else rasters, options)
         if progress is not None:
-            done_tiles += store.read("tiles").join(left.where(F.col("batch_index") == index).select(*state.TILE), list(state.TILE), "left_semi").count()
+            done_tiles += wave.count()
             progress({"batch": index, **progress_of(state.unfinished(_work(store, zones), store.read("tiles")), done_tiles, time.monotonic() - began, options)})
     finished(store, zones, _work(store, zones))
     runs = store.read("runs")
