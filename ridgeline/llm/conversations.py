@@ -369,8 +369,8 @@ def oracle() -> str:
     h AS (SELECT *, {crc} % 20 AS kind FROM raw),
     d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
-        rtrim(text, {blanks}) AS whole, substr(role, 1, 1) AS initial FROM d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy, nth) AS pos, rtrim(text, {blanks}) AS whole, substr(role, 1, 1) AS initial
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM d)),
     f AS (SELECT *, fault IS NULL OR fault = 'truncated' AS ok, CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END AS extra, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier
         FROM (SELECT *, CASE WHEN whole = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(whole, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM r)),
     dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, {start(0, '')} AS s0, CAST(NULL AS {way}) AS s1, {start(COST[INSERT], INSERT, 'user:')} AS s2, {start(2 * COST[INSERT], 2 * INSERT, 'user:', 'assistant:')} AS s3 FROM f

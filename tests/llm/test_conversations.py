@@ -6,6 +6,8 @@ import random
 import re
 import zlib
 
+import duckdb
+
 
 from ridgeline.llm import conversations as c
 
@@ -161,6 +163,15 @@ def test_repaired_rows_have_the_structure(spark, data):
 
 
 def test_equals_sql(spark, data, duck):
-    found = duck.sql(c.oracle())
-    df = spark.read.parquet(f"{data}/conversations.parquet")
-    assert sorted(map(str, map(tuple, c.audits(c.damaged(df)).select(*found.columns).collect()))) == sorted(map(str, found.fetchall()))
+    def equal(df, connection):
+        found = connection.sql(c.oracle())
+        assert sorted(map(str, map(tuple, c.audits(c.damaged(df)).select(*found.columns).collect()))) == sorted(map(str, found.fetchall()))
+
+    equal(spark.read.parquet(f"{data}/conversations.parquet"), duck)
+    r = random.Random(9)
+    texts = ["Yes.", "No!", "cut off", " \t\n", "", None, "Why?  \n", "ü😀."]
+    rows = [(conv, r.choice((None, *range(12))), r.choice(("user", "assistant", "system", "tool", "", None)), r.choice(texts)) for conv in (None, *range(60)) for _ in range(r.randrange(1, 20))]
+    own = duckdb.connect()
+    own.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    own.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows + rows[:20])
+    equal(spark.createDataFrame(rows + rows[:20], "conv_id long, turn long, role string, text string"), own)
