@@ -19,6 +19,7 @@ from ..functions import formatting as fmt
 from ..functions import projection as proj
 from ..operators import eta, geometry, kernel, planning, profile, raster, state, zonal
 from ..sources import tables
+from . import grid_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,8 +110,9 @@ def _sql_text(c: str, n: int) -> str:
     return f"printf('%.{n}f', {c})"
 
 
-def _sql_place(c: str) -> str:
-    return f"'(' || {_sql_text(proj.latitude_sql(f'{c}.x', f'{c}.y'), 6)} || ', ' || {_sql_text(proj.longitude_sql(f'{c}.x', f'{c}.y'), 6)} || ')'"
+def _sql_place(source: str, x: str, y: str, name: str) -> str:
+    """The source's rows with the place of the grid point (x, y) as text."""
+    return f"(SELECT * EXCLUDE (lat, lon), '(' || {_sql_text('lat', 6)} || ', ' || {_sql_text('lon', 6)} || ')' AS {name} FROM {grid_sql.degrees_of(source, x, y)})"
 
 
 _RESULT = {
@@ -121,12 +123,11 @@ _RESULT = {
     "total_raw_size_mb": _sql_text("n_values * 4.0 / 1048576", 2),
     "tiles_scanned": "CAST(tiles_used AS VARCHAR)",
     "tiles_used": "CAST(tiles_used AS VARCHAR)",
-    "min_coord_lat_lon": _sql_place("min_coord"),
-    "max_coord_lat_lon": _sql_place("max_coord"),
 }
+_PLACED = _sql_place(_sql_place("f", "min_coord.x", "min_coord.y", "min_coord_lat_lon"), "max_coord.x", "max_coord.y", "max_coord_lat_lon")
 
 
-@query(f"WITH {SUMMARY} SELECT {', '.join(f'{_RESULT.get(c) or (_sql_text(c, n) if n else c)} AS {c}' for c, n in tables.RESULT_FIELDS)} FROM f")
+@query(f"WITH {SUMMARY} SELECT {', '.join(f'{_RESULT.get(c) or (_sql_text(c, n) if n else c)} AS {c}' for c, n in tables.RESULT_FIELDS)} FROM {_PLACED}")
 def zonal_rank(spark, d):
     return tables.result_rows(
         _summary(spark, d).select(
@@ -436,13 +437,16 @@ def zone_tile_join(spark, d):
 _POINTS = "(SELECT c_custkey, CAST(300000 + c_custkey * 977 % 400000 AS DOUBLE) AS x, CAST(6100000 + c_custkey * 1009 % 1500000 AS DOUBLE) AS y FROM customer)"
 
 
-@query(f"SELECT c_custkey, '(' || {_sql_text(proj.latitude_sql('x', 'y'), 6)} || ', ' || {_sql_text(proj.longitude_sql('x', 'y'), 6)} || ')' AS place FROM {_POINTS}")
+@query(f"SELECT c_custkey, place FROM {_sql_place(_POINTS, 'x', 'y', 'place')}")
 def coord_wgs84(spark, d):
     k = F.col("c_custkey")
     return load(spark, d, "customer").select("c_custkey", fmt.coordinate((300000 + k * 977 % 400000).cast("double"), (6100000 + k * 1009 % 1500000).cast("double")).alias("place"))
 
 
-@query(f"SELECT c_custkey, round({proj.easting_sql('lon', 'lat')}, 4) AS east, round({proj.northing_sql('lon', 'lat')}, 4) AS north FROM (SELECT c_custkey, 11 + c_custkey % 130 / 10.0 AS lon, 55 + c_custkey % 140 / 10.0 AS lat FROM customer)")
+_DEGREES = "(SELECT c_custkey, 11 + c_custkey % 130 / 10.0 AS x, 55 + c_custkey % 140 / 10.0 AS y FROM customer)"
+
+
+@query(f"SELECT c_custkey, round(east, 4) AS east, round(north, 4) AS north FROM {grid_sql.metres_of(_DEGREES, 'x', 'y')}")
 def grid_points(spark, d):
     lon, lat = 11 + F.col("c_custkey") % 130 / 10.0, 55 + F.col("c_custkey") % 140 / 10.0
     return load(spark, d, "customer").select("c_custkey", F.round(proj.easting(lon, lat), 4).alias("east"), F.round(proj.northing(lon, lat), 4).alias("north"))

@@ -134,6 +134,19 @@ def test_projection_round_trip(spark):
     assert known == "(55.707109, 13.169803)"
 
 
+def test_projection_equals_another_derivation(spark, duck):
+    from ridgeline.plans import grid_sql
+
+    x, y = F.lit(250000.0) + F.col("id") * 977 % 700000, F.lit(6050000.0) + F.col("id") * 1009 % 1700000
+    points = spark.range(3000).select(x.alias("x"), y.alias("y"))
+    degrees = points.select("x", "y", proj.latitude(F.col("x"), F.col("y")).alias("a"), proj.longitude(F.col("x"), F.col("y")).alias("b")).toPandas()
+    metres = spark.createDataFrame(degrees).select("a", "b", proj.northing(F.col("b"), F.col("a")).alias("n"), proj.easting(F.col("b"), F.col("a")).alias("e")).toPandas()
+    duck.register("degrees_here", degrees)
+    duck.register("metres_here", metres)
+    assert max(duck.sql(f"SELECT max(abs(lat - a)), max(abs(lon - b)) FROM {grid_sql.degrees_of('degrees_here', 'x', 'y')}").fetchall()[0]) < 1e-12
+    assert max(duck.sql(f"SELECT max(abs(north - n)), max(abs(east - e)) FROM {grid_sql.metres_of('metres_here', 'b', 'a')}").fetchall()[0]) < 2e-8
+
+
 def test_box_and_shape(spark):
     ring = [(0, 0), (10, 0), (10, 10), (0, 10)]
     hole = [(3, 3), (7, 3), (7, 7), (3, 7)]
