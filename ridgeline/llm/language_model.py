@@ -1,10 +1,12 @@
 """Class-based bigram scores of texts.
 
-Word counts are sums over all training texts. Classes are learned in two steps. Exchange clustering moves units
+Word counts are sums over all training texts. Classes are learned in three steps. Exchange clustering moves units
 between classes as long as that raises the likelihood of the class bigrams of the whole training text; its units are
 the most frequent words, one each, and groups of all other words by a hash of their last bytes. Then each
 frequent word that has no unit of its own goes to the class that its own neighbours make likeliest, one exchange move against the
-classes that were found. What is left are rare and unseen words, which have the class of their group. A token's probability is that of
+classes that were found. Then the exchange goes on over all frequent words, those with units too: in each sweep half of them move at once,
+as one job over the training text, and a sweep that doesn't raise the likelihood is given back. What is left are rare and unseen
+words, which have the class of their group. A token's probability is that of
 its class after the class before it, times that of the word in its class, smoothed by half a count with one place in each class for
 unknown words.
 
@@ -46,8 +48,8 @@ KNOWN = 200_000
 HELD = 300_000
 #: Counts by which class transitions are drawn to the classes' own shares.
 PULL = 50.0
-#: Sweeps of the exchange over all units, at most.
-SWEEPS = 8
+#: Sweeps of the exchange over all units, at most; after these, sweeps over halves of the frequent words, at most.
+SWEEPS, WIDE_SWEEPS = 8, 4
 #: Tokens or pairs that a worker gathers before it sums them up.
 GATHERED = 1 << 21
 #: Pairs of tokens in a row of numbers.
@@ -206,17 +208,18 @@ def transitions(table: np.ndarray) -> np.ndarray:
     return np.log10((table + PULL * share) / (table.sum(axis=1, keepdims=True) + PULL))
 
 
-def own_classes(numbers: DataFrame, first: int, n_words: int, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The class of each frequent word: the unit's for the first ones, which have one, for others the one that their neighbours make likeliest.
+def own_classes(numbers: DataFrame, moving: np.ndarray, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each frequent word: for those that are moving the one that their neighbours make likeliest, for others the one they have.
 
     ``begin`` is the class of each number so far. A worker counts the classes before and after its words; the counts of a word meet, at most two for each class, and give its class.
     """
-    shared, moves = numbers.sparkSession.sparkContext.broadcast(begin.astype(np.int32)), transitions(table)
+    n_words = len(moving)
+    shared, moves = numbers.sparkSession.sparkContext.broadcast((begin.astype(np.int32), np.r_[moving, np.zeros(len(begin) - n_words, bool)])), transitions(table)
     in_class = np.log10(np.maximum(table.sum(axis=0), 0.5))
 
     def codes(batches):
         for x in _paths(batches):
-            at, c = np.where(x < n_words, x - first, -1), shared.value[x]
+            c, at = shared.value[0][x], np.where(shared.value[1][x], x, -1)
             after, before = np.flatnonzero(at[:-1] >= 0), np.flatnonzero(at[1:] >= 0)
             yield np.concatenate([at[after] * 2 * CLASSES + c[after + 1], at[before + 1] * 2 * CLASSES + CLASSES + c[before]])
 
@@ -240,10 +243,10 @@ def own_classes(numbers: DataFrame, first: int, n_words: int, begin: np.ndarray,
             yield pa.RecordBatch.from_arrays([batch["place"], pa.array(gain.argmax(axis=1), pa.int32())], ["place", "class"])
 
     out = begin[:n_words].astype(np.int64)
-    if n_words > first:
+    if moving.any():
         met = numbers.mapInArrow(count, "place int, cell short, n int").repartition("place").groupBy("place", "cell").agg(F.sum("n").alias("n"))
         chosen = met.groupBy("place").agg(F.collect_list(F.struct("cell", "n")).alias("cells")).mapInArrow(choose, "place int, class int").toArrow()
-        out[first + chosen["place"].to_numpy()] = chosen["class"].to_numpy()
+        out[chosen["place"].to_numpy()] = chosen["class"].to_numpy()
     return out
 
 
@@ -251,6 +254,26 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
+def likelihood(table: np.ndarray) -> float:
+    """What the classes add to the logarithm of the likelihood of the training texts, from the counts of their bigrams."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def swept(numbers: DataFrame, class_of: np.ndarray, groups: np.ndarray, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each frequent word, bigrams of classes) after sweeps in which every second frequent word moves, in turn, to its likeliest class.
+
+    Words that move at once may spoil each other's moves: a sweep that doesn't raise the likelihood is given back and ends the exchange.
+    """
+    table = bigrams(numbers, CLASSES, np.r_[class_of, groups])
+    for k in range(sweeps):
+        moved = own_classes(numbers, np.arange(len(class_of)) % 2 == k % 2, np.r_[class_of, groups], table)
+        found = bigrams(numbers, CLASSES, np.r_[moved, groups])
+        if likelihood(found) <= likelihood(table):
+            break
+        class_of, table = moved, found
+    return class_of, table
+
+
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Classes of units by exchange clustering on their bigram counts; the end's unit keeps the last class to itself.
 
@@ -383,8 +406,8 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
         where = exchange(pairs)
         one_hot = np.zeros((UNITS, CLASSES))
         one_hot[np.arange(UNITS), where] = 1
-        class_of = own_classes(numbers, first, len(words), where[unit_of], one_hot.T @ pairs @ one_hot)
-        table = bigrams(numbers, CLASSES, np.r_[class_of, where[groups]])
+        class_of = own_classes(numbers, np.arange(len(words)) >= first, where[unit_of], one_hot.T @ pairs @ one_hot)
+        class_of, table = swept(numbers, class_of, where[groups], WIDE_SWEEPS)
     finally:
         remove(spark, folder)
     shared = spark.sparkContext.broadcast((words, class_of, where))

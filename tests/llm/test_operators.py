@@ -212,6 +212,33 @@ def test_language_model_score_by_brute_force(docs, odd, monkeypatch, known):
     assert sorted(x for _, x in got) == pytest.approx(sorted(x for _, x in want), rel=1e-9)
 
 
+def test_sweeps_over_all_frequent_words(docs, monkeypatch, tmp_path):
+    lm = language_model
+    words = [w for w, _ in lm.frequent(lm.word_counts(docs), 500)[1]]
+    numbers = lm.write_numbers(docs, words, f"{tmp_path}/numbers")
+    groups = np.arange(lm.END - lm.OWN + 1) % (lm.CLASSES - 1)
+    groups[-1] = lm.CLASSES - 1
+    begin = np.arange(len(words)) % (lm.CLASSES - 1)
+    texts = [[len(words) + lm.END - lm.OWN, *map(lm.Numbers(words).__getitem__, lower(r.text).encode().split()), len(words) + lm.END - lm.OWN] for r in docs.collect()]
+
+    def by_hand(class_of):
+        kind, out = np.r_[class_of, groups], np.zeros((lm.CLASSES, lm.CLASSES))
+        for t in texts:
+            np.add.at(out, (kind[t[:-1]], kind[t[1:]]), 1)
+        return out
+
+    before = lm.likelihood(by_hand(begin))
+    last = before
+    for sweeps in (1, 2, 4):
+        class_of, table = lm.swept(numbers, begin, groups, sweeps)
+        assert (table == by_hand(class_of)).all() and (class_of < lm.CLASSES - 1).all()
+        assert lm.likelihood(table) >= last
+        last = lm.likelihood(table)
+        if sweeps == 1:
+            assert (class_of[1::2] == begin[1::2]).all() and (class_of[::2] != begin[::2]).any()
+    assert last > before
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(0)
     pairs = np.zeros((9, 9))
