@@ -188,3 +188,10 @@ WITH docs AS (
 )
 SELECT *, failures & 3 <> 0 AS base_failed, failures & 15 = 0 AS kept_v1, failures = 0 AS kept FROM b
 """
+
+_BITS = ", ".join(f"('{name}', {BIT[name]})" for name in BIT if POLICIES["v2"] & BIT[name])
+#: The ablation of the current policy in SQL.
+ABLATION = f"""
+SELECT rule, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures & {POLICIES["v2"]} = bit) AS n_only
+FROM ({ORACLE}) CROSS JOIN (VALUES {_BITS}) v(rule, bit) GROUP BY rule
+"""

@@ -12,6 +12,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(documents(spark, sf_dir))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation(quality.ledger(documents(spark, sf_dir), "doc_id"))
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -74,5 +78,13 @@ QUERIES = {
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_counts": op12_token_counts,
     "op13_conversation_repair": op13_conversation_repair,
+    "quality_ablation": quality_ablation,
+}
+ORACLE_SQL = {
+    "op1_secret_scans": secrets.oracle(),
+    "op5_license_scans": licenses.ORACLE,
+    "op7_quality_rules": quality.ORACLE,
+    "op11_fill_in_middle": infill.oracle(),
+    "op13_conversation_repair": conversations.oracle(),
+    "quality_ablation": quality.ABLATION,
 }
-ORACLE_SQL = {"op1_secret_scans": secrets.oracle(), "op5_license_scans": licenses.ORACLE, "op7_quality_rules": quality.ORACLE, "op11_fill_in_middle": infill.oracle(), "op13_conversation_repair": conversations.oracle()}

@@ -460,6 +460,14 @@ def test_language(spark, odd):
     assert len(language.predicted(odd).collect()) == len(ODD)
 
 
+def test_languages_alike_go_to_the_first(spark):
+    text = "kala vesi kivi"
+    train = spark.createDataFrame([(1, text, "zz"), (2, text, "bb"), (3, text, "mm"), (4, "omena puu talo", "aa")], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language.label(train, language.fit(train)).collect()}
+    assert [found[k].lang_pred for k in (1, 2, 3, 4)] == ["bb", "bb", "bb", "aa"] and found[1].score == 1.0
+    assert found[1].spans == found[2].spans == found[3].spans
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(50):
