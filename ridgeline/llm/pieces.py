@@ -3,7 +3,8 @@
 Texts are cut where no piece can reach across, and the distinct parts of a batch are laid out as one byte
 string, with a byte between them that no text has. All suffixes of it are sorted; every piece of the vocabulary
 finds its occurrences by binary search as a range of that order; the occurrences are the edges of all parts' lattices.
-Sorted by where they end, they are relaxed one end after the other, all parts at once.
+Sorted by where they end, they are relaxed one end after the other, all parts at once; a part of over LONG bytes is
+indexed and relaxed alone, a stretch at a time.
 
 The vocabulary is of the byte-pair kind, whose encoding isn't the cheapest path but that of its merges. It is
 a path through the lattice all the same: at each end exactly one edge is left whose piece and the piece before
@@ -40,6 +41,8 @@ KEY = 16
 INDEXED, KEPT = 1 << 19, 400_000
 #: Looked-up pairs that a worker keeps.
 PAIRS = 1 << 22
+#: Bytes of a part that is relaxed alone, and bytes of such a part that are indexed together.
+LONG, STRETCH = 2048, 1 << 16
 
 
 #: Texts that tell models apart: normalizers change them, and cheapest paths part from merging.
@@ -72,6 +75,7 @@ class Vocabulary:
         self.sorted_ids = np.array([k for _, k in raw])
         self.sorted_bytes = [b for b, _ in raw]
         self.size = np.array([len(b) for b in self.sorted_bytes])
+        self.reach = int(self.size.max())
         self.low = np.array([b[:KEY] for b in self.sorted_bytes], f"S{KEY}")
         self.high = np.array([b[:KEY].ljust(KEY, GAP) for b in self.sorted_bytes], f"S{KEY}")
 
@@ -122,6 +126,7 @@ class _Pairs:
 
     def clear(self) -> None:
         self.keys, self.values, self.full = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool), 0
+        self.single: dict[int, bool] = {}
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Slots that hold the keys, or the free ones where their search ends."""
@@ -154,6 +159,16 @@ class _Pairs:
             at = self._find(keys)
         return self.values[at]
 
+    def fits(self, before: int, piece: int) -> bool:
+        """``fit`` for one pair."""
+        key = (before + 1) << 24 | piece
+        good = self.single.get(key)
+        if good is None:
+            if len(self.single) > PAIRS // 2:
+                self.single.clear()
+            good = self.single[key] = self._worked_out(before, piece)
+        return good
+
 
 def suffix_order(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places in the order of the suffixes that begin there, the first KEY bytes of each): by half of the key, ties by the other."""
@@ -189,11 +204,44 @@ def edges(vocabulary: Vocabulary, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, start + size, vocabulary.sorted_ids[piece]
 
 
+def encode_long(vocabulary: Vocabulary, pairs: _Pairs, raw: bytes) -> np.ndarray | None:
+    """Ids of one long part, None at a dead end. Each end is relaxed in turn, and only the edges of one stretch are held."""
+    text = np.frombuffer(raw, np.uint8)
+    last = [-2] * (len(raw) + 1)  # the piece that ends at a place; -2: none
+    last[0] = -1
+    fits = pairs.fits
+    for a in range(0, len(raw), STRETCH):
+        low = max(0, a - vocabulary.reach)
+        start, end, piece = edges(vocabulary, text[low : a + STRETCH + vocabulary.reach])
+        here = np.flatnonzero((end + low > a) & (end + low <= a + STRETCH))
+        here = here[np.argsort(end[here], kind="stable")]
+        for s, e, p in zip((start[here] + low).tolist(), (end[here] + low).tolist(), piece[here].tolist(), strict=True):
+            if last[e] == -2 and last[s] != -2 and fits(last[s], p):
+                last[e] = p
+    if last[-1] == -2:
+        return None
+    ids, at = [], len(raw)
+    while at:
+        ids.append(last[at])
+        at -= len(vocabulary.written[last[at]])
+    return np.array(ids[::-1], np.int32)
+
+
 def encode_parts(vocabulary: Vocabulary, pairs: _Pairs, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all parts one after the other, number of ids of each)."""
     direct = np.array([part[0] not in vocabulary.single or part[:2] == BLANK * 2 for part in parts])
-    chosen = np.flatnonzero(~direct)
     owners, found = [], []
+    alone = np.zeros(len(parts), bool)
+    for k in np.flatnonzero(~direct).tolist():
+        if 4 * len(parts[k]) > LONG and len(raw := parts[k].encode()) > LONG:
+            ids = encode_long(vocabulary, pairs, raw)
+            if ids is None:
+                direct[k] = True
+            else:
+                alone[k] = True
+                owners.append(np.full(len(ids), k))
+                found.append(ids)
+    chosen = np.flatnonzero(~direct & ~alone)
     if len(chosen):
         texts = [parts[k].encode() for k in chosen.tolist()]
         raw = np.frombuffer(GAP.join(texts) + GAP, np.uint8)
@@ -218,13 +266,15 @@ def encode_parts(vocabulary: Vocabulary, pairs: _Pairs, parts: list[str]) -> tup
         direct[chosen[last[stops] == -2]] = True
         live = np.flatnonzero(last[stops] != -2)
         at = stops[live]
+        back = []
         while len(live):
-            owners.append(chosen[live])
-            found.append(last[at])
+            back.append((chosen[live], last[at]))
             at = came[at]
             more = at > first[live]
             live, at = live[more], at[more]
-        owners, found = owners[::-1], found[::-1]
+        for owner, piece in back[::-1]:
+            owners.append(owner)
+            found.append(piece)
     for k in np.flatnonzero(direct).tolist():
         ids = vocabulary.merged(parts[k])
         owners.append(np.full(len(ids), k))

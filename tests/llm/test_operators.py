@@ -341,6 +341,18 @@ def test_pieces_equal_the_library(spark, odd, docs):
     assert all(r.round_trip for r in pieces.round_trips(odd).collect())
 
 
+def test_long_parts_equal_the_library(monkeypatch):
+    """Texts without a blank: random letters, one letter, a pattern, no letters, and what the vocabulary lacks."""
+    lib = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.VOCABULARY)
+    r = random.Random(5)
+    texts = ["".join(r.choices(pool, k=3_000)) for pool in ("abcdefghijklmnopqrstuvwxyz", "a", ("ab", "the", "ing"), "=-", "0123456789", ("é", "中", "\U0001f600", "x"))]
+    with open(pieces.VOCABULARY, "rb") as f:
+        vocabulary = pieces.Vocabulary(f.read())
+    for stretch in (1 << 16, 997, 7):
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        assert [x.tolist() for x in pieces.Encoder(vocabulary)(texts)] == [lib.encode(t) for t in texts]
+
+
 def test_licenses(spark, odd, docs, duck):
     mit = "Copyright (c) 2020 Somebody\n\n" + licenses.TEXTS["MIT"].upper().replace("LICENSE", "LICENCE")
     df = spark.createDataFrame([(1, mit), (2, "x\nreleased under the MIT licence!"), (3, licenses.TEXTS["ISC"] + " more")], "doc_id long, text string")
