@@ -5,6 +5,10 @@ To label a text, the script of each word narrows the candidate languages to thos
 script; each word gets a log-probability under every candidate, and the Viterbi path over the words, with
 a penalty for each switch, gives the spans. A text's language is the one with the most letters in its spans.
 
+There may be any number of languages: the model, which every worker holds, is a list of the trigrams that each language has, so that it
+grows with the labels and their kinds of words, not with the rows. Scores are held for so many words at a time that words times languages
+stay below a bound, texts of any length included; of a text's path, a bit for each word and language is kept.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0; words without a letter count
 for no language; ties go to the language that sorts first; repeated rows get equal results; extra columns
 are ignored; an empty table gives an empty result; without any labelled row every text is ``und``.
@@ -18,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +30,14 @@ from .common import fold
 
 #: Cells of a language's trigram table; trigrams are dealt to them by a multiplicative hash.
 CELLS = 1 << 15
-#: The most languages that can be learned; more is an error, since the model is held by every worker.
-MAX_LANGUAGES = 512
 #: Log-probability that a switch of language costs.
 SWITCH = 12.0
 #: The most that one word may count against a language.
 WORD_CLIP = 8.0
-#: Words that a worker keeps scores of; beyond it, it starts afresh.
+#: Words of a language that are counted before their trigrams are.
 KEPT_WORDS = 200_000
+#: Scores (words x languages) that are worked out together, and those that a worker keeps; beyond it, it starts afresh.
+HELD, KEPT = 1 << 22, 1 << 24
 #: First code points of scripts, with the script that begins there.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -102,17 +107,41 @@ def _learn(batches):
 
 @dataclass
 class Model:
-    """Log-probabilities of trigram cells by language, and the scripts that each language is written in."""
+    """What each trigram cell adds to a language's log-probability, by cell; what a cell without it gives; the scripts of each language."""
 
     langs: list[str]
-    logs: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray
     scripts: np.ndarray
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         """Log-probabilities of words, each less the best one's; languages that a word's script rules out get the lowest."""
+        step = self.together
+        return np.vstack([self._scores(words[at : at + step]) for at in range(0, len(words), step)])
+
+    @property
+    def together(self) -> int:
+        """Words whose scores are worked out together."""
+        return max(1, HELD // max(1, len(self.langs)))
+
+    def _scores(self, words: list[bytes]) -> np.ndarray:
         kinds = np.array([script_of(w.decode("utf-8", "replace")) if not w.isascii() else LATIN if _letters(w) else -1 for w in words])
-        cell, first = _cells(words)
-        out = np.add.reduceat(self.logs[cell], first, axis=0)
+        cell, begin = _cells(words)
+        size, languages = np.diff(np.r_[begin, len(cell)]), len(self.langs)
+        out = size[:, None] * self.base
+        owner = np.repeat(np.arange(len(words)), size)
+        count = self.first[cell + 1] - self.first[cell]
+        until = np.cumsum(count)
+        a = 0
+        while a < len(cell):
+            b = max(a + 1, int(np.searchsorted(until, until[a] - count[a] + HELD, "right")))
+            n, low, high = count[a:b], owner[a], owner[b - 1] + 1
+            at = np.arange(n.sum()) + np.repeat(self.first[cell[a:b]] - (np.cumsum(n) - n), n)
+            place = np.repeat(owner[a:b] - low, n) * languages + self.lang[at]
+            out[low:high] += np.bincount(place, self.gain[at], (high - low) * languages).reshape(-1, languages)
+            a = b
         known = np.where(kinds[:, None] >= 0, self.scripts[kinds], True)
         known |= ~known.any(axis=1, keepdims=True)
         out[~known] = -np.inf
@@ -126,46 +155,74 @@ def _letters(word: bytes) -> bool:
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model of the rows with a language; at most MAX_LANGUAGES x CELLS sums come to the driver."""
+    """A model of the rows with a language. A row comes to the driver for each language and trigram cell or script that it has."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     sums = known.mapInArrow(_learn, "lang string, cell int, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(sums["lang"].to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} can be learned")
-    table = np.zeros((CELLS + len(NAMES), len(langs)))
-    if langs:
-        place = {lang: k for k, lang in enumerate(langs)}
-        table[sums["cell"].to_numpy(), [place[x] for x in sums["lang"].to_pylist()]] = sums["n"].to_numpy()
-    cells, scripts = table[:CELLS], table[CELLS:]
-    logs = np.log((cells + 0.05) / (cells.sum(axis=0) + 0.05 * CELLS)) if langs else cells
-    return Model(langs, logs.astype(np.float32), scripts > 0.005 * scripts.sum(axis=0))
+    names = pa.compute.unique(sums["lang"]).to_pylist()
+    langs = sorted(names)
+    rank = np.empty(len(langs), np.int32)
+    rank[np.argsort(np.array(names, object), kind="stable")] = np.arange(len(langs))
+    lang = rank[pa.compute.index_in(sums["lang"], pa.array(names, pa.string())).to_numpy()] if langs else np.zeros(0, np.int32)
+    cell, n = sums["cell"].to_numpy(), sums["n"].to_numpy()
+    scripts = np.zeros((len(NAMES), len(langs)))
+    kind = cell >= CELLS
+    scripts[cell[kind] - CELLS, lang[kind]] = n[kind]
+    cell, lang, n = cell[~kind], lang[~kind], n[~kind]
+    order = np.lexsort((lang, cell))
+    base = np.log(0.05 / (np.bincount(lang, n, len(langs)) + 0.05 * CELLS))
+    first = np.r_[0, np.cumsum(np.bincount(cell, minlength=CELLS))]
+    return Model(langs, first, lang[order], np.log(n[order] / 0.05 + 1), base, scripts > 0.005 * scripts.sum(axis=0))
 
 
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best language of each word when every switch costs ``switch``; ties go to the first language and to staying.
+    """The best language of each word when every switch costs ``switch``; ties go to the first language and to staying."""
+    return best_path(lambda a, b: scores[a:b], *scores.shape, switch)
+
+
+def best_path(block, words: int, languages: int, switch: float = SWITCH) -> np.ndarray:
+    """``viterbi`` over the scores that ``block`` gives for words a to b.
 
     The search is left out where no other path can beat the best single language: a path of m stretches pays m - 1 switches, so
     it gains nothing if all words together gain one switch at most by their best languages, or any stretch half of one at most.
     """
-    total = scores.sum(axis=0)
-    best = int(np.argmax(total))
-    gains = scores - scores[:, best : best + 1]
-    run = np.vstack([np.zeros(scores.shape[1]), np.cumsum(gains, axis=0, dtype=np.float64)])
-    if gains.max(axis=1).sum(dtype=np.float64) <= switch or (run - np.minimum.accumulate(run, axis=0)).max() <= switch / 2:
-        return np.full(len(scores), best)
-    rows = scores.tolist()
-    came: list[list[int]] = []
-    value = rows[0]
-    for row in rows[1:]:
-        high = max(value)
-        top, least = value.index(high), high - switch
-        came.append([k if v >= least else top for k, v in enumerate(value)])
-        value = [(v if v >= least else least) + x for v, x in zip(value, row, strict=True)]
-    path = np.empty(len(scores), np.int64)
-    at = value.index(max(value))
-    for t in range(len(scores) - 1, 0, -1):
+    step = max(1, HELD // languages)
+    if words <= step:
+        only = block(0, words)
+        block = lambda a, b: only
+    cuts = range(0, words, step)
+    best = int(np.argmax(sum(block(a, a + step).sum(axis=0, dtype=np.float64) for a in cuts)))
+    gained, rise, end, low = 0.0, 0.0, np.zeros(languages), np.zeros(languages)
+    for a in cuts:
+        gains = block(a, a + step)
+        gains = gains - gains[:, best : best + 1]
+        gained += gains.max(axis=1).sum(dtype=np.float64)
+        run = end + np.cumsum(gains, axis=0, dtype=np.float64)
+        lows = np.minimum(np.minimum.accumulate(run, axis=0), low)
+        rise = max(rise, (run - lows).max())
+        end, low = run[-1], lows[-1]
+    if gained <= switch or rise <= switch / 2:
+        return np.full(words, best)
+    stays, tops = np.empty((words, (languages + 7) // 8), np.uint8), [0] * words
+    value = np.full(languages, -np.inf)
+    for a in cuts:
+        rows = block(a, a + step).astype(np.float64)
+        kept = np.zeros(rows.shape, bool)
+        for t, row in enumerate(rows):
+            if a + t == 0:
+                value = row
+                continue
+            top = int(value.argmax())
+            least = value[top] - switch
+            np.greater_equal(value, least, out=kept[t])
+            tops[a + t] = top
+            value = np.maximum(value, least) + row
+        stays[a : a + len(rows)] = np.packbits(kept, axis=1)
+    path = np.empty(words, np.int64)
+    at = int(value.argmax())
+    for t in range(words - 1, 0, -1):
         path[t] = at
-        at = came[t - 1][at]
+        if not stays[t, at >> 3] >> (7 - (at & 7)) & 1:
+            at = tops[t]
     path[0] = at
     return path
 
@@ -187,22 +244,35 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        numbers, scores, letters = _Words(), np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64)
+        languages = len(model.langs)
+        numbers, scores, letters = _Words(), np.zeros((0, languages), np.float32), np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lists = [list(map(numbers.__getitem__, _tokens(x.as_py() or ""))) for x in part["text"]]
-                if len(numbers) > len(scores):
-                    new = list(numbers)[len(scores) :]
-                    scores = np.vstack([scores, model.scores(new)]) if model.langs else np.zeros((len(numbers), 0), np.float32)
-                    letters = np.r_[letters, [len(w) if w.isalpha() else sum(map(str.isalpha, w.decode("utf-8", "replace"))) for w in new]]
-                found = [_spans(model, scores[ids], letters[ids], switch) if ids else ("und", 0.0, []) for ids in lists]
+                found, waiting = [], []
+                for k, text in enumerate(part["text"]):
+                    tokens = _tokens(text.as_py() or "")
+                    if len(tokens) > model.together:
+                        found.append(_of_long(model, tokens, switch))
+                    else:
+                        found.append(list(map(numbers.__getitem__, tokens)))
+                        waiting.append(k)
+                    if k + 1 < part.num_rows and (len(numbers) - len(scores)) * languages < HELD:
+                        continue
+                    if len(numbers) > len(scores):
+                        new = list(numbers)[len(scores) :]
+                        scores = np.vstack([scores, model.scores(new)]) if languages else np.zeros((len(numbers), 0), np.float32)
+                        letters = np.r_[letters, _n_letters(new)]
+                    for w in waiting:
+                        ids = found[w]
+                        found[w] = _spans(model, lambda a, b, own=ids: scores[own[a:b]], letters[ids], switch) if ids else ("und", 0.0, [])
+                    waiting = []
+                    if len(numbers) * max(1, languages) > KEPT:
+                        numbers, scores, letters = _Words(), scores[:0], letters[:0]
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], SPAN)],
                     ["doc_id", "lang_pred", "score", "spans"],
                 )
-                if len(numbers) > KEPT_WORDS:
-                    numbers, scores, letters = _Words(), scores[:0], letters[:0]
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LABELLED)
 
@@ -210,10 +280,25 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
 SPAN = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
 
 
-def _spans(model: Model, scores: np.ndarray, letters: np.ndarray, switch: float):
+def _n_letters(words: list[bytes]) -> list[int]:
+    return [len(w) if w.isalpha() else sum(map(str.isalpha, w.decode("utf-8", "replace"))) for w in words]
+
+
+def _of_long(model: Model, tokens: list[bytes], switch: float):
+    """``_spans`` of a text of which not all scores can be held."""
+
+    def block(a: int, b: int) -> np.ndarray:
+        numbers = _Words()
+        ids = list(map(numbers.__getitem__, tokens[a:b]))
+        return model.scores(list(numbers))[ids]
+
+    return _spans(model, block, np.array(_n_letters(tokens)), switch)
+
+
+def _spans(model: Model, block, letters: np.ndarray, switch: float):
     if not letters.any() or not model.langs:
         return "und", 0.0, []
-    path = viterbi(scores, switch)
+    path = best_path(block, len(letters), len(model.langs), switch)
     share = np.bincount(path, letters, len(model.langs))
     best = int(np.argmax(share))
     first = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])

@@ -480,6 +480,25 @@ def test_languages_alike_go_to_the_first(spark):
     assert found[1].spans == found[2].spans == found[3].spans
 
 
+def test_language_of_many_labels_and_long_texts(spark, monkeypatch):
+    """More than 512 languages; and texts whose scores aren't held at once have the results of those whose are."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    vocabulary = [[word() for _ in range(12)] for _ in range(700)]
+    rows = [(k, " ".join(rng.choices(vocabulary[k], k=40)), f"l{k:03}") for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert len(model.langs) == 700 and model.langs == sorted(model.langs)
+    assert all(r.lang_pred == f"l{r.doc_id:03}" for r in language.label(df, model).collect())
+    long = spark.createDataFrame([(1, " ".join(rng.choices(vocabulary[3], k=900) + rng.choices(vocabulary[5], k=700) + rng.choices(vocabulary[4], k=800)))], "doc_id long, text string")
+    whole = language.label(long, model).collect()
+    assert [(s.lang, s.n_words) for s in whole[0].spans] == [("l003", 900), ("l005", 700), ("l004", 800)]
+    monkeypatch.setattr(language, "HELD", 700 * 64)
+    tokens = long.first().text.encode().split()
+    got = language._of_long(model, tokens, language.SWITCH)
+    assert [(s["lang"], s["n_words"]) for s in got[2]] == [(s.lang, s.n_words) for s in whole[0].spans] and got[:2] == (whole[0].lang_pred, whole[0].score)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(50):
