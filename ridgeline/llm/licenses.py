@@ -5,10 +5,12 @@ every run of other characters than letters and digits made one blank, lines that
 the whole canonical text is hash-joined to the digests of known licences: a text that holds anything beside the licence
 has another digest. Apart from that, each canonical line is looked up among known notices of one line.
 
-Known texts are a parameter, a table of (license, text); by default those of TEXTS. Their digests are broadcast if they are few, as the default
+Known texts are a parameter, a table of (license, text); by default those of TEXTS, and ``texts_of_files`` makes one of a folder of whole
+licence files, which the tasks read. Their digests are broadcast if they are few, as the default
 ones are, and else met by a shuffle of digests alone.
 
-Defined cases: a null or blank text has the digest of the empty text and no licence, and so has one of names and owners alone; of
+Defined cases: a null or blank text has the digest of the empty text and no licence, and so has one of names and owners alone; a known
+text without a canonical line or without a name is left out; of
 several known licences with one digest the first by name is taken; repeated rows and ids are judged
 row by row; extra columns are ignored; an empty table gives an empty result.
 """
@@ -38,6 +40,8 @@ SPELLINGS = (
     ("https:", "http:"),
     ("&", "and"),
 )
+#: Those of two words, as they are once lines are joined: a line may end between the words.
+JOINED = (("copyright owner", "copyright holder"), ("sub licens", "sublicens"), ("non commercial", "noncommercial"), ("per cent", "percent"))
 #: Lines that name an owner, and among them those that begin like one but are part of a condition.
 OWNER_LINE = r"^[^a-z0-9]*(copyright|all rights reserved|\(c\)|©)"
 CONDITION_LINE = r"^[^a-z0-9]*copyright (notices?|holders?|owners?|law|laws|licen[cs]e|statement|interest|and|or|in|to)\b"
@@ -159,17 +163,28 @@ def canonical_lines(text: str | None) -> list[str]:
 
 
 def digest(text: str) -> str:
-    return hashlib.sha256(" ".join(canonical_lines(text)).encode()).hexdigest()
+    whole = " ".join(canonical_lines(text))
+    for a, b in JOINED:
+        whole = whole.replace(a, b)
+    return hashlib.sha256(whole.encode()).hexdigest()
 
 
 def known_texts(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
     """(digest, license) of known texts (license, text), one for each digest."""
     if texts is None:
         texts = spark.createDataFrame(list(TEXTS.items()), "license string, text string")
-    made = texts.select("license", F.sha2(F.array_join(canonical(F.col("text")), " ").cast("binary"), 256).alias("digest"))
+    made = texts.where(F.col("license").isNotNull()).select("license", joined(canonical(F.col("text"))).alias("_text"))
+    made = made.where(F.col("_text") != "").select("license", F.sha2(F.col("_text").cast("binary"), 256).alias("digest"))
     return made.groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def texts_of_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+    """(license, text) of the files of a folder, UTF-8, each one whole text named by its file's name without what follows the last dot."""
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").format("binaryFile").load(folder)
+    name = F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"([^/]+?)(\.[^./]*)?$", 1)
+    return files.select(name.alias("license"), F.col("content").cast("string").alias("text"))
+
+
 def known_notices() -> list[tuple[str, str]]:
     return [(digest(line), name) for name, lines in NOTICES.items() for line in lines]
 
@@ -184,6 +199,14 @@ def canonical(text: Column) -> Column:
     return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.btrim(x, F.lit(" "))), lambda x: (x != "") & ~x.isin(*TITLES))
 
 
+def joined(lines: Column) -> Column:
+    """The canonical form of a text as a whole, from its lines."""
+    whole = F.array_join(lines, " ")
+    for a, b in JOINED:
+        whole = F.replace(whole, F.lit(a), F.lit(b))
+    return whole
+
+
 def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license, notices): the licence that a whole text is, and those that its lines name."""
     names = F.create_map(*(F.lit(x) for pair in known_notices() for x in pair))
@@ -195,7 +218,7 @@ def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
     made = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        let(canonical(F.col("text")), lambda x: F.struct(F.sha2(F.array_join(x, " ").cast("binary"), 256).alias("digest"), looked_up(x).alias("notices"))).alias("_made"),
+        let(canonical(F.col("text")), lambda x: F.struct(F.sha2(joined(x).cast("binary"), 256).alias("digest"), looked_up(x).alias("notices"))).alias("_made"),
     ).select("doc_id", "_made.*")
     known = known_texts(docs.sparkSession, texts)
     # the default texts are a few rows
@@ -214,6 +237,13 @@ def _sql_lines(column: str) -> str:
     return f"list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' and x not in ({', '.join(map(_quoted, TITLES))}))"
 
 
+def _sql_joined(lines: str) -> str:
+    whole = f"array_to_string({lines}, ' ')"
+    for a, b in JOINED:
+        whole = f"replace({whole}, {_quoted(a)}, {_quoted(b)})"
+    return whole
+
+
 def _values(rows) -> str:
     return ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in rows)
 
@@ -221,13 +251,14 @@ def _values(rows) -> str:
 ORACLE = f"""
 WITH texts(license, text) AS (VALUES {_values(TEXTS.items())}),
 notes(name, line) AS (VALUES {_values((n, x) for n, lines in NOTICES.items() for x in lines)}),
-known AS (SELECT license, sha256(array_to_string({_sql_lines("text")}, ' ')) AS digest FROM texts),
+known AS (SELECT license, sha256({_sql_joined(_sql_lines("text"))}) AS digest FROM texts),
 named AS (SELECT name, sha256(array_to_string({_sql_lines("line")}, ' ')) AS digest FROM notes),
 docs AS (SELECT row_number() OVER () AS r, doc_id, {_sql_lines("text")} AS lines FROM documents),
+whole AS (SELECT r, doc_id, sha256({_sql_joined("lines")}) AS digest FROM docs),
 found AS (
     SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS notices
     FROM (SELECT r, sha256(unnest(lines)) AS digest FROM docs) JOIN named USING (digest) GROUP BY r
 )
-SELECT doc_id, sha256(array_to_string(lines, ' ')) AS digest, license, coalesce(notices, '') AS notices
-FROM docs LEFT JOIN known ON known.digest = sha256(array_to_string(lines, ' ')) LEFT JOIN found USING (r)
+SELECT doc_id, whole.digest, license, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN known USING (digest) LEFT JOIN found USING (r)
 """

@@ -353,6 +353,32 @@ def test_long_parts_equal_the_library(monkeypatch):
         assert [x.tolist() for x in pieces.Encoder(vocabulary)(texts)] == [lib.encode(t) for t in texts]
 
 
+def test_licenses_of_files(spark, docs, tmp_path):
+    """Whole files of a folder, of the size of full licences, planted in documents with other wrapping, case, spellings and owners."""
+    rng = random.Random(21)
+    terms = ["license", "organize", "favor", "holder", "noncommercial", "term", "work", "patent", "shall", "notice", "warranty", "and", "2.0", "percent"]
+    full = {name: "\n\n".join(" ".join(rng.choices(terms, k=120)) + "." for _ in range(40)) for name in ("Own-1.0", "Own+2", "a b")}
+    for name, text in full.items():
+        (tmp_path / f"{name}.txt").write_text(f"Copyright 2001 {name}\n{text}")
+    (tmp_path / "same.txt").write_text(full["a b"].upper())
+    (tmp_path / "blank.txt").write_text("Copyright 2001 Nobody\n\n")
+    (tmp_path / "other.md").write_text("not read")
+    texts = licenses.texts_of_files(spark, str(tmp_path))
+    assert sorted(r.license for r in texts.collect()) == sorted([*full, "same", "blank"])
+
+    def changed(text, k):
+        for a, b in (("license", "licence"), ("organize", "organise"), ("favor", "favour"), ("percent", "per cent")):
+            text = text.replace(a, b)
+        return f"(c) 20{k} Some Body\n" + "\n".join(f" * {line}" for line in textwrap.wrap(text.capitalize(), 50 + k, break_on_hyphens=False))
+
+    planted = [(10**6 + k, changed(full[name], k), name) for k, name in enumerate([*full] * 4)]
+    near = [(2 * 10**6, full["a b"] + " more", None), (2 * 10**6 + 1, None, None), (2 * 10**6 + 2, "", None)]
+    rows = spark.createDataFrame([x[:2] for x in planted + near], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    found = licenses.scan(rows, texts)
+    assert found.count() == rows.count()
+    assert of(found.where("license IS NOT NULL"), "doc_id", "license") == sorted((k, name) for k, _, name in planted)
+
+
 def test_licenses(spark, odd, docs, duck):
     mit = "Copyright (c) 2020 Somebody\n\n" + licenses.TEXTS["MIT"].upper().replace("LICENSE", "LICENCE")
     df = spark.createDataFrame([(1, mit), (2, "x\nreleased under the MIT licence!"), (3, licenses.TEXTS["ISC"] + " more")], "doc_id long, text string")
