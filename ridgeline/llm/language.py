@@ -37,7 +37,7 @@ WORD_CLIP = 8.0
 #: Words of a language that are counted before their trigrams are.
 KEPT_WORDS = 200_000
 #: Scores (words x languages) that are worked out together, and those that a worker keeps; beyond it, it starts afresh.
-HELD, KEPT = 1 << 22, 1 << 24
+HELD, KEPT = 1 << 21, 1 << 24
 #: First code points of scripts, with the script that begins there.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -179,6 +179,22 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return best_path(lambda a, b: scores[a:b], *scores.shape, switch)
 
 
+def _forward(value: list[float], rows: np.ndarray, switch: float) -> tuple[np.ndarray, list[float]]:
+    """(the best paths' values by language before each word, those after the last). Before the first word of a text all are 0."""
+    if len(value) > 32:  # numpy's calls cost less than the languages one by one
+        values, now = np.empty(rows.shape), np.array(value)
+        for kept, row in zip(values, rows.astype(np.float64), strict=True):
+            kept[:] = now
+            now = np.maximum(now, now.max() - switch) + row
+        return values, now.tolist()
+    values = []
+    for row in rows.tolist():
+        values.append(value)
+        least = max(value) - switch
+        value = [(v if v >= least else least) + x for v, x in zip(value, row, strict=True)]
+    return np.array(values), value
+
+
 def best_path(block, words: int, languages: int, switch: float = SWITCH) -> np.ndarray:
     """``viterbi`` over the scores that ``block`` gives for words a to b.
 
@@ -202,23 +218,15 @@ def best_path(block, words: int, languages: int, switch: float = SWITCH) -> np.n
         end, low = run[-1], lows[-1]
     if gained <= switch or rise <= switch / 2:
         return np.full(words, best)
-    stays, tops = np.empty((words, (languages + 7) // 8), np.uint8), [0] * words
-    value = np.full(languages, -np.inf)
+    stays, tops = np.empty((words, (languages + 7) // 8), np.uint8), np.empty(words, np.int32)
+    value = [0.0] * languages
     for a in cuts:
-        rows = block(a, a + step).astype(np.float64)
-        kept = np.zeros(rows.shape, bool)
-        for t, row in enumerate(rows):
-            if a + t == 0:
-                value = row
-                continue
-            top = int(value.argmax())
-            least = value[top] - switch
-            np.greater_equal(value, least, out=kept[t])
-            tops[a + t] = top
-            value = np.maximum(value, least) + row
-        stays[a : a + len(rows)] = np.packbits(kept, axis=1)
+        values, value = _forward(value, block(a, a + step), switch)
+        tops[a : a + len(values)] = values.argmax(axis=1)
+        stays[a : a + len(values)] = np.packbits(values >= values.max(axis=1, keepdims=True) - switch, axis=1)
+    tops = tops.tolist()
     path = np.empty(words, np.int64)
-    at = int(value.argmax())
+    at = int(np.argmax(value))
     for t in range(words - 1, 0, -1):
         path[t] = at
         if not stays[t, at >> 3] >> (7 - (at & 7)) & 1:
