@@ -92,18 +92,18 @@ def _ring_moments(ring: Column) -> Column:
     """(twice the signed area, the moments of the centroid) of a ring, taken from its first point for accuracy."""
     x0, y0 = ring[0]["x"], ring[0]["y"]
     start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+    moved = F.transform(ring, lambda p: F.struct((p["x"] - x0).alias("x"), (p["y"] - y0).alias("y")))
+    crossed = _let(moved, lambda r: F.transform(ring_edges(r), lambda e: F.struct((e["x1"] + e["x2"]).alias("x"), (e["y1"] + e["y2"]).alias("y"), (e["x1"] * e["y2"] - e["x2"] * e["y1"]).alias("cross"))))
 
     def add(acc: Column, e: Column) -> Column:
-        x1, y1, x2, y2 = e["x1"] - x0, e["y1"] - y0, e["x2"] - x0, e["y2"] - y0
-        cross = x1 * y2 - x2 * y1
-        return F.struct((acc["a"] + cross).alias("a"), (acc["mx"] + (x1 + x2) * cross).alias("mx"), (acc["my"] + (y1 + y2) * cross).alias("my"))
+        return F.struct((acc["a"] + e["cross"]).alias("a"), (acc["mx"] + e["x"] * e["cross"]).alias("mx"), (acc["my"] + e["y"] * e["cross"]).alias("my"))
 
     def done(acc: Column) -> Column:
         sign = F.signum(acc["a"])
         area = F.abs(acc["a"]) / 2
         return F.struct(area.alias("area"), (sign * acc["mx"] / 6 + x0 * area).alias("mx"), (sign * acc["my"] / 6 + y0 * area).alias("my"))
 
-    return F.aggregate(ring_edges(ring), start, add, done)
+    return F.aggregate(crossed, start, add, done)
 
 
 def _moments(geometry: Column) -> Column:
@@ -133,8 +133,13 @@ def along(x: Column, y: Column, center: Column, axis: Column) -> Column:
 
 
 def extent_along(geometry: Column, center: Column, axis: Column) -> Column:
-    """(lo, hi): the least and greatest distance of any vertex, those of holes too, along an axis."""
-    return _let(F.transform(vertices(geometry), lambda p: along(p["x"], p["y"], center, axis)), lambda d: F.struct(F.array_min(d).alias("lo"), F.array_max(d).alias("hi")))
+    """(lo, hi): the least and greatest distance of any vertex, those of holes too, along an axis.
+
+    Centre and axis are bound once: within the lambda they would be worked out again for every vertex.
+    """
+    bound = F.struct(center.alias("c"), axis.alias("a"))
+    distances = _let(bound, lambda s: F.transform(vertices(geometry), lambda p: along(p["x"], p["y"], s["c"], s["a"])))
+    return _let(distances, lambda d: F.struct(F.array_min(d).alias("lo"), F.array_max(d).alias("hi")))
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import formatting as fmt
 from ridgeline.functions import projection as proj
 from ridgeline.operators import eta, geometry, planning, profile, raster, zonal
+from ridgeline.plans import queries
 
 
 def grid_rows(grid, tile="t"):
@@ -159,6 +160,19 @@ def test_box_and_shape(spark):
     assert (round(c.x, 9), round(c.y, 9)) == (5.0, 5.0)
 
 
+def test_extent_works_out_its_centre_once(spark):
+    df = spark.createDataFrame([([[[(0.0, 0.0), (10.0, 0.0), (10.0, 4.0), (0.0, 4.0)]]],)], "geometry array<array<array<struct<x:double,y:double>>>>")
+    g, axis = F.col("geometry"), F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))
+    sums = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    extent = geometry.extent_along(g, geometry.centroid(g), axis)
+    assert sums(extent.alias("e")) == sums(geometry.centroid(g).alias("c"))
+    assert tuple(df.select(extent.alias("e")).first().e) == (-5.0, 5.0)
+
+
+def test_shapes_are_dealt_over_all_cores(spark, data):
+    assert queries._lots(spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_long_side():
     assert geometry.long_side(np.array([[0.0, 0.0], [4.0, 0.0], [4.0, 1.0], [0.0, 1.0]])) == (1.0, 0.0)
     assert geometry.long_side(np.array([[0.0, 0.0], [0.0, 5.0], [1.0, 5.0], [1.0, 0.0]])) == (0.0, 1.0)
