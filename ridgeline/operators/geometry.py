@@ -144,9 +144,9 @@ def extent_along(geometry: Column, center: Column, axis: Column) -> Column:
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull in order, counter-clockwise, by monotone chains."""
-    rows = np.unique(points, axis=0)
-    if len(rows) < 3:
-        return rows
+    found = sorted(set(map(tuple, points.tolist())))
+    if len(found) < 3:
+        return np.array(found).reshape(-1, 2)
 
     def chain(order: list) -> list:
         kept: list = []
@@ -159,7 +159,6 @@ def hull(points: np.ndarray) -> np.ndarray:
             kept.append((x, y))
         return kept[:-1]
 
-    found = rows.tolist()
     return np.array(chain(found) + chain(found[::-1]))
 
 
@@ -175,24 +174,56 @@ def farthest(corners: np.ndarray, turns: np.ndarray, directions: np.ndarray) ->
     return (near * directions[:, None, :]).sum(axis=2).max(axis=1)
 
 
-def long_side(points: np.ndarray) -> tuple[float, float]:
-    """Unit vector of the longer side of the smallest rectangle around points, pointing right or else up; (1, 0) for a single point.
+def _sides(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sides, their unit vectors, the normals of these) of hulls of equally many corners (..., corner, 2)."""
+    sides = np.roll(corners, -1, axis=-2) - corners
+    units = sides / np.hypot(sides[..., 0], sides[..., 1])[..., None]
+    return sides, units, np.stack([-units[..., 1], units[..., 0]], axis=-1)
+
+
+def _longer(along: np.ndarray, across: np.ndarray, units: np.ndarray, normals: np.ndarray) -> np.ndarray:
+    """Of each shape (shape, side) the direction of the longer side of the rectangle that is least, pointing right or else up."""
+    best = np.arange(len(along)), np.argmin(np.round(along * across, 9), axis=1)
+    rounded = [[round(x, 15), round(y, 15)] for x, y in np.where((along[best] >= across[best])[:, None], units[best], normals[best]).tolist()]
+    found = np.array(rounded) + 0.0
+    x, y = found.T
+    return np.where(((x > 0) | ((x == 0) & (y > 0)))[:, None], found, -found + 0.0)
+
+
+#: Hulls of at most so many corners are measured together, every side by every corner; larger ones alone.
+FEW = 32
 
-    One side of that rectangle lies on a side of the hull. All sides are tried, each by the corners that it meets: no more than the hull is held.
+
+def long_sides(shapes: list[np.ndarray]) -> np.ndarray:
+    """For each array of points the unit vector of the longer side of the smallest rectangle around them, pointing right or else up; (1, 0) for a single point.
+
+    One side of that rectangle lies on a side of the hull. All sides are tried: those of small hulls of equally many corners in one step, those of a large hull
+    each by the corners that it meets, so that no more than the hull is held.
     """
-    corners = hull(points)
-    sides = np.roll(corners, -1, axis=0) - corners
-    length = np.hypot(*sides.T)
-    if not length.any():
-        return 1.0, 0.0
-    turns = np.unwrap(np.arctan2(sides[:, 1], sides[:, 0]))
-    units = sides / length[:, None]
-    normals = np.stack([-units[:, 1], units[:, 0]], axis=1)
-    spans = [farthest(corners, turns, v) + farthest(corners, turns, -v) for v in (units, normals)]
-    best = int(np.argmin(np.round(spans[0] * spans[1], 9)))
-    x, y = units[best] if spans[0][best] >= spans[1][best] else normals[best]
-    x, y = round(float(x), 15) + 0.0, round(float(y), 15) + 0.0
-    return (x, y) if x > 0 or (x == 0 and y > 0) else (-x + 0.0, -y + 0.0)
+    found = np.tile([1.0, 0.0], (len(shapes), 1))
+    alike: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for k, points in enumerate(shapes):
+        corners = hull(points)
+        if len(corners) > 1:
+            alike.setdefault(len(corners), []).append((k, corners))
+    for n, rows in alike.items():
+        step = max(1, (1 << 18) // (n * n)) if n <= FEW else 1
+        for part in (rows[at : at + step] for at in range(0, len(rows), step)):
+            corners = np.array([c for _, c in part])
+            sides, units, normals = _sides(corners)
+            if n <= FEW:
+                along, across = (np.ptp(v[:, :, None, 0] * corners[:, None, :, 0] + v[:, :, None, 1] * corners[:, None, :, 1], axis=2) for v in (units, normals))
+            else:
+                turns = np.unwrap(np.arctan2(sides[0, :, 1], sides[0, :, 0]))
+                along, across = ((farthest(corners[0], turns, v[0]) + farthest(corners[0], turns, -v[0]))[None] for v in (units, normals))
+            found[[k for k, _ in part]] = _longer(along, across, units, normals)
+    return found
+
+
+def long_side(points: np.ndarray) -> tuple[float, float]:
+    """``long_sides`` of one array of points."""
+    x, y = long_sides([points])[0].tolist()
+    return x, y
 
 
 def with_main_axis(zones: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -203,7 +234,7 @@ def with_main_axis(zones: DataFrame, geometry: str = "geometry") -> DataFrame:
         flat = points.flatten()
         at = np.r_[0, np.cumsum(points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
         xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)], axis=1)
-        sides = np.array([long_side(xy[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]).reshape(-1, 2)
+        sides = long_sides([xy[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
         return pa.StructArray.from_arrays([pa.array(sides[:, 0]), pa.array(sides[:, 1])], ["x", "y"])
 
     return zones.withColumn("axis", axis(vertices(F.col(geometry))))

@@ -420,7 +420,7 @@ def main_axis(spark, d):
     turn = F.radians((k % 170 - 80).cast("double"))
     point = lambda u, v: F.struct((k + u * F.cos(turn) - v * F.sin(turn)).alias("x"), (k + u * F.sin(turn) + v * F.cos(turn)).alias("y"))
     ring = F.array(*(point(u, v) for u, v in ((-50.0, -10.0), (50.0, -10.0), (50.0, 10.0), (-50.0, 10.0))))
-    rows = geometry.with_main_axis(load(spark, d, "customer").select("c_custkey", F.array(F.array(ring)).alias("geometry")))
+    rows = geometry.with_main_axis(dealt(spark, d, "customer", "c_custkey").select("c_custkey", F.array(F.array(ring)).alias("geometry")))
     return rows.select("c_custkey", r6(F.col("axis.x"), "ax"), r6(F.col("axis.y"), "ay"))
 
 

@@ -179,6 +179,21 @@ def test_long_side():
     assert geometry.long_side(np.array([[2.0, 2.0]])) == (1.0, 0.0)
 
 
+def test_small_hulls_are_measured_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    angles = np.linspace(0, 2 * np.pi, 60, endpoint=False)
+    large = [np.stack([np.cos(angles) * 3, np.sin(angles)], axis=1)]
+    shapes = [rng.integers(-9, 9, size=(rng.integers(0, 9), 2)).astype(float) for _ in range(500)] + large
+    want = [geometry.long_side(p) for p in shapes]
+    steps = []
+    monkeypatch.setattr(geometry, "_sides", lambda corners, sides=geometry._sides: steps.append(corners.shape) or sides(corners))
+    assert [tuple(r) for r in geometry.long_sides(shapes).tolist()] == want
+    assert len(steps) == len({s[1] for s in steps}) < 12
+    # a few corners by the steps for many, too
+    monkeypatch.setattr(geometry, "FEW", 1)
+    assert [tuple(r) for r in geometry.long_sides(shapes).tolist()] == want
+
+
 def test_eta_uses_the_rate_seen(spark):
     df = spark.createDataFrame([(0, 0, None, 0, None, None), (200, 100, 10.0, 2, 1, 3.0), (2_000_000, 0, None, 4, None, None)], "left_bytes long, done_bytes long, download_seconds double, left_tiles long, done_tiles long, processing_seconds double")
     assert [r.eta_seconds for r in eta.remaining(df).collect()] == [0.0, 26.0, 3.0]
