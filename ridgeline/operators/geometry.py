@@ -266,19 +266,21 @@ def axis_segment(geometry: Column, axis: Column) -> Column:
 def touching_boxes(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: float) -> DataFrame:
     """Rows of two tables whose boxes touch, each pair once, by an equi-join on grid cells.
 
-    Every box is in all cells that it reaches; a pair is kept in the one cell that holds the lower left
-    corner of what both share, so no distinct is needed. Cells should be about as large as the larger boxes.
+    Boxes of the same corners are one class: each class is in all cells that it reaches, and a pair of classes is kept in the one cell that holds the lower left corner
+    of what both share, so no distinct of pairs is needed. Cells should be about as large as the larger boxes. Rows meet by the pairs of their classes: each goes
+    through an exchange with its class, not with every cell. The left rows of a pair are held, those of the right go by, and each comes out with all its left rows in turn.
     """
     cells = lambda b, lo, hi: F.sequence(F.floor(F.col(b)[lo] / cell), F.floor(F.col(b)[hi] / cell))
-    put = lambda df, b: df.withColumn("_gx", F.explode(cells(b, "minx", "maxx"))).withColumn("_gy", F.explode(cells(b, "miny", "maxy")))
+    put = lambda df, b: df.select(b).distinct().withColumn("_gx", F.explode(cells(b, "minx", "maxx"))).withColumn("_gy", F.explode(cells(b, "miny", "maxy")))
     a, b = F.col(left_box), F.col(right_box)
-    return (
+    classes = (
         put(left, left_box)
         .join(put(right, right_box), ["_gx", "_gy"])
         .where(boxes_touch(a, b))
         .where((F.floor(F.greatest(a["minx"], b["minx"]) / cell) == F.col("_gx")) & (F.floor(F.greatest(a["miny"], b["miny"]) / cell) == F.col("_gy")))
         .drop("_gx", "_gy")
     )
+    return right.join(left.join(classes, left_box), right_box).select(*left.columns, *right.columns)
 
 
 def box_level(b: Column, cell: float) -> Column:

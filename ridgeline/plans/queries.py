@@ -323,7 +323,7 @@ _BOXES = "(SELECT c_custkey, CAST(c_custkey * 37 % 2000 AS DOUBLE) AS ax, CAST(c
 
 def _customer_boxes(spark, d) -> DataFrame:
     k = F.col("c_custkey")
-    return load(spark, d, "customer").select("c_custkey", geometry.box(k * 37 % 2000, k * 53 % 2000, k * 37 % 2000 + 5 + k % 11, k * 53 % 2000 + 5 + k % 11).alias("zone_box"))
+    return dealt(spark, d, "customer", "c_custkey").select("c_custkey", geometry.box(k * 37 % 2000, k * 53 % 2000, k * 37 % 2000 + 5 + k % 11, k * 53 % 2000 + 5 + k % 11).alias("zone_box"))
 
 
 @query(f"SELECT c_custkey, n_nationkey FROM {_BOXES}, nation WHERE ax <= n_nationkey * 80 + 60 AND n_nationkey * 80 <= ax + s AND ay <= n_nationkey * 80 + 60 AND n_nationkey * 80 <= ay + s")
@@ -347,7 +347,7 @@ def collection_join(spark, d):
 @query(f"SELECT c_custkey, o_orderkey FROM {_BOXES}, (SELECT o_orderkey, o_orderkey * 41 % 2000 AS bx, o_orderkey * 61 % 2000 AS cy FROM orders) WHERE ax <= bx + 7 AND bx <= ax + s AND ay <= cy + 7 AND cy <= ay + s")
 def cell_join(spark, d):
     k = F.col("o_orderkey")
-    tiles = load(spark, d, "orders").select("o_orderkey", geometry.box(k * 41 % 2000, k * 61 % 2000, k * 41 % 2000 + 7, k * 61 % 2000 + 7).alias("tile_box"))
+    tiles = dealt(spark, d, "orders", "o_orderkey").select("o_orderkey", geometry.box(k * 41 % 2000, k * 61 % 2000, k * 41 % 2000 + 7, k * 61 % 2000 + 7).alias("tile_box"))
     return geometry.touching_boxes(_customer_boxes(spark, d), tiles, "zone_box", "tile_box", 16.0).select("c_custkey", "o_orderkey")
 
 

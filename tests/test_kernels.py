@@ -258,6 +258,25 @@ def test_axis_equals_all_sides():
         assert area <= every(points) * (1 + 1e-6) + 1e-6
 
 
+def test_copies_of_a_box_are_one_class(spark):
+    rng = random.Random(4)
+
+    def rows(n):
+        boxes = [(x := rng.uniform(-50, 50), y := rng.uniform(-50, 50), x + rng.uniform(0, 9), y + rng.uniform(0, 9)) for _ in range(n)]
+        return [(k, boxes[k % n]) for k in range(4 * n)]
+
+    left, right = rows(30), [*rows(40), (999, None)]
+    frames = [spark.createDataFrame(r, f"{n} long, {n}_box struct<minx:double,miny:double,maxx:double,maxy:double>") for n, r in (("a", left), ("b", right))]
+    met = geometry.touching_boxes(*frames, "a_box", "b_box", 8.0)
+    assert met.columns == ["a", "a_box", "b", "b_box"]
+    want = [(a, b) for a, p in left for b, q in right if q and p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3]]
+    assert sorted((r.a, r.b) for r in met.select("a", "b").collect()) == sorted(want)
+    # cells are made of classes, not of rows
+    plan = [line.strip(" +-:") for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    assert sum(line.startswith("Aggregate") for line in plan) == 2
+    assert all(any(below.startswith("Aggregate") for below in plan[k:]) for k, line in enumerate(plan) if line.startswith("Generate"))
+
+
 def test_boxes_of_all_sizes(spark):
     rng = random.Random(8)
 
