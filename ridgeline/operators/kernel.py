@@ -1,7 +1,7 @@
 """One tile under one zone as arrays: window, polygon fill, slopes, partial and values by cell, in a single Arrow task.
 
 ``zone_tiles`` takes a row for each (zone, tile) with the tile's file and yields what is kept of it. Pixels live in the task alone: none
-goes through an exchange, and no task holds more than one tile. The fill walks the polygon's edges by row, so that it costs rows crossed plus edges,
+goes through an exchange, and no task holds more than one tile. A tile of any height may come in bands (see ``tables.packed_bands``), of which a task holds one. The fill walks the polygon's edges by row, so that it costs rows crossed plus edges,
 not pixels times edges; it decides every pixel centre as ``geometry.contains`` does, by the same formula.
 
 The values that are kept are single floats, by cell: a cell is the upper half of a float's bits as an integer that keeps the order, so that a tile has a
@@ -24,6 +24,7 @@ MEASURED = (
     "tatort string, kommun string, item_id string, cell int, n bigint, lo float, hi float, values array<float>, local_min double, local_max double, "
     "min_x double, min_y double, max_x double, max_y double, slope_sum_squares double, slope_count bigint"
 )
+BAND = ("part", "above", "below")
 SAMPLED = "tatort string, kommun string, tile string, row int, col int, x double, y double, v double"
 
 
@@ -74,7 +75,7 @@ def slopes(v: np.ndarray, res_x: float, res_y: float) -> np.ndarray:
 
 
 def clipped(content: bytes, edges: np.ndarray, nodata: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict, int, int]:
-    """(values with NaN outside and where missing, x, y, header, first row, first column) of a tile's window under a polygon. The file's own missing value counts if none is given."""
+    """(values with NaN outside and where missing, x, y, header with ``height``, first row, first column) of a tile's window under a polygon. The file's own missing value counts if none is given."""
     values, head = decode(content)
     nodata = head["nodata"] if nodata is None else nodata
     rows, cols = window(head, values.shape, edges.reshape(-1, 2))
@@ -86,7 +87,7 @@ def clipped(content: bytes, edges: np.ndarray, nodata: float | None) -> tuple[np
         if nodata is not None and np.isfinite(nodata):
             bad |= np.abs(v - nodata) <= 1e-8 + 1e-5 * abs(nodata)
         v[bad] = np.nan
-    return v, x, y, head, rows.start, cols.start
+    return v, x, y, {**head, "height": len(values)}, rows.start, cols.start
 
 
 def cell_of(v: np.ndarray) -> np.ndarray:
@@ -95,13 +96,15 @@ def cell_of(v: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, ~(bits & 0x7FFFFFFF), bits) >> 16
 
 
-def measured(content: bytes, edges: np.ndarray, nodata: float | None) -> tuple[tuple, list[tuple]]:
-    """(partial, cells) of a tile under a polygon; of equal extremes the first by row and column counts."""
-    v, x, y, head, _, _ = clipped(content, edges, nodata)
+def measured(content: bytes, edges: np.ndarray, nodata: float | None, above: int = 0, below: int = 0) -> tuple[tuple, list[tuple]]:
+    """(partial, cells) of a tile under a polygon; of equal extremes the first by row and column counts. So many rows above and below are there for slopes alone."""
+    v, x, y, head, top, _ = clipped(content, edges, nodata)
     nodata = head["nodata"] if nodata is None else nodata
+    s = slopes(v, head["res_x"], head["res_y"])
+    own = slice(max(above - top, 0), max(head["height"] - below - top, 0))
+    v, y, s = v[own], y[own], s[own]
     valid = ~np.isnan(v)
     n = int(valid.sum())
-    s = slopes(v, head["res_x"], head["res_y"])
     s = s[~np.isnan(s) & (valid if nodata is None or not np.isfinite(nodata) else True)]
     squares = float(np.square(s).sum())
     if not n:
@@ -123,21 +126,27 @@ def _edges(column: pa.Array, k: int) -> np.ndarray:
 
 
 def zone_tiles(tiles: DataFrame, nodata: float | None = None) -> DataFrame:
-    """What is kept of each row (tatort, kommun, item_id, edges, content): its partial, one without values too, and its cells. A tile without a file isn't a row."""
+    """What is kept of each row (tatort, kommun, item_id, edges, content): its partial, one without values too, and its cells. A tile without a file isn't a row.
+
+    Rows of bands have ``part``, ``above`` and ``below`` besides; what is kept of them has ``part``.
+    """
+    banded = "part" in tiles.columns
     names = [c.split()[0] for c in MEASURED.split(", ")]
     floats = pa.list_(pa.float32())
     types = [pa.string()] * 3 + [pa.int32(), pa.int64(), pa.float32(), pa.float32(), floats] + [pa.float64()] * 7 + [pa.int64()]
-    schema = pa.schema(list(zip(names, types, strict=True)))
+    schema = pa.schema([*zip(names, types, strict=True), *([("part", pa.int32())] if banded else [])])
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 key = [batch[c][k].as_py() for c in (*ZONE, "item_id")]
-                partial, cells = measured(batch["content"][k].as_py(), _edges(batch["edges"], k), nodata)
-                rows = [(*key, None, partial[0], None, None, None, *partial[1:])]
+                part, *margins = [batch[c][k].as_py() for c in BAND] if banded else [None]
+                partial, cells = measured(batch["content"][k].as_py(), _edges(batch["edges"], k), nodata, *margins)
+                last = (part,) if banded else ()
+                rows = [(*key, None, partial[0], None, None, None, *partial[1:], *last)]
                 size = 0
                 for cell in cells:
-                    rows.append((*key, *cell, *(None,) * 8))
+                    rows.append((*key, *cell, *(None,) * 8, *last))
                     size += cell[1]
                     if size > 1 << 20:
                         yield _batch(rows, schema)
@@ -145,7 +154,7 @@ def zone_tiles(tiles: DataFrame, nodata: float | None = None) -> DataFrame:
                 if rows:
                     yield _batch(rows, schema)
 
-    return tiles.select(*ZONE, "item_id", "edges", "content").mapInArrow(run, MEASURED)
+    return tiles.select(*ZONE, "item_id", "edges", "content", *(BAND if banded else ())).mapInArrow(run, MEASURED + (", part int" if banded else ""))
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -171,9 +180,15 @@ def samples(tiles: DataFrame, most: int, nodata: float | None = None) -> DataFra
 
 
 def partials(found: DataFrame) -> DataFrame:
-    """The partials of measured tiles, as ``zonal.tile_partials`` has them."""
+    """The partials of measured tiles, as ``zonal.tile_partials`` has them; those of a tile's bands are merged, and of equal extremes the upper band's counts."""
     place = lambda k: F.when(F.col("n") > 0, F.struct(F.col(f"{k}_x").alias("x"), F.col(f"{k}_y").alias("y"))).alias(f"{k}_coord")
-    return found.where("cell IS NULL").select(*ZONE, "item_id", "local_min", "local_max", place("min"), place("max"), F.col("n").alias("n_values"), "slope_sum_squares", "slope_count")
+    rows = found.where("cell IS NULL")
+    if "part" in found.columns:
+        first = lambda c, v: F.min_by(c, F.when(F.col("n") > 0, F.struct(v, "part"))).alias(c)
+        low, high = F.col("local_min"), -F.col("local_max")
+        ends = first("min_x", low), first("min_y", low), first("max_x", high), first("max_y", high)
+        rows = rows.groupBy(*ZONE, "item_id").agg(*ends, F.min("local_min").alias("local_min"), F.max("local_max").alias("local_max"), *(F.sum(c).alias(c) for c in ("n", "slope_sum_squares", "slope_count")))
+    return rows.select(*ZONE, "item_id", "local_min", "local_max", place("min"), place("max"), F.col("n").alias("n_values"), "slope_sum_squares", "slope_count")
 
 
 WANTED = ("_n", "_base", "_ranks")

@@ -845,8 +845,12 @@ k AS (SELECT *, CASE WHEN r0 = r1 OR c0 = c1 THEN NULL WHEN c = c0 THEN ve - v W
 f AS (SELECT label, r, c, x, y, v, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM k)"""
 
 
+#: Rows of a band of 64 columns: a quarter of a million pixels.
+_CUT_ROWS = 4096
+
+
 def _cut_files(spark, d) -> DataFrame:
-    """The embeddings of each label as a raster file with a row for each, values below -0.2 missing, under the polygon."""
+    """The embeddings of each label as a raster with a row for each, values below -0.2 missing, under the polygon, in files of bands: a label has more rows with every copy of the table."""
     rows = load(spark, d, "embeddings").withColumn("row", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
     high = rows.withColumn("_h", F.count(F.lit(1)).over(Window.partitionBy("label")))
     v = F.col("v").cast("double")
@@ -857,8 +861,8 @@ def _cut_files(spark, d) -> DataFrame:
     )
     point = lambda p: F.struct(F.lit(float(p[0])).alias("x"), F.lit(float(p[1])).alias("y"))
     shape = F.array(*(F.array(*(F.array(*map(point, ring)) for ring in part)) for part in _CUT))
-    files = tables.packed_pixels(pixels).withColumnRenamed("tile", "item_id")
-    return files.select(F.lit("z").alias("tatort"), F.lit("k").alias("kommun"), "item_id", "content", geometry.edges(shape).alias("edges"))
+    files = tables.packed_bands(pixels, _CUT_ROWS).withColumnRenamed("tile", "item_id")
+    return files.select(F.lit("z").alias("tatort"), F.lit("k").alias("kommun"), "item_id", *kernel.BAND, "content", geometry.edges(shape).alias("edges"))
 
 
 @query(

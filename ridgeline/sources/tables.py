@@ -154,16 +154,41 @@ def raster_files(spark: SparkSession, path: str, pattern: str = "*.tif") -> Data
     return _files(spark, path, pattern).select(stem.alias("tile"), "content")
 
 
+def _packed(table: pa.Table, top: int) -> bytes:
+    """The pixels of a tile from a row on as a file."""
+    row, col = (table[c].to_numpy() for c in ("row", "col"))
+    values = np.full((row.max() + 1 - top, col.max() + 1), np.nan)
+    values[row - top, col] = table["v"].to_numpy()
+    first = table.slice(0, 1).to_pylist()[0]
+    x0, y0 = first["x"] - (first["col"] + 0.5) * first["res_x"], first["y"] + (first["row"] - top + 0.5) * first["res_y"]
+    return encode_geotiff(values, x0, y0, first["res_x"], first["res_y"], first["nodata"])
+
+
+def packed_bands(pixels: DataFrame, rows: int) -> DataFrame:
+    """(tile, part, above, below, content): the tiles of a dense tall pixel table as files of so many rows each, put together by one task each, whatever the tile's height.
+
+    A band has the last row of the band above it and the first of the one below besides, so that its slopes are those of the whole tile; ``above`` and ``below`` count them.
+    """
+    own, at = F.floor(F.col("row") / rows).cast("int"), F.col("row") % rows
+    parts = F.array_compact(F.array(own, F.when((at == 0) & (own > 0), own - 1), F.when(at == rows - 1, own + 1)))
+
+    def pack(table: pa.Table) -> pa.Table:
+        part, row = table["part"][0].as_py(), table["row"].to_numpy()
+        above, below = int(row.min() < part * rows), int(row.max() >= (part + 1) * rows)
+        n = int(row.max() >= part * rows)  # a band below the last row isn't one
+        content = [_packed(table, part * rows - above)] if n else []
+        counts = {k: pa.array([v] * n, pa.int32()) for k, v in (("part", part), ("above", above), ("below", below))}
+        return pa.table({"tile": table["tile"].slice(0, n), **counts, "content": pa.array(content, pa.binary())})
+
+    dealt = pixels.select(*(c.split()[0] for c in TILE_PIXELS.split(", ")), F.explode(parts).alias("part"))
+    return dealt.groupBy("tile", "part").applyInArrow(pack, "tile string, part int, above int, below int, content binary")
+
+
 def packed_pixels(pixels: DataFrame) -> DataFrame:
     """(tile, content): the tiles of a tall pixel table (see ``rasters``) as files, each put together by one task."""
 
     def pack(table: pa.Table) -> pa.Table:
-        row, col = (table[c].to_numpy() for c in ("row", "col"))
-        values = np.full((row.max() + 1, col.max() + 1), np.nan)
-        values[row, col] = table["v"].to_numpy()
-        first = table.slice(0, 1).to_pylist()[0]
-        x0, y0 = first["x"] - (first["col"] + 0.5) * first["res_x"], first["y"] + (first["row"] + 0.5) * first["res_y"]
-        return pa.table({"tile": pa.array([first["tile"]], pa.string()), "content": pa.array([encode_geotiff(values, x0, y0, first["res_x"], first["res_y"], first["nodata"])], pa.binary())})
+        return pa.table({"tile": table["tile"].slice(0, 1), "content": pa.array([_packed(table, 0)], pa.binary())})
 
     return pixels.select(*(c.split()[0] for c in TILE_PIXELS.split(", "))).groupBy("tile").applyInArrow(pack, "tile string, content binary")
 

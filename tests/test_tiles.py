@@ -379,3 +379,20 @@ def test_a_rate_is_kept(tmp_path, server):
     began = time.monotonic()
     remote.tile_bytes(f"{server}/t", 100_000, str(tmp_path), "u", "p", len, mbps=2.0)
     assert time.monotonic() - began >= 0.39
+
+
+@pytest.mark.parametrize("rows", [1, 7, 8, 40, 100])
+def test_bands_of_a_tile_equal_the_tile(spark, rows):
+    v = np.round(raster(3))  # equal extremes in several bands
+    head = {"x0": 0.0, "y0": 40.0, "res_x": 1.0, "res_y": 1.0, "nodata": -9999.0}
+    [batch] = tables.pixel_batches("t", v, head)
+    pixels = spark.createDataFrame(batch.to_pandas().replace({np.nan: None}), tables.TILE_PIXELS)
+    shape = spark.createDataFrame([(ODD,)], f"g {schemas.GEOMETRY}").select(F.lit("A").alias("tatort"), F.lit("K").alias("kommun"), geometry.edges(F.col("g")).alias("edges"))
+    bands = tables.packed_bands(pixels, rows)
+    whole, banded = (kernel.zone_tiles(files.withColumnRenamed("tile", "item_id").crossJoin(shape)) for files in (tables.packed_pixels(pixels), bands))
+    heights = [(r.part, len(geotiff.decode(r.content)[0])) for r in bands.collect()]
+    assert sorted(k for k, _ in heights) == list(range(-(-40 // rows))) and max(h for _, h in heights) <= rows + 2
+    a, b = (kernel.partials(f).first().asDict() for f in (whole, banded))
+    assert abs(a.pop("slope_sum_squares") - b.pop("slope_sum_squares")) < 1e-6 and a == b
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.95}
+    assert kernel.quantiles(banded, shares, "tatort").collect() == kernel.quantiles(whole, shares, "tatort").collect()
